@@ -1,0 +1,7 @@
+"""Recognising the one Spark error the library handles: a table not written yet."""
+
+from pyspark.errors import AnalysisException
+
+
+def missing_path(error: Exception) -> bool:
+    return isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
