@@ -109,7 +109,7 @@ _indexes: dict[tuple[str, str], Index] = {}
 
 
 def new_index(spark: SparkSession, name: str) -> Index:
-    return Index(spark, scratch_path(spark, f"index-{name}"))
+    return Index(spark, scratch_path(spark, f"index-{name}"), buckets=4)
 
 
 def corpus_index(spark: SparkSession, sf: str) -> Index:

@@ -143,7 +143,7 @@ PHRASE_MATCHES = """SELECT query_id, 0 AS clause_id, volume, path,
             GROUP BY query_id, volume) i USING (query_id, volume)
       JOIN dl USING (volume, path)"""
 
-WINDOW = """pt AS (SELECT DISTINCT query_id, term FROM qt WHERE i < 3),
+WINDOW = """pt AS (SELECT DISTINCT query_id, term FROM qt JOIN (VALUES (0), (1), (2)) c(i) USING (i)),
     pn AS (SELECT query_id, count(*) AS n FROM pt GROUP BY query_id),
     cl AS (SELECT query_id, 0 AS clause_id, 'should' AS occur FROM pn)"""
 WINDOW_MATCHES = """SELECT query_id, 0 AS clause_id, volume, path,
@@ -199,13 +199,12 @@ FIELD_MATCHES = """SELECT query_id, clause_id, volume, path,
 
 GROUPS = f"""WITH {STATS},
 {QUERY_TOKENS},
-    cl AS (SELECT query_id, i AS clause_id, CASE WHEN i < 2 THEN 0 ELSE 1 END AS g, term,
-      CAST(1 AS DOUBLE) AS boost FROM qt WHERE i < 4),
-    m AS ({TERM_MATCHES}),
+    cl AS (SELECT query_id, i AS clause_id, g, term, CAST(1 AS DOUBLE) AS boost
+      FROM qt JOIN (VALUES (0, 0), (1, 0), (2, 1), (3, 1)) c(i, g) USING (i)),
+    m AS ({TERM_MATCHES.replace("clause_id,", "clause_id, g,")}),
     sizes AS (SELECT query_id, g, count(*) AS n FROM cl GROUP BY query_id, g),
-    inner_hits AS (SELECT query_id, g, volume, path, count(*) / any_value(n) * sum(w) AS score
-      FROM m JOIN cl USING (query_id, clause_id) JOIN sizes USING (query_id, g)
-      GROUP BY query_id, g, volume, path)
+    inner_hits AS (SELECT query_id, g, volume, path, count(*) / n * sum(w) AS score
+      FROM m JOIN sizes USING (query_id, g) GROUP BY query_id, g, volume, path, n)
 SELECT query_id, volume, path, round(count(*) / any_value(groups) * sum(score), 6) AS score
 FROM inner_hits JOIN (SELECT query_id, count(*) AS groups FROM sizes GROUP BY query_id) s
   USING (query_id)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.analysis import let, positioned
-from ..session import small_side
 
 # Clause kinds by what they read.
 POSITIONAL = ("phrase", "proximity")
@@ -174,13 +173,18 @@ def matches_term(term: Column) -> Column:
             .otherwise(above & below & bounds))
 
 
-def expand_clauses(clauses: DataFrame, dictionary: DataFrame,
-                   kinds: tuple[str, ...] = EXPANDED) -> DataFrame:
-    """(clause columns, term): the dictionary terms every pattern clause stands for."""
-    asked = clauses.filter(F.col("kind").isin(*kinds)).withColumn(
+def anchored(clauses: DataFrame, kinds: tuple[str, ...] = EXPANDED) -> DataFrame:
+    """The pattern clauses, one row per anchor."""
+    return clauses.filter(F.col("kind").isin(*kinds)).withColumn(
         "anchor", F.explode(clause_anchors()))
+
+
+def expand_clauses(asked: DataFrame, dictionary: DataFrame,
+                   kinds: tuple[str, ...] = EXPANDED) -> DataFrame:
+    """(clause columns, term): the dictionary terms that the anchored clauses stand for."""
     facts = dictionary.select(
         "term", F.explode(term_anchors(F.col("term"), kinds)).alias("anchor"))
-    found = facts.join(small_side(asked), "anchor").filter(matches_term(F.col("term")))
+    found = facts.join(asked, "anchor").filter(matches_term(F.col("term")))
     keep = ["query_id", "group_id", "clause_id", "occur", "boost", "term"]
+    # Only fuzzy clauses have several anchors that one term may share.
     return found.select(*keep).distinct() if "fuzzy" in kinds else found.select(*keep)

@@ -7,13 +7,15 @@ row stands for and ``weight`` is their share of the score.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analysis import term_bucket
 from ..plans.index import IndexView
-from ..session import checkpointed, small_product, small_side
-from .clauses import EXPANDED, POSITIONAL, expand_clauses
+from ..session import Size, broadcast_within, checkpointed, size_columns, small_side
+from .clauses import EXPANDED, POSITIONAL, anchored, clause_anchors, expand_clauses
 
 MATCH_COLUMNS = ["query_id", "group_id", "volume", "path",
                  "must", "should", "must_not", "weight"]
@@ -29,33 +31,56 @@ def _occur_counts() -> list[Column]:
             for o in OCCURS]
 
 
-def _term_statistics(view: IndexView, terms: DataFrame, shared: bool) -> DataFrame:
+@dataclass(frozen=True)
+class ClauseBounds:
+    """Upper bounds for the clause side of a search, from one look at the clauses."""
+
+    kinds: frozenset[str]
+    clauses: Size   # also bounds what is grouped or filtered from the clauses
+    slots: Size     # the clauses, once for every term in them
+    anchors: Size   # the clauses, once for every anchor they may have
+
+
+def clause_bounds(clauses: DataFrame) -> ClauseBounds:
+    terms = F.greatest(F.size("terms"), F.lit(1))
+    anchors = F.when(F.col("kind").isin(*EXPANDED), F.size(clause_anchors())).otherwise(0)
+    rows, size, n_terms, n_anchors, longest, most, kinds = clauses.agg(
+        *size_columns(clauses), *[F.coalesce(total, F.lit(0)) for total in (
+            F.sum(terms), F.sum(anchors), F.max(terms), F.max(anchors))],
+        F.collect_set("kind")).first()
+    return ClauseBounds(frozenset(kinds), Size(rows, size), Size(n_terms, size * longest),
+                        Size(n_anchors, size * most))
+
+
+def _term_statistics(view: IndexView, wanted: DataFrame, size: Size,
+                     shared: bool) -> DataFrame:
     """(volume, term, idf), or (term, idf) when all volumes share their statistics."""
-    df = view.frequencies(terms.select("term").distinct())
+    df = view.frequencies(wanted.select("term").distinct(), size)
     if shared:
-        total = view.sizes.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
         return df.groupBy("term").agg(F.sum("df").alias("df")).select(
-            "term", _idf(F.lit(total), F.col("df")).alias("idf"))
-    return df.join(small_side(view.sizes), "volume").select(
+            "term", _idf(F.lit(view.n_docs), F.col("df")).alias("idf"))
+    return df.join(view.volume_sizes(), "volume").select(
         "volume", "term", _idf(F.col("n_docs"), F.col("df")).alias("idf"))
 
 
-def _postings_of(view: IndexView, wanted: DataFrame, columns: list[str],
+def _postings_of(view: IndexView, wanted: DataFrame, size: Size, columns: list[str],
                  shared: bool) -> DataFrame:
     """Postings of the wanted terms, with the wanted rows' columns and ``idf``.
 
     The bucket is part of the join key: a broadcast query side then prunes the postings
     directories by volume and bucket before anything is read.
     """
-    statistics = _term_statistics(view, wanted, shared)
-    lookup = statistics.join(small_side(wanted), "term").withColumn(
+    statistics = _term_statistics(view, wanted, size, shared)
+    lookup = statistics.join(broadcast_within(wanted, size), "term").withColumn(
         "bucket", term_bucket(F.col("term"), view.buckets))
-    lookup = small_product(lookup, wanted, view.sizes)
+    # A wanted row meets each volume once at most.
+    lookup = broadcast_within(lookup, size if shared else size.times(view.extent))
     keys = ["bucket", "term"] if shared else ["bucket", "volume", "term"]
     return view.postings.select("bucket", "volume", "term", "path", *columns).join(lookup, keys)
 
 
-def match_terms(view: IndexView, clauses: DataFrame, shared: bool = False) -> DataFrame:
+def match_terms(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
+                shared: bool = False) -> DataFrame:
     """Term clauses. Clauses of one query on the same term are counted together first:
     they match the same documents."""
     scored = F.when(F.col("occur") != "must_not", F.col("boost")).otherwise(0.0)
@@ -66,7 +91,7 @@ def match_terms(view: IndexView, clauses: DataFrame, shared: bool = False) -> Da
         .groupBy("query_id", "group_id", "term")
         .agg(*[F.sum(c).alias(c) for c in (*OCCURS, "boost")]))
     weight = F.col("boost") * F.sqrt("tf") * F.col("idf") * F.col("idf") / F.sqrt("dl")
-    return _postings_of(view, wanted, ["tf", "dl"], shared).select(
+    return _postings_of(view, wanted, bounds.clauses, ["tf", "dl"], shared).select(
         "query_id", "group_id", "volume", "path", *OCCURS, weight.alias("weight"))
 
 
@@ -106,7 +131,8 @@ def _window_count(slots: Column, slop: Column) -> Column:
     return F.reduce(merged, start, step)["n"]
 
 
-def match_positional(view: IndexView, clauses: DataFrame, shared: bool = False) -> DataFrame:
+def match_positional(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
+                     shared: bool = False) -> DataFrame:
     """Phrase and proximity clauses. One shuffle brings the position lists of a clause's
     terms in one document together; the rest happens inside that row."""
     asked = clauses.filter(F.col("kind").isin(*POSITIONAL))
@@ -123,7 +149,7 @@ def match_positional(view: IndexView, clauses: DataFrame, shared: bool = False)
     keys = ["query_id", "group_id", "clause_id", "kind", "occur", "boost", "slop",
             "n_slots", "volume", "path"]
     together = (
-        _postings_of(view, wanted, ["dl", "positions"], shared)
+        _postings_of(view, wanted, bounds.slots, ["dl", "positions"], shared)
         .groupBy(*keys)
         .agg(F.collect_list(F.struct("offset", "positions")).alias("slots"),
              F.sum("idf").alias("idf"), F.max("dl").alias("dl"))
@@ -136,11 +162,13 @@ def match_positional(view: IndexView, clauses: DataFrame, shared: bool = False)
         "query_id", "group_id", "volume", "path", *_occur_counts(), weight.alias("weight"))
 
 
-def match_expanded(view: IndexView, clauses: DataFrame,
-                   kinds: tuple[str, ...] = EXPANDED) -> DataFrame:
+def match_expanded(view: IndexView, clauses: DataFrame, bounds: ClauseBounds) -> DataFrame:
     """Prefix, wildcard, fuzzy and range clauses: expanded over the dictionary, then
     looked up. A match scores its boost, however many of the terms a document has."""
-    expanded = checkpointed(expand_clauses(clauses, view.dictionary, kinds).withColumn(
+    kinds = tuple(k for k in EXPANDED if k in bounds.kinds)
+    asked = broadcast_within(anchored(clauses, kinds), bounds.anchors)
+    # Of unknown size: written once, then measured.
+    expanded = checkpointed(expand_clauses(asked, view.dictionary, kinds).withColumn(
         "bucket", term_bucket(F.col("term"), view.buckets)))
     found = view.postings.select("bucket", "term", "volume", "path").join(
         small_side(expanded), ["bucket", "term"])
@@ -150,30 +178,32 @@ def match_expanded(view: IndexView, clauses: DataFrame,
         "query_id", "group_id", "volume", "path", *_occur_counts(), weight.alias("weight"))
 
 
-def match_paths(view: IndexView, clauses: DataFrame, shared: bool = False) -> DataFrame:
+def match_paths(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
+                shared: bool = False) -> DataFrame:
     """Clauses on the path: the whole value, case-sensitive. As a field of one token that
     one document of a volume has, it scores with tf = dl = df = 1."""
     asked = clauses.filter(F.col("kind") == "path").select(
         "query_id", "group_id", "occur", "boost", F.col("text").alias("path"))
-    found = view.doc_list.select("volume", "path").join(small_side(asked), "path")
+    found = view.doc_list.select("volume", "path").join(
+        broadcast_within(asked, bounds.clauses), "path")
     if shared:
         same = found.groupBy("path").agg(F.countDistinct("volume").alias("df"))
-        total = view.sizes.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-        found = found.join(same, "path").withColumn("n_docs", F.lit(total))
+        found = found.join(same, "path").withColumn("n_docs", F.lit(view.n_docs))
     else:
-        found = found.withColumn("df", F.lit(1)).join(small_side(view.sizes), "volume")
+        found = found.withColumn("df", F.lit(1)).join(view.volume_sizes(), "volume")
     idf = _idf(F.col("n_docs"), F.col("df"))
     weight = F.when(F.col("occur") == "must_not", 0.0).otherwise(F.col("boost") * idf * idf)
     return found.select("query_id", "group_id", "volume", "path", *_occur_counts(),
                         weight.alias("weight"))
 
 
-def _keep_matching(rows: DataFrame, shape: DataFrame, keys: list[str]) -> DataFrame:
+def _keep_matching(rows: DataFrame, shape: DataFrame, bounds: ClauseBounds,
+                   keys: list[str]) -> DataFrame:
     """Required clauses all there, prohibited ones absent, and one optional clause at
     least where nothing is required. The score is scaled by the share of clauses met."""
     met = F.col("must") + F.col("should")
     return (
-        rows.join(small_side(shape), keys)
+        rows.join(broadcast_within(shape, bounds.clauses), keys)
         .filter((F.col("must") == F.col("n_must")) & (F.col("must_not") == 0)
                 & ((F.col("n_must") > 0) | (F.col("should") > 0)))
         .withColumn("score", met / F.col("n_scored") * F.col("weight")))
@@ -189,18 +219,20 @@ def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*OCCURS, "weight")])
 
 
-def combine(matches: DataFrame, clauses: DataFrame, grouped: bool = False) -> DataFrame:
+def combine(matches: DataFrame, clauses: DataFrame, bounds: ClauseBounds,
+            grouped: bool = False) -> DataFrame:
     """Hits (query_id, volume, path, score) from the matches of all clauses. With groups,
     the same rule holds inside each group and again over the groups."""
     group = ["query_id", "group_id"]
     rows = _keep_matching(_summed(matches, [*group, "volume", "path"]),
-                          _shape(group, clauses), group)
+                          _shape(group, clauses), bounds, group)
     if grouped:
         groups = clauses.groupBy(*group).agg(F.min("group_occur").alias("occur"))
-        outer = rows.select(*group, "volume", "path", "score").join(small_side(groups), group)
+        outer = rows.select(*group, "volume", "path", "score").join(
+            broadcast_within(groups, bounds.clauses), group)
         weight = F.when(F.col("occur") == "must_not", 0.0).otherwise(F.col("score"))
         outer = outer.select("query_id", "volume", "path", *_occur_counts(),
                              weight.alias("weight"))
         rows = _keep_matching(_summed(outer, ["query_id", "volume", "path"]),
-                              _shape(["query_id"], groups), ["query_id"])
+                              _shape(["query_id"], groups), bounds, ["query_id"])
     return rows.select("query_id", "volume", "path", F.round("score", 6).alias("score"))

@@ -12,16 +12,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..errors import missing_path
 from ..functions.analysis import term_bucket
 from ..operators.changes import (
     classify_changes, last_changes, late_bound_content, net_changes, route_to_volume)
 from ..operators.postings import build_postings, document_frequencies, volume_sizes
-from ..session import small_side
+from ..session import Size, broadcast_within, measured, size_columns, small_side
 
 
 @dataclass(frozen=True)
@@ -34,15 +34,28 @@ class IndexView:
     buckets: int
     stored_terms: DataFrame | None = None   # volume, term, df; None: count on demand
 
-    def frequencies(self, terms: DataFrame) -> DataFrame:
-        """(volume, term, df) of the given terms. Taken from the stored table while it
-        holds, otherwise counted over the live postings of just these terms."""
+    @cached_property
+    def extent(self) -> Size:
+        """Size of the volume side, taken once per view."""
+        return measured(self.sizes)
+
+    @cached_property
+    def n_docs(self) -> int:
+        """Documents of all volumes."""
+        return self.sizes.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+
+    def volume_sizes(self) -> DataFrame:
+        return broadcast_within(self.sizes, self.extent)
+
+    def frequencies(self, terms: DataFrame, size: Size) -> DataFrame:
+        """(volume, term, df) of the given terms, which are at most ``size``. Taken from
+        the stored table while it holds, otherwise counted over the live postings of
+        just these terms."""
         if self.stored_terms is not None:
-            return self.stored_terms.join(small_side(terms.select("term")), "term", "left_semi")
-        keys = small_side(terms.select("term", term_bucket(F.col("term"), self.buckets)
-                                       .alias("bucket")))
-        return document_frequencies(
-            self.postings.join(keys, ["bucket", "term"], "left_semi"))
+            return self.stored_terms.join(broadcast_within(terms, size), "term", "left_semi")
+        keys = terms.withColumn("bucket", term_bucket(F.col("term"), self.buckets))
+        return document_frequencies(self.postings.join(
+            broadcast_within(keys, size), ["bucket", "term"], "left_semi"))
 
     @property
     def dictionary(self) -> DataFrame:
@@ -86,43 +99,102 @@ class Index:
 
     # ---- what is there -------------------------------------------------------------
 
-    def _read(self, table: str, schema: str) -> DataFrame:
+    def _table(self, name: str, schema: str) -> DataFrame | None:
+        """A table of the index, or None before its first write."""
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
-        except Exception as error:
-            if missing_path(error):
-                return self.spark.createDataFrame([], schema)
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
             raise
 
-    def _commits(self) -> list:
-        """The commit log: one small row per batch, so it fits the driver."""
-        return sorted(self._read("commits", schemas.COMMITS).distinct().collect())
+    def _log(self) -> list:
+        """The commit log, oldest first: one small row per batch, so it fits the driver."""
+        commits = self._table("commits", schemas.COMMITS)
+        return [] if commits is None else sorted(commits.distinct().collect())
 
     def exists(self) -> bool:
-        return bool(self._commits())
+        return bool(self._log())
+
+    def _bases(self, log: list) -> DataFrame:
+        """(volume, base, n_docs at the base) of every volume that has an index and was
+        not excluded."""
+        bases = [c["batch_id"] for c in log if c["is_base"]]
+        stats = self._table("volume_stats", schemas.VOLUME_STATS)
+        if stats is None:
+            return self.spark.createDataFrame([], "volume STRING, base BIGINT, n_docs BIGINT")
+        stats = stats.filter(F.col("batch_id").isin(bases)).groupBy("volume").agg(
+            F.max("batch_id").alias("base"), F.max_by("n_docs", "batch_id").alias("n_docs"))
+        return self._not_excluded(stats)
 
-    @property
-    def buckets(self) -> int:
-        commits = self._commits()
-        return commits[0]["buckets"] if commits else self._new_buckets
+    def _not_excluded(self, rows: DataFrame) -> DataFrame:
+        excluded = self._table("excluded_volumes", schemas.EXCLUDED_VOLUMES)
+        if excluded is None:
+            return rows
+        return rows.join(small_side(excluded.distinct()), "volume", "left_anti")
 
     def indexed_volumes(self) -> DataFrame:
-        """(volume, base, n_docs at base): every volume that has an index."""
-        visible = [c["batch_id"] for c in self._commits() if c["is_base"]]
-        stats = self._read("volume_stats", schemas.VOLUME_STATS)
-        stats = stats.filter(F.col("batch_id").isin(visible))
-        bases = stats.groupBy("volume").agg(
-            F.max("batch_id").alias("base"), F.max_by("n_docs", "batch_id").alias("n_docs"))
-        return bases.join(small_side(self.excluded_volumes()), "volume", "left_anti")
-
-    def excluded_volumes(self) -> DataFrame:
-        return self._read("excluded_volumes", schemas.EXCLUDED_VOLUMES).distinct()
+        """(volume) of every volume that can be searched."""
+        return self._bases(self._log()).select("volume")
 
     # ---- live rows -----------------------------------------------------------------
 
     def view(self) -> IndexView:
-        """The live index as of now. Open a new view to see later commits."""
-        return _LiveRows(self).view()
+        """The live index as of now; open a new view to see later commits.
+
+        A row is dead when its volume got a newer base, or its path a newer change. The
+        first is a join with one row per volume, the second an anti join with the paths
+        changed since the bases, which are few next to the postings. A view over one base
+        batch has neither join, and whole batches before every base are not read.
+        """
+        log = self._log()
+        bases = self._bases(log)
+        rows, size, first = bases.agg(*size_columns(bases), F.min("base")).first()
+        extent = Size(rows, size)
+        current = broadcast_within(bases, extent)
+        batches = [c["batch_id"] for c in log if first is not None and c["batch_id"] >= first]
+        deltas = [c["batch_id"] for c in log if c["batch_id"] in batches and not c["is_base"]]
+        one_base = (len(batches) == 1
+                    and self._table("excluded_volumes", schemas.EXCLUDED_VOLUMES) is None)
+
+        def visible(name, schema):
+            table = self._table(name, schema)
+            if table is None:
+                table = self.spark.createDataFrame([], schema)
+            return table.filter(F.col("batch_id").isin(batches))
+
+        def after_base(table):
+            if one_base:
+                return table
+            kept = table.join(current.select("volume", "base"), "volume")
+            return kept.filter(F.col("batch_id") >= F.col("base")).select(*table.columns)
+
+        state = visible("doc_state", schemas.DOC_STATE)
+        changed = None
+        if deltas:
+            changed = small_side(
+                state.filter(F.col("batch_id").isin(deltas)).groupBy("volume", "path")
+                .agg(F.max("batch_id").alias("last")))
+
+        def live(table):
+            table = after_base(table)
+            if changed is None:
+                return table
+            newer = ((table["volume"] == changed["volume"]) & (table["path"] == changed["path"])
+                     & (table["batch_id"] < changed["last"]))
+            return table.join(changed, newer, "left_anti")
+
+        postings = live(visible("postings", schemas.POSTINGS).filter(F.col("bucket") >= 0))
+        doc_list = live(state).filter("live").select("volume", "path", "dl")
+        view = IndexView(
+            postings.select("volume", "term", "path", "tf", "dl", "positions", "bucket"),
+            doc_list,
+            volume_sizes(doc_list) if deltas else bases.select("volume", "n_docs"),
+            self._buckets(log),
+            None if deltas else
+            after_base(visible("terms", schemas.TERMS)).select("volume", "term", "df"))
+        view.__dict__["extent"] = extent
+        return view
 
     def postings(self) -> DataFrame:
         return self.view().postings
@@ -139,10 +211,10 @@ class Index:
         if volumes is not None:
             volumes = volumes.select("volume").distinct()
             docs = docs.join(small_side(volumes), "volume", "left_semi")
-        docs = docs.join(small_side(self.excluded_volumes()), "volume", "left_anti")
-        batch_id = self._next_batch()
-        self._write_postings(docs, batch_id)
-        written = self._batch_rows("postings", schemas.POSTINGS, batch_id)
+        log = self._log()
+        batch_id = self._next_batch(log)
+        self._write_postings(self._not_excluded(docs), batch_id, log)
+        written = self._written(batch_id)
         listed = written.filter(F.col("bucket") == -1)
         self._write_state(listed.select("volume", "path", "dl", F.lit(True).alias("live")),
                           batch_id)
@@ -156,21 +228,19 @@ class Index:
             sizes = (volumes.join(sizes, "volume", "left")
                      .select("volume", F.coalesce("n_docs", F.lit(0)).alias("n_docs")))
         sizes.write.mode("overwrite").parquet(f"{self.root}/volume_stats/batch_id={batch_id}")
-        self._publish(batch_id, True, token)
+        self._publish(batch_id, True, token, log)
         return batch_id
 
     def bootstrap(self, docs: DataFrame, volumes: DataFrame) -> int | None:
         """Build the volumes that have no index yet and leave the others as they are."""
-        new = (volumes.select("volume").distinct()
-               .join(small_side(self.indexed_volumes().select("volume")), "volume", "left_anti")
-               .join(small_side(self.excluded_volumes()), "volume", "left_anti"))
+        new = self._not_excluded(volumes.select("volume").distinct()).join(
+            small_side(self.indexed_volumes()), "volume", "left_anti")
         return None if new.isEmpty() else self.build(docs, new)
 
     def reindex(self, docs: DataFrame, volumes: DataFrame | None = None) -> int:
         """Rebuild some volumes, or all. Drops the dead rows: they are no longer read."""
         if volumes is None:
-            known = self.indexed_volumes().select("volume")
-            volumes = known.unionByName(docs.select("volume")).distinct()
+            volumes = self.indexed_volumes().unionByName(docs.select("volume")).distinct()
         return self.build(docs, volumes)
 
     def commit(self, changes: DataFrame, docs: DataFrame, volumes: DataFrame | None = None,
@@ -179,23 +249,24 @@ class Index:
         the updates with the contents found in ``docs`` now. ``volumes`` restricts the
         commit. A ``token`` seen before makes it a no-op, so a redelivered batch counts
         once. Work grows with the batch, not with the index."""
-        if token is not None and any(c["token"] == token for c in self._commits()):
+        log = self._log()
+        if token is not None and any(c["token"] == token for c in log):
             return None
-        scope = self.indexed_volumes()
+        scope = self._bases(log)
         if volumes is not None:
             scope = scope.join(small_side(volumes.select("volume")), "volume", "left_semi")
         feed = route_to_volume(classify_changes(changes), scope)
         net = last_changes(net_changes(feed)).persist()
         try:
-            batch_id = self._next_batch()
-            self._write_postings(late_bound_content(net, docs), batch_id)
-            added = (self._batch_rows("postings", schemas.POSTINGS, batch_id)
+            batch_id = self._next_batch(log)
+            self._write_postings(late_bound_content(net, docs), batch_id, log)
+            added = (self._written(batch_id)
                      .filter(F.col("bucket") == -1).select("volume", "path", "dl"))
             state = net.join(added, ["volume", "path"], "left").select(
                 "volume", "path", F.coalesce("dl", F.lit(0)).alias("dl"),
                 F.col("dl").isNotNull().alias("live"))
             self._write_state(state, batch_id)
-            self._publish(batch_id, False, token)
+            self._publish(batch_id, False, token, log)
         finally:
             net.unpersist()
         return batch_id
@@ -208,17 +279,20 @@ class Index:
 
     # ---- helpers -------------------------------------------------------------------
 
-    def _next_batch(self) -> int:
-        return max((c["batch_id"] for c in self._commits()), default=-1) + 1
+    def _next_batch(self, log: list) -> int:
+        return max((c["batch_id"] for c in log), default=-1) + 1
+
+    def _buckets(self, log: list) -> int:
+        return log[0]["buckets"] if log else self._new_buckets
 
-    def _batch_rows(self, table: str, schema: str, batch_id: int) -> DataFrame:
-        return self._read(table, schema).filter(F.col("batch_id") == batch_id)
+    def _written(self, batch_id: int) -> DataFrame:
+        return self._table("postings", schemas.POSTINGS).filter(F.col("batch_id") == batch_id)
 
-    def _write_postings(self, docs: DataFrame, batch_id: int) -> None:
+    def _write_postings(self, docs: DataFrame, batch_id: int, log: list) -> None:
         """Sorted by term within volume and bucket. Rebalancing splits what is too big
         for one task, whatever volume or term it is, and merges what is too small."""
         rows = build_postings(docs, list_documents=True).withColumn(
-            "bucket", term_bucket(F.col("term"), self.buckets))
+            "bucket", term_bucket(F.col("term"), self._buckets(log)))
         (rows.hint("rebalance", "volume", "bucket")
          .sortWithinPartitions("volume", "bucket", "term", "path")
          .write.mode("overwrite").partitionBy("volume", "bucket")
@@ -229,73 +303,7 @@ class Index:
          .write.mode("overwrite").partitionBy("volume")
          .parquet(f"{self.root}/doc_state/batch_id={batch_id}"))
 
-    def _publish(self, batch_id: int, is_base: bool, token: str | None) -> None:
+    def _publish(self, batch_id: int, is_base: bool, token: str | None, log: list) -> None:
         row = self.spark.createDataFrame(
-            [(batch_id, is_base, self.buckets, token)], schemas.COMMITS)
+            [(batch_id, is_base, self._buckets(log), token)], schemas.COMMITS)
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
-
-
-class _LiveRows:
-    """The live rule, over one reading of the commit log.
-
-    A row is dead when its volume got a newer base, or its path a newer change. The first
-    is a join with one row per volume, the second an anti join with the paths changed
-    since the bases, which are few next to the postings. A freshly built index has
-    neither join.
-    """
-
-    def __init__(self, index: Index):
-        self.index = index
-        commits = index._commits()
-        self.batches = [c["batch_id"] for c in commits]
-        self.deltas = [c["batch_id"] for c in commits if not c["is_base"]]
-        self.fresh = len(self.batches) <= 1
-        self.buckets = index.buckets
-
-    @cached_property
-    def bases(self) -> DataFrame:
-        return small_side(self.index.indexed_volumes())
-
-    @cached_property
-    def changed(self) -> DataFrame:
-        changes = self.index._read("doc_state", schemas.DOC_STATE)
-        changes = changes.filter(F.col("batch_id").isin(self.deltas))
-        return small_side(changes.groupBy("volume", "path").agg(
-            F.max("batch_id").alias("last")))
-
-    def _visible(self, table: str, schema: str) -> DataFrame:
-        rows = self.index._read(table, schema)
-        return rows.filter(F.col("batch_id").isin(self.batches))
-
-    def _after_base(self, rows: DataFrame) -> DataFrame:
-        current = self.bases.select("volume", "base")
-        columns = rows.columns
-        return (rows.join(current, "volume").filter(F.col("batch_id") >= F.col("base"))
-                .select(*columns))
-
-    def _live(self, rows: DataFrame) -> DataFrame:
-        rows = self._after_base(rows)
-        if not self.deltas:
-            return rows
-        c = self.changed
-        newer = ((rows["volume"] == c["volume"]) & (rows["path"] == c["path"])
-                 & (rows["batch_id"] < c["last"]))
-        return rows.join(c, newer, "left_anti")
-
-    def view(self) -> IndexView:
-        postings = self._visible("postings", schemas.POSTINGS).filter(F.col("bucket") >= 0)
-        state = self._visible("doc_state", schemas.DOC_STATE)
-        has_exclusions = not self.index.excluded_volumes().isEmpty()
-        sizes = None
-        terms = None
-        if not self.fresh or has_exclusions:
-            postings, state = self._live(postings), self._live(state)
-        doc_list = state.filter("live").select("volume", "path", "dl")
-        if not self.deltas:
-            sizes = self.bases.select("volume", "n_docs").filter("n_docs > 0")
-            terms = self._after_base(self._visible("terms", schemas.TERMS))
-            terms = terms.select("volume", "term", "df")
-        return IndexView(
-            postings.select("volume", "term", "path", "tf", "dl", "positions", "bucket"),
-            doc_list, sizes if sizes is not None else volume_sizes(doc_list),
-            self.buckets, terms)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.clauses import EXPANDED, POSITIONAL, analyze_clauses, clauses_from_text
 from ..operators.matching import (
-    MATCH_COLUMNS, combine, match_expanded, match_paths, match_positional, match_terms)
+    MATCH_COLUMNS, clause_bounds, combine, match_expanded, match_paths, match_positional,
+    match_terms)
+from ..session import checkpointed
 from .index import IndexView
 
 
@@ -19,25 +21,24 @@ def search(view: IndexView, clauses: DataFrame, shared_statistics: bool = False)
     scored as one collection.
     """
     grouped = "group_id" in clauses.columns
-    clauses = analyze_clauses(clauses)
-    # At most one row per clause kind.
-    kinds = {row["kind"] for row in clauses.select("kind").distinct().collect()}
+    # Read many times below, and small next to the index.
+    clauses = checkpointed(analyze_clauses(clauses))
+    bounds = clause_bounds(clauses)
     branches = []
-    if "term" in kinds:
-        branches.append(match_terms(view, clauses, shared_statistics))
-    if kinds & set(POSITIONAL):
-        branches.append(match_positional(view, clauses, shared_statistics))
-    if kinds & set(EXPANDED):
-        asked = tuple(k for k in EXPANDED if k in kinds)
-        branches.append(match_expanded(view, clauses, asked))
-    if "path" in kinds:
-        branches.append(match_paths(view, clauses, shared_statistics))
+    if "term" in bounds.kinds:
+        branches.append(match_terms(view, clauses, bounds, shared_statistics))
+    if bounds.kinds & set(POSITIONAL):
+        branches.append(match_positional(view, clauses, bounds, shared_statistics))
+    if bounds.kinds & set(EXPANDED):
+        branches.append(match_expanded(view, clauses, bounds))
+    if "path" in bounds.kinds:
+        branches.append(match_paths(view, clauses, bounds, shared_statistics))
     if not branches:
         return _no_hits(clauses)
     matches = branches[0].select(*MATCH_COLUMNS)
     for branch in branches[1:]:
         matches = matches.unionByName(branch.select(*MATCH_COLUMNS))
-    return combine(matches, clauses, grouped)
+    return combine(matches, clauses, bounds, grouped)
 
 
 def search_text(view: IndexView, queries: DataFrame, occur: str = "should",

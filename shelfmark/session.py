@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when it is counted and lies under both bounds.
@@ -39,29 +40,40 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def measured(df: DataFrame) -> tuple[int, int]:
-    """Rows of ``df`` and their size in bytes, written as JSON."""
-    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    rows, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
-    return rows, total or 0
+@dataclass(frozen=True)
+class Size:
+    """Rows and bytes, measured or proven as an upper bound."""
 
+    rows: int
+    bytes: int
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS,
-               max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if it is measured to be small.
+    def times(self, other: Size) -> Size:
+        """Bound for a join of the two sides."""
+        return Size(self.rows * other.rows,
+                    self.bytes * other.rows + other.bytes * self.rows)
 
-    Otherwise ``df`` comes back without a hint and the join is a shuffle join, whose
-    hot keys adaptive execution splits. Meant for the query side, the change side and
-    the dimension tables, never for the corpus or the postings: measuring runs ``df``.
-    """
-    rows, size = measured(df)
-    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+    def fits(self) -> bool:
+        return self.rows <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
 
 
-def small_product(joined: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Like :func:`small_side` for a join of ``left`` and ``right``, which has at most
-    the product of their rows: measures the two inputs and does not run the join."""
-    (left_rows, left_size), (right_rows, right_size) = measured(left), measured(right)
-    size = left_size * right_rows + right_size * left_rows
-    fits = left_rows * right_rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
-    return F.broadcast(joined) if fits else joined
+def size_columns(df: DataFrame) -> list[Column]:
+    """Aggregates for the rows of ``df`` and their bytes, written as JSON."""
+    row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).alias("bytes")]
+
+
+def measured(df: DataFrame) -> Size:
+    return Size(*df.agg(*size_columns(df)).first())
+
+
+def broadcast_within(df: DataFrame, size: Size) -> DataFrame:
+    """``df`` with a broadcast hint if ``size`` is small. Otherwise without one: the join
+    is a shuffle join then, whose hot keys adaptive execution splits."""
+    return F.broadcast(df) if size.fits() else df
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it is measured to be small. Measuring runs ``df``: meant for
+    the query side, the change side and dimension tables, never for the corpus or the
+    postings."""
+    return broadcast_within(df, measured(df))
