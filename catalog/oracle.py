@@ -210,6 +210,33 @@ FROM inner_hits JOIN (SELECT query_id, count(*) AS groups FROM sizes GROUP BY qu
   USING (query_id)
 GROUP BY query_id, volume, path HAVING bool_or(g = 0)"""
 
+def _nested() -> str:
+    """Named hit lists, each its own scored search."""
+    parts = {
+        "one": (_term_clauses(["should"] * 2), TERM_MATCHES),
+        "two": ("""cl AS (SELECT query_id, i AS clause_id, 'should' AS occur,
+      CAST(1 AS DOUBLE) AS boost, term FROM qt JOIN (VALUES (2), (3)) c(i) USING (i))""",
+                TERM_MATCHES),
+        "phrase": ("""pt AS (SELECT query_id, term, i AS off,
+      count(*) OVER (PARTITION BY query_id) AS n FROM qt JOIN (VALUES (0), (1)) c(i) USING (i)),
+    cl AS (SELECT DISTINCT query_id, 0 AS clause_id, 'should' AS occur FROM pt)""",
+                   PHRASE_MATCHES),
+        "place": ("cl AS (SELECT item_id AS query_id, 1 AS clause_id, 'should' AS occur "
+                  "FROM benchmark)", """SELECT query_id, 1 AS clause_id, volume, path,
+      pow(1 + ln(n_docs / 2), 2) AS w FROM cl
+      JOIN docs ON path = CAST(query_id AS VARCHAR) JOIN nd USING (volume)""")}
+    lists = ",\n".join(
+        f"{name} AS (WITH {clauses},{_scored(matches)} SELECT * FROM hits)"
+        for name, (clauses, matches) in parts.items())
+    return f"""WITH {STATS},\n{QUERY_TOKENS},\n{lists},
+    inner_hits AS (SELECT query_id, volume, path, one.score + two.score AS score
+      FROM one JOIN two USING (query_id, volume, path)
+      WHERE (query_id, volume, path) NOT IN (SELECT (query_id, volume, path) FROM phrase))
+    SELECT query_id, volume, path, round(sum(score), 6) AS score FROM (
+      SELECT * FROM inner_hits UNION ALL SELECT query_id, volume, path, score FROM place) u
+    GROUP BY query_id, volume, path"""
+
+
 RANK = "row_number() OVER (PARTITION BY query_id, volume ORDER BY score DESC, path)"
 POSITIONS = _with_hits(ANY_THREE) + f""",
     {VOLUMES},
@@ -332,6 +359,7 @@ SQL: dict[str, str] = {
     "search_range": _search(RANGE, RANGE_MATCHES),
     "search_boost": _search(_term_clauses(["should", "should"], [2.5, 0.5])),
     "search_groups": GROUPS,
+    "search_nested": _nested(),
     "search_field": _search(FIELD, FIELD_MATCHES),
     "score_hits": _search(ALL_TOKENS),
     "rank_hits": _with_hits(ANY_THREE) + f" SELECT query_id, volume, path, score, {RANK} AS rank "

@@ -106,7 +106,7 @@ def write_index(spark, sf):
 @query
 def read_index(spark, sf):
     view = inputs.corpus_index(spark, sf).view()
-    terms = view.stored_terms.groupBy("volume").agg(F.count(F.lit(1)).alias("n_terms"))
+    terms = view.terms.groupBy("volume").agg(F.count(F.lit(1)).alias("n_terms"))
     return view.sizes.join(terms, "volume").select("volume", "n_docs", "n_terms")
 
 
@@ -215,7 +215,7 @@ def net_changes(spark, sf):
 
 @query
 def late_bound_content(spark, sf):
-    net = feed_ops.last_changes(feed_ops.net_changes(inputs.changes(spark, sf)))
+    net = feed_ops.last_changes(inputs.changes(spark, sf))
     return feed_ops.late_bound_content(net, inputs.current_documents(spark, sf)) \
         .select("volume", "path", "contents")
 
@@ -263,7 +263,7 @@ def build_postings_conversations(spark, sf):
 @query
 def build_statistics(spark, sf):
     view = view_of(inputs.documents(spark, sf))
-    return view.stored_terms.join(view.sizes, "volume").select(
+    return view.terms.join(view.sizes, "volume").select(
         "volume", "term", "df", "n_docs")
 
 
@@ -273,7 +273,7 @@ def document_lengths(spark, sf):
 
 
 def _touched(spark, sf, is_update: bool) -> DataFrame:
-    last = feed_ops.last_changes(feed_ops.net_changes(inputs.changes(spark, sf)))
+    last = feed_ops.last_changes(inputs.changes(spark, sf))
     return last.filter(F.col("is_update") == is_update).select("volume", "path")
 
 
@@ -311,7 +311,7 @@ def commit(spark, sf):
 def reindex(spark, sf):
     index = _committed(spark, sf, "reindexed")
     index.reindex(inputs.current_documents(spark, sf))
-    return index.view().stored_terms
+    return index.view().terms
 
 
 @query
@@ -472,6 +472,20 @@ def search_batch(spark, sf):
     return results.top_k(score_hits(spark, sf), 10, per_volume=False)
 
 
+@query
+def search_nested(spark, sf):
+    view = inputs.corpus_index(spark, sf).view()
+
+    def hits(*clauses):
+        return search(view, _clauses(spark, sf, *clauses))
+
+    first = hits(*[_clause(clause_id=i, text=F.col(f"t{i}")) for i in range(2)])
+    second = hits(*[_clause(clause_id=i, text=F.col(f"t{i}")) for i in (2, 3)])
+    phrase = hits(_clause(kind="phrase", text=F.concat_ws(" ", "t0", "t1")))
+    path = hits(_clause(field="path", text=F.col("query_id")))
+    return results.either(results.without(results.both(first, second), phrase), path)
+
+
 # ---- results -----------------------------------------------------------------------------
 
 

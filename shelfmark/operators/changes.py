@@ -29,10 +29,11 @@ def net_changes(changes: DataFrame) -> DataFrame:
         F.bool_or(F.col("op") == "created").alias("is_update"))
 
 
-def last_changes(net: DataFrame) -> DataFrame:
-    """The batches applied one after the other: for each path the last one decides."""
-    return net.groupBy("volume", "path").agg(
-        F.max_by("is_update", "batch").alias("is_update"))
+def last_changes(changes: DataFrame) -> DataFrame:
+    """The net effect of all batches, applied one after the other: for each path its last
+    batch decides. One aggregation: the greatest (batch, created) pair says both."""
+    last = F.max(F.struct("batch", (F.col("op") == "created").alias("is_update")))
+    return changes.groupBy("volume", "path").agg(last["is_update"].alias("is_update"))
 
 
 def late_bound_content(net: DataFrame, docs: DataFrame) -> DataFrame:

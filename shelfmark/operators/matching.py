@@ -76,7 +76,7 @@ def _postings_of(view: IndexView, wanted: DataFrame, size: Size, columns: list[s
     # A wanted row meets each volume once at most.
     lookup = broadcast_within(lookup, size if shared else size.times(view.extent))
     keys = ["bucket", "term"] if shared else ["bucket", "volume", "term"]
-    return view.postings.select("bucket", "volume", "term", "path", *columns).join(lookup, keys)
+    return view.find(lookup, keys, columns)
 
 
 def match_terms(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
@@ -170,8 +170,7 @@ def match_expanded(view: IndexView, clauses: DataFrame, bounds: ClauseBounds) ->
     # Of unknown size: written once, then measured.
     expanded = checkpointed(expand_clauses(asked, view.dictionary, kinds).withColumn(
         "bucket", term_bucket(F.col("term"), view.buckets)))
-    found = view.postings.select("bucket", "term", "volume", "path").join(
-        small_side(expanded), ["bucket", "term"])
+    found = view.find(small_side(expanded), ["bucket", "term"], [])
     keys = ["query_id", "group_id", "clause_id", "occur", "boost", "volume", "path"]
     weight = F.when(F.col("occur") == "must_not", 0.0).otherwise(F.col("boost"))
     return found.select(*keys).distinct().select(

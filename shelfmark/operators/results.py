@@ -15,6 +15,29 @@ def _order(columns: tuple[str, ...]) -> list[Column]:
             for c in columns]
 
 
+HIT_KEY = ["query_id", "volume", "path"]
+
+
+def either(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Hits of one search or the other; scores add up."""
+    rows = one.select(*HIT_KEY, "score").unionByName(other.select(*HIT_KEY, "score"))
+    return rows.groupBy(*HIT_KEY).agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+def both(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Hits of both searches; scores add up. With ``either`` and ``without`` it nests
+    boolean groups to any depth."""
+    rows = one.select(*HIT_KEY, "score").unionByName(other.select(*HIT_KEY, "score"))
+    return (rows.groupBy(*HIT_KEY)
+            .agg(F.round(F.sum("score"), 6).alias("score"), F.count(F.lit(1)).alias("_n"))
+            .filter("_n = 2").drop("_n"))
+
+
+def without(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Hits of one search that the other does not have."""
+    return one.join(other.select(*HIT_KEY), HIT_KEY, "left_anti")
+
+
 def number_rows(rows: DataFrame, group: list[str], order: tuple[str, ...],
                 name: str) -> DataFrame:
     """Number the rows of each group from 1 in the given order, whatever a group's size.

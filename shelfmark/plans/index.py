@@ -9,7 +9,8 @@ time is assumed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.errors import AnalysisException
@@ -19,25 +20,47 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.analysis import term_bucket
 from ..operators.changes import (
-    classify_changes, last_changes, late_bound_content, net_changes, route_to_volume)
+    classify_changes, last_changes, late_bound_content, route_to_volume)
 from ..operators.postings import build_postings, document_frequencies, volume_sizes
 from ..session import Size, broadcast_within, measured, size_columns, small_side
 
 
+POSTING_COLUMNS = ["volume", "term", "path", "tf", "dl", "positions"]
+
+
+def _as_they_are(rows: DataFrame) -> DataFrame:
+    return rows
+
+
 @dataclass(frozen=True)
 class IndexView:
-    """What a search reads: live rows only."""
+    """What a search reads. Every live row counts, dead ones do not."""
 
-    postings: DataFrame       # volume, term, path, tf, dl, positions, bucket
-    doc_list: DataFrame       # volume, path, dl
-    sizes: DataFrame          # volume, n_docs
+    stored: DataFrame         # postings as stored; batch_id tells versions apart
+    doc_list: DataFrame       # volume, path, dl; live
+    sizes: DataFrame          # volume, n_docs; live
+    dictionary: DataFrame     # term; all that live postings have, maybe more
     buckets: int
-    stored_terms: DataFrame | None = None   # volume, term, df; None: count on demand
+    terms: DataFrame | None = None   # volume, term, df; None: count on demand
+    keep_live: Callable[[DataFrame], DataFrame] = _as_they_are
+    known_extent: Size | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        """All live postings (volume, term, path, tf, dl, positions)."""
+        return self.keep_live(self.stored).select(*POSTING_COLUMNS)
+
+    def find(self, lookup: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+        """Live postings that join ``lookup`` on ``keys``, with its columns. The lookup
+        comes first: only what it finds is checked for being live."""
+        wanted = list(dict.fromkeys(["bucket", "volume", "term", "path", *columns, "batch_id"]))
+        found = self.stored.select(*wanted).join(lookup, keys)
+        return self.keep_live(found).drop("batch_id")
 
     @cached_property
     def extent(self) -> Size:
-        """Size of the volume side, taken once per view."""
-        return measured(self.sizes)
+        """Bound for the volume side, taken once per view."""
+        return self.known_extent or measured(self.sizes)
 
     @cached_property
     def n_docs(self) -> int:
@@ -51,19 +74,12 @@ class IndexView:
         """(volume, term, df) of the given terms, which are at most ``size``. Taken from
         the stored table while it holds, otherwise counted over the live postings of
         just these terms."""
-        if self.stored_terms is not None:
-            return self.stored_terms.join(broadcast_within(terms, size), "term", "left_semi")
-        keys = terms.withColumn("bucket", term_bucket(F.col("term"), self.buckets))
-        return document_frequencies(self.postings.join(
-            broadcast_within(keys, size), ["bucket", "term"], "left_semi"))
-
-    @property
-    def dictionary(self) -> DataFrame:
-        """Distinct terms over all volumes."""
-        source = self.stored_terms
-        if source is None:
-            source = self.postings.filter(F.col("term") != "")
-        return source.select("term").distinct()
+        if self.terms is not None:
+            return self.terms.join(broadcast_within(terms, size), "term", "left_semi")
+        keys = terms.distinct().withColumn(
+            "bucket", term_bucket(F.col("term"), self.buckets))
+        return document_frequencies(
+            self.find(broadcast_within(keys, size), ["bucket", "term"], []))
 
     def volumes(self, wanted: DataFrame) -> IndexView:
         """The view cut down to some volumes."""
@@ -72,18 +88,19 @@ class IndexView:
         def cut(rows):
             return None if rows is None else rows.join(keys, "volume", "left_semi")
 
-        return IndexView(cut(self.postings), cut(self.doc_list), cut(self.sizes),
-                         self.buckets, cut(self.stored_terms))
+        return replace(self, stored=cut(self.stored), doc_list=cut(self.doc_list),
+                       sizes=cut(self.sizes), terms=cut(self.terms))
 
 
 def view_of(docs: DataFrame, buckets: int = 8) -> IndexView:
     """A search view straight over documents, with nothing stored. For a corpus that is
     searched once; the texts are analysed again by each search."""
-    postings = build_postings(docs, list_documents=True).withColumn(
-        "bucket", term_bucket(F.col("term"), buckets))
-    doc_list = postings.filter(F.col("bucket") == -1).select("volume", "path", "dl")
-    return IndexView(postings.filter(F.col("bucket") >= 0), doc_list,
-                     volume_sizes(doc_list), buckets,
+    rows = build_postings(docs, list_documents=True).withColumns({
+        "bucket": term_bucket(F.col("term"), buckets), "batch_id": F.lit(0)})
+    doc_list = rows.filter(F.col("bucket") == -1).select("volume", "path", "dl")
+    postings = rows.filter(F.col("bucket") >= 0)
+    return IndexView(postings, doc_list, volume_sizes(doc_list),
+                     postings.select("term").distinct(), buckets,
                      document_frequencies(postings))
 
 
@@ -108,6 +125,14 @@ class Index:
                 return None
             raise
 
+    def _batches(self, name: str, schema: str, batches: list[int]) -> DataFrame:
+        """Some batches of a table. Other batches are not even listed."""
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        folder = f"{self.root}/{name}"
+        return self.spark.read.schema(schema).option("basePath", folder).parquet(
+            *[f"{folder}/batch_id={b}" for b in batches])
+
     def _log(self) -> list:
         """The commit log, oldest first: one small row per batch, so it fits the driver."""
         commits = self._table("commits", schemas.COMMITS)
@@ -120,10 +145,8 @@ class Index:
         """(volume, base, n_docs at the base) of every volume that has an index and was
         not excluded."""
         bases = [c["batch_id"] for c in log if c["is_base"]]
-        stats = self._table("volume_stats", schemas.VOLUME_STATS)
-        if stats is None:
-            return self.spark.createDataFrame([], "volume STRING, base BIGINT, n_docs BIGINT")
-        stats = stats.filter(F.col("batch_id").isin(bases)).groupBy("volume").agg(
+        stats = self._batches("volume_stats", schemas.VOLUME_STATS, bases)
+        stats = stats.groupBy("volume").agg(
             F.max("batch_id").alias("base"), F.max_by("n_docs", "batch_id").alias("n_docs"))
         return self._not_excluded(stats)
 
@@ -157,44 +180,42 @@ class Index:
         one_base = (len(batches) == 1
                     and self._table("excluded_volumes", schemas.EXCLUDED_VOLUMES) is None)
 
-        def visible(name, schema):
-            table = self._table(name, schema)
-            if table is None:
-                table = self.spark.createDataFrame([], schema)
-            return table.filter(F.col("batch_id").isin(batches))
-
-        def after_base(table):
+        def after_base(rows):
             if one_base:
-                return table
-            kept = table.join(current.select("volume", "base"), "volume")
-            return kept.filter(F.col("batch_id") >= F.col("base")).select(*table.columns)
+                return rows
+            kept = rows.join(current.select("volume", "base"), "volume")
+            return kept.filter(F.col("batch_id") >= F.col("base")).select(*rows.columns)
 
-        state = visible("doc_state", schemas.DOC_STATE)
         changed = None
         if deltas:
             changed = small_side(
-                state.filter(F.col("batch_id").isin(deltas)).groupBy("volume", "path")
-                .agg(F.max("batch_id").alias("last")))
+                self._batches("doc_state", schemas.DOC_STATE, deltas)
+                .groupBy("volume", "path").agg(F.max("batch_id").alias("last")))
 
-        def live(table):
-            table = after_base(table)
+        def keep_live(rows):
+            rows = after_base(rows)
             if changed is None:
-                return table
-            newer = ((table["volume"] == changed["volume"]) & (table["path"] == changed["path"])
-                     & (table["batch_id"] < changed["last"]))
-            return table.join(changed, newer, "left_anti")
-
-        postings = live(visible("postings", schemas.POSTINGS).filter(F.col("bucket") >= 0))
-        doc_list = live(state).filter("live").select("volume", "path", "dl")
-        view = IndexView(
-            postings.select("volume", "term", "path", "tf", "dl", "positions", "bucket"),
-            doc_list,
-            volume_sizes(doc_list) if deltas else bases.select("volume", "n_docs"),
-            self._buckets(log),
-            None if deltas else
-            after_base(visible("terms", schemas.TERMS)).select("volume", "term", "df"))
-        view.__dict__["extent"] = extent
-        return view
+                return rows
+            newer = ((rows["volume"] == changed["volume"]) & (rows["path"] == changed["path"])
+                     & (rows["batch_id"] < changed["last"]))
+            return rows.join(changed, newer, "left_anti")
+
+        stored = self._batches("postings", schemas.POSTINGS, batches)
+        stored = stored.filter(F.col("bucket") >= 0)
+        state = self._batches("doc_state", schemas.DOC_STATE, batches)
+        doc_list = keep_live(state).filter("live").select("volume", "path", "dl")
+        terms = self._batches(
+            "terms", schemas.TERMS, [b for b in batches if b not in deltas])
+        words = terms.select("term")
+        if deltas:
+            words = words.unionByName(
+                stored.filter(F.col("batch_id").isin(deltas)).select("term"))
+            sizes, terms = volume_sizes(doc_list), None
+        else:
+            sizes = bases.select("volume", "n_docs")
+            terms = after_base(terms).select("volume", "term", "df")
+        return IndexView(stored, doc_list, sizes, words.distinct(), self._buckets(log),
+                         terms, keep_live, extent)
 
     def postings(self) -> DataFrame:
         return self.view().postings
@@ -256,7 +277,7 @@ class Index:
         if volumes is not None:
             scope = scope.join(small_side(volumes.select("volume")), "volume", "left_semi")
         feed = route_to_volume(classify_changes(changes), scope)
-        net = last_changes(net_changes(feed)).persist()
+        net = last_changes(feed).persist()
         try:
             batch_id = self._next_batch(log)
             self._write_postings(late_bound_content(net, docs), batch_id, log)
@@ -286,7 +307,7 @@ class Index:
         return log[0]["buckets"] if log else self._new_buckets
 
     def _written(self, batch_id: int) -> DataFrame:
-        return self._table("postings", schemas.POSTINGS).filter(F.col("batch_id") == batch_id)
+        return self._batches("postings", schemas.POSTINGS, [batch_id])
 
     def _write_postings(self, docs: DataFrame, batch_id: int, log: list) -> None:
         """Sorted by term within volume and bucket. Rebalancing splits what is too big

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions.text import decode_text, extract_text
 from ..session import small_side
 
 URL_HOST = r"^[a-z]+://([^/?#]+)"
+URI_START = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
 
 
 def documents_corpus(documents: DataFrame) -> DataFrame:
@@ -43,9 +46,10 @@ def read_files(spark: SparkSession, root: str, volume: str,
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after)
     files = reader.load(root)
-    folder = F.lit("/" + root.split("://")[-1].removeprefix("file:").strip("/"))
     # The source gives URIs; what follows the root folder is the path in the volume.
-    path = F.substring_index(F.col("path"), folder, -1)
+    folder = re.sub(URI_START, "", root).rstrip("/")
+    path = F.regexp_replace("path", URI_START, "").substr(
+        F.lit(len(folder) + 1), F.length("path"))
     return files.select(
         F.lit(volume).alias("volume"), path.alias("path"), F.lit("file").alias("kind"),
         F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).alias("type"),
