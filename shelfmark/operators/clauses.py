@@ -90,20 +90,14 @@ def _grams(text: Column) -> Column:
         lambda n: F.concat(F.lit("~"), F.substring(text, i, n)))))
 
 
-def term_anchors(term: Column, kinds: tuple[str, ...]) -> Column:
-    """All anchors of a term that clauses of these kinds may ask for."""
-    parts = []
-    if {"prefix", "wildcard"} & set(kinds):
-        parts.append(_first(term))
-    if "wildcard" in kinds:
-        parts += [_last(term), F.array(F.lit("*"))]
-    if {"wildcard", "fuzzy"} & set(kinds):
-        parts.append(_grams(term))
-    if "fuzzy" in kinds:
-        parts.append(F.array(F.concat(F.lit("#"), F.length(term).cast("string"))))
-    if {"range", "range_exclusive"} & set(kinds):
-        parts.append(F.array(F.concat(F.lit("@"), _page(term).cast("string"))))
-    return F.array_distinct(F.concat(*parts))
+def term_anchors(term: Column, marks: frozenset[str]) -> Column:
+    """The anchors of a term, of the marks that some clause asks for."""
+    by_mark = {
+        "^": _first(term), "$": _last(term), "~": _grams(term), "*": F.array(F.lit("*")),
+        "#": F.array(F.concat(F.lit("#"), F.length(term).cast("string"))),
+        "@": F.array(F.concat(F.lit("@"), _page(term).cast("string")))}
+    parts = [anchors for mark, anchors in by_mark.items() if mark in marks]
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *parts))
 
 
 def _wildcard_anchor(pattern: Column) -> Column:
@@ -173,18 +167,27 @@ def matches_term(term: Column) -> Column:
             .otherwise(above & below & bounds))
 
 
-def anchored(clauses: DataFrame, kinds: tuple[str, ...] = EXPANDED) -> DataFrame:
-    """The pattern clauses, one row per anchor."""
-    return clauses.filter(F.col("kind").isin(*kinds)).withColumn(
+PATTERN = ["kind", "text", "text2", "slop"]
+
+
+def with_pattern(clauses: DataFrame) -> DataFrame:
+    """The pattern clauses with ``pattern``, a key that equal patterns share."""
+    key = F.to_json(F.struct(*PATTERN))
+    return clauses.filter(F.col("kind").isin(*EXPANDED)).withColumn("pattern", key)
+
+
+def anchored(clauses: DataFrame) -> DataFrame:
+    """Every distinct pattern, one row per anchor."""
+    return with_pattern(clauses).select("pattern", *PATTERN).distinct().withColumn(
         "anchor", F.explode(clause_anchors()))
 
 
-def expand_clauses(asked: DataFrame, dictionary: DataFrame,
-                   kinds: tuple[str, ...] = EXPANDED) -> DataFrame:
-    """(clause columns, term): the dictionary terms that the anchored clauses stand for."""
+def expand_patterns(asked: DataFrame, dictionary: DataFrame,
+                    marks: frozenset[str] = frozenset("^$~#@*")) -> DataFrame:
+    """(pattern, term): the dictionary terms that the anchored patterns stand for."""
     facts = dictionary.select(
-        "term", F.explode(term_anchors(F.col("term"), kinds)).alias("anchor"))
-    found = facts.join(asked, "anchor").filter(matches_term(F.col("term")))
-    keep = ["query_id", "group_id", "clause_id", "occur", "boost", "term"]
-    # Only fuzzy clauses have several anchors that one term may share.
-    return found.select(*keep).distinct() if "fuzzy" in kinds else found.select(*keep)
+        "term", F.explode(term_anchors(F.col("term"), marks)).alias("anchor"))
+    found = facts.join(asked, "anchor").filter(matches_term(F.col("term"))).select(
+        "pattern", "term")
+    # Only fuzzy patterns have several anchors that one term may share.
+    return found.distinct() if marks & {"~", "#"} else found

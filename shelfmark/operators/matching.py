@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.analysis import term_bucket
 from ..plans.index import IndexView
 from ..session import Size, broadcast_within, checkpointed, size_columns, small_side
-from .clauses import EXPANDED, POSITIONAL, anchored, clause_anchors, expand_clauses
+from .clauses import EXPANDED, POSITIONAL, anchored, clause_anchors, expand_patterns, with_pattern
 
 MATCH_COLUMNS = ["query_id", "group_id", "volume", "path",
                  "must", "should", "must_not", "weight"]
@@ -38,18 +38,23 @@ class ClauseBounds:
     kinds: frozenset[str]
     clauses: Size   # also bounds what is grouped or filtered from the clauses
     slots: Size     # the clauses, once for every term in them
-    anchors: Size   # the clauses, once for every anchor they may have
+    anchors: Size   # the clauses, once for every anchor they have
+    marks: frozenset[str]   # the kinds of anchors
 
 
 def clause_bounds(clauses: DataFrame) -> ClauseBounds:
     terms = F.greatest(F.size("terms"), F.lit(1))
-    anchors = F.when(F.col("kind").isin(*EXPANDED), F.size(clause_anchors())).otherwise(0)
-    rows, size, n_terms, n_anchors, longest, most, kinds = clauses.agg(
+    anchors = F.when(F.col("kind").isin(*EXPANDED), clause_anchors()).otherwise(
+        F.array().cast("array<string>"))
+    marks = F.array_distinct(F.transform(anchors, lambda anchor: F.left(anchor, F.lit(1))))
+    n_anchors = F.size(anchors)
+    # The sets hold kinds and marks, of which there are a handful.
+    rows, size, all_terms, all_anchors, most_terms, most_anchors, kinds, marks = clauses.agg(
         *size_columns(clauses), *[F.coalesce(total, F.lit(0)) for total in (
-            F.sum(terms), F.sum(anchors), F.max(terms), F.max(anchors))],
-        F.collect_set("kind")).first()
-    return ClauseBounds(frozenset(kinds), Size(rows, size), Size(n_terms, size * longest),
-                        Size(n_anchors, size * most))
+            F.sum(terms), F.sum(n_anchors), F.max(terms), F.max(n_anchors))],
+        F.collect_set("kind"), F.flatten(F.collect_set(marks))).first()
+    return ClauseBounds(frozenset(kinds), Size(rows, size), Size(all_terms, size * most_terms),
+                        Size(all_anchors, size * most_anchors), frozenset(marks))
 
 
 def _term_statistics(view: IndexView, wanted: DataFrame, size: Size,
@@ -164,17 +169,18 @@ def match_positional(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
 
 def match_expanded(view: IndexView, clauses: DataFrame, bounds: ClauseBounds) -> DataFrame:
     """Prefix, wildcard, fuzzy and range clauses: expanded over the dictionary, then
-    looked up. A match scores its boost, however many of the terms a document has."""
-    kinds = tuple(k for k in EXPANDED if k in bounds.kinds)
-    asked = broadcast_within(anchored(clauses, kinds), bounds.anchors)
+    looked up, each distinct pattern once. A match scores its boost, however many of the
+    terms a document has."""
+    asked = broadcast_within(anchored(clauses), bounds.anchors)
     # Of unknown size: written once, then measured.
-    expanded = checkpointed(expand_clauses(asked, view.dictionary, kinds).withColumn(
+    expanded = checkpointed(expand_patterns(asked, view.dictionary, bounds.marks).withColumn(
         "bucket", term_bucket(F.col("term"), view.buckets)))
     found = view.find(small_side(expanded), ["bucket", "term"], [])
-    keys = ["query_id", "group_id", "clause_id", "occur", "boost", "volume", "path"]
+    found = found.select("pattern", "volume", "path").distinct()
     weight = F.when(F.col("occur") == "must_not", 0.0).otherwise(F.col("boost"))
-    return found.select(*keys).distinct().select(
-        "query_id", "group_id", "volume", "path", *_occur_counts(), weight.alias("weight"))
+    askers = with_pattern(clauses).select(
+        "pattern", "query_id", "group_id", *_occur_counts(), weight.alias("weight"))
+    return found.join(broadcast_within(askers, bounds.clauses), "pattern").select(*MATCH_COLUMNS)
 
 
 def match_paths(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,

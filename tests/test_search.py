@@ -183,12 +183,15 @@ def test_expansion_finds_exactly_the_terms(spark, view):
               "text STRING, text2 STRING, slop INT, boost DOUBLE")
     asked = clause_ops.anchored(clause_ops.analyze_clauses(frame))
     terms = spark.createDataFrame([(t,) for t in dictionary], "term STRING")
-    found = {i: set() for i in range(len(patterns))}
-    for r in clause_ops.expand_clauses(asked, terms).collect():
-        assert r["term"] not in found[r["query_id"]]
-        found[r["query_id"]].add(r["term"])
+    found = {}
+    for r in clause_ops.expand_patterns(asked, terms).collect():
+        assert r["term"] not in found.setdefault(r["pattern"], set())
+        found[r["pattern"]].add(r["term"])
+    keys = {r["query_id"]: r["pattern"] for r in clause_ops.with_pattern(
+        clause_ops.analyze_clauses(frame)).collect()}
     for i, pattern in enumerate(patterns):
-        assert found[i] == {t for t in dictionary if term_matches(*pattern, t)}, pattern
+        assert found.get(keys[i], set()) == {
+            t for t in dictionary if term_matches(*pattern, t)}, pattern
 
 
 @pytest.mark.parametrize("kind,text,text2,slop", [PATTERNS[i] for i in (0, 3, 13, 18)])
