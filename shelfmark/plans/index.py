@@ -166,8 +166,8 @@ class Index:
         """The live index as of now; open a new view to see later commits.
 
         A row is dead when its volume got a newer base, or its path a newer change. The
-        first is a join with one row per volume, the second an anti join with the paths
-        changed since the bases, which are few next to the postings. A view over one base
+        first is a join with one row per volume, the second a join with the paths changed
+        since the bases, which are few next to the postings. A view over one base
         batch has neither join, and whole batches before every base are not read.
         """
         log = self._log()
@@ -196,9 +196,11 @@ class Index:
             rows = after_base(rows)
             if changed is None:
                 return rows
-            newer = ((rows["volume"] == changed["volume"]) & (rows["path"] == changed["path"])
-                     & (rows["batch_id"] < changed["last"]))
-            return rows.join(changed, newer, "left_anti")
+            # An outer join stays where it is put: after the lookup. An anti join would
+            # be moved below it, to all postings.
+            latest = F.col("last").isNull() | (F.col("batch_id") >= F.col("last"))
+            return (rows.join(changed, ["volume", "path"], "left").filter(latest)
+                    .select(*rows.columns))
 
         stored = self._batches("postings", schemas.POSTINGS, batches)
         stored = stored.filter(F.col("bucket") >= 0)
