@@ -94,7 +94,8 @@ def top_k(hits: DataFrame, k: int, per_volume: bool = True) -> DataFrame:
     group = ["query_id", "volume"] if per_volume else ["query_id"]
     order = _order(BEST_FIRST if per_volume else (*BEST_FIRST, "volume"))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return (hits.withColumn("rank", rank).filter(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def hit_paths(positioned_hits: DataFrame) -> DataFrame:

@@ -327,6 +327,7 @@ class Index:
          .parquet(f"{self.root}/doc_state/batch_id={batch_id}"))
 
     def _publish(self, batch_id: int, is_base: bool, token: str | None, log: list) -> None:
-        row = self.spark.createDataFrame(
-            [(batch_id, is_base, self._buckets(log), token)], schemas.COMMITS)
+        row = self.spark.range(1).select(
+            F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(is_base).alias("is_base"),
+            F.lit(self._buckets(log)).alias("buckets"), F.lit(token).cast("string").alias("token"))
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")

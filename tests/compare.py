@@ -14,6 +14,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double",
+         "BOOLEAN": "boolean"}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for table in TABLES:
@@ -40,6 +44,9 @@ def difference(spark, connection, folder: str, run, sql: str) -> str | None:
     names = [d[0] for d in result.description]
     if sorted(names) != sorted(frame.columns):
         return f"columns {sorted(frame.columns)} and {sorted(names)}"
+    kinds = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in result.description}
+    if kinds != dict(frame.dtypes):
+        return f"types {dict(frame.dtypes)} and {kinds}"
     mine = rows_of(frame.columns, frame.collect())
     theirs = rows_of(names, result.fetchall())
     if not mine:
