@@ -3,6 +3,8 @@
 VOLUMES = "volume STRING, is_removable BOOLEAN, knows_query BOOLEAN, volume_order INT"
 DOCS = "volume STRING, path STRING, contents STRING"
 FILE_ENTRIES = "volume STRING, path STRING, kind STRING, type STRING, contents STRING"
+# What the binary file source gives.
+RAW_FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 EXCLUDES = "volume STRING, dir_prefix STRING"
 SUPPORTED_TYPES = "type STRING"
 CHANGES = "seq BIGINT, ts TIMESTAMP, volume STRING, path STRING, op STRING, batch BIGINT"

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.paths import visible
 from ..functions.text import decode_text, extract_text
 from ..session import small_side
@@ -38,14 +39,7 @@ def conversations_corpus(conversations: DataFrame) -> DataFrame:
         F.col("text").alias("contents"))
 
 
-def read_files(spark: SparkSession, root: str, volume: str,
-               modified_after: str | None = None) -> DataFrame:
-    """All files under ``root``, at any depth, as file entries. ``modified_after`` keeps
-    only files changed since then; the file listing applies it, before any read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if modified_after is not None:
-        reader = reader.option("modifiedAfter", modified_after)
-    files = reader.load(root)
+def _file_entries(files: DataFrame, root: str, volume: str) -> DataFrame:
     # The source gives URIs; what follows the root folder is the path in the volume.
     folder = re.sub(URI_START, "", root).rstrip("/")
     path = F.regexp_replace("path", URI_START, "").substr(
@@ -53,7 +47,30 @@ def read_files(spark: SparkSession, root: str, volume: str,
     return files.select(
         F.lit(volume).alias("volume"), path.alias("path"), F.lit("file").alias("kind"),
         F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).alias("type"),
-        decode_text(F.col("content")).alias("contents"))
+        F.col("modificationTime").alias("ts"), decode_text(F.col("content")).alias("contents"))
+
+
+def read_files(spark: SparkSession, root: str, volume: str,
+               modified_after: str | None = None) -> DataFrame:
+    """All files under the absolute path ``root``, at any depth, as file entries.
+    ``modified_after`` keeps only files changed since then; the file listing applies it,
+    before any file is read. Contents are read only where they are used."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if modified_after is not None:
+        reader = reader.option("modifiedAfter", modified_after)
+    return _file_entries(reader.load(root), root, volume)
+
+
+def follow_files(spark: SparkSession, root: str, volume: str,
+                 files_per_batch: int | None = None) -> DataFrame:
+    """Stream of the same entries: the files that are there, then those that arrive. A
+    new file is a created entry; the source reports neither removals nor a second
+    version under the same name, which have to come through a change table."""
+    reader = (spark.readStream.format("binaryFile").schema(schemas.RAW_FILES)
+              .option("recursiveFileLookup", True))
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return _file_entries(reader.load(root), root, volume)
 
 
 def scan_volume(entries: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import Index, schemas, search_text
 from shelfmark.operators import changes as change_ops, postings as posting_ops
 from shelfmark.session import scratch_path
+from shelfmark.sources.corpus import follow_files, read_files, scan_volume
 from shelfmark.sources.feed import changes_since, follow_table
 from shelfmark.streaming.follow import drain_batches
 
@@ -239,3 +240,28 @@ def test_stream_equals_batch(spark, tmp_path):
     batch_index.commit(spark.read.schema(CHANGE).parquet(str(folder)), docs_of(spark, NEW))
     assert inverted(index.postings()) == inverted(batch_index.postings())
     assert ("v1", "still") not in listed(index) and ("v1", "new") in listed(index)
+
+
+def test_files_are_followed(spark, tmp_path):
+    """Raw files: what is there is indexed first, then what arrives."""
+    root = tmp_path / "volume"
+    (root / "sub").mkdir(parents=True)
+    (root / "first.txt").write_text("alpha beta")
+    index = Index(spark, scratch_path(spark, "index"), buckets=2)
+    volume = spark.createDataFrame([("v1",)], "volume STRING")
+    index.build(read_files(spark, str(root), "v1").filter(F.lit(False)), volume)
+    checkpoint = scratch_path(spark, "checkpoint")
+
+    def follow():
+        created = follow_files(spark, str(root), "v1")
+        drain_batches(
+            index, created, lambda: scan_volume(read_files(spark, str(root), "v1")), checkpoint,
+            available_now=True, prepare=lambda rows: scan_volume(rows).select(
+                "volume", "path", F.lit("created").alias("op"), F.lit(0).alias("batch"))
+        ).awaitTermination()
+
+    follow()
+    assert listed(index) == {("v1", "/first.txt"): 2}
+    (root / "sub" / "second.txt").write_text("gamma")
+    follow()
+    assert listed(index) == {("v1", "/first.txt"): 2, ("v1", "/sub/second.txt"): 1}
