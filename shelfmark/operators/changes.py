@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import broadcast_within, measured, small_side
 
 OPS = ("created", "removed")
 
+# A batch of so few updates is handed to the scan of the corpus as a list of paths.
+LISTED_PATHS = 1_000
+
 
 def classify_changes(changes: DataFrame) -> DataFrame:
     """Created and removed entries; every other opcode, such as a move, is ignored."""
@@ -38,9 +41,16 @@ def last_changes(changes: DataFrame) -> DataFrame:
 
 def late_bound_content(net: DataFrame, docs: DataFrame) -> DataFrame:
     """Contents of the updated paths as they are now. An update whose document is gone
-    binds nothing. The corpus is not shuffled while the batch is small."""
+    binds nothing. The corpus is not shuffled while the batch is small, and the paths of
+    a very small batch go to the scan as a filter, which a table sorted by path, or
+    partitioned by volume, answers without reading the rest."""
     updates = net.filter("is_update").drop("is_update")
-    return docs.join(small_side(updates), ["volume", "path"])
+    size = measured(updates)
+    if size.rows <= LISTED_PATHS:
+        listed = updates.select("volume", "path").collect()
+        docs = docs.filter(F.col("volume").isin(sorted({r["volume"] for r in listed}))
+                           & F.col("path").isin(sorted({r["path"] for r in listed})))
+    return docs.join(broadcast_within(updates, size), ["volume", "path"])
 
 
 def commit_report(changes: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ class ClauseBounds:
     """Upper bounds for the clause side of a search, from one look at the clauses."""
 
     kinds: frozenset[str]
+    occurs: frozenset[str]
     clauses: Size   # also bounds what is grouped or filtered from the clauses
     slots: Size     # the clauses, once for every term in them
     anchors: Size   # the clauses, once for every anchor they have
@@ -48,12 +49,15 @@ def clause_bounds(clauses: DataFrame) -> ClauseBounds:
         F.array().cast("array<string>"))
     marks = F.array_distinct(F.transform(anchors, lambda anchor: F.left(anchor, F.lit(1))))
     n_anchors = F.size(anchors)
-    # The sets hold kinds and marks, of which there are a handful.
-    rows, size, all_terms, all_anchors, most_terms, most_anchors, kinds, marks = clauses.agg(
+    # The sets hold kinds, occurs and marks, of which there are a handful.
+    (rows, size, all_terms, all_anchors, most_terms, most_anchors,
+     kinds, occurs, marks) = clauses.agg(
         *size_columns(clauses), *[F.coalesce(total, F.lit(0)) for total in (
             F.sum(terms), F.sum(n_anchors), F.max(terms), F.max(n_anchors))],
-        F.collect_set("kind"), F.flatten(F.collect_set(marks))).first()
-    return ClauseBounds(frozenset(kinds), Size(rows, size), Size(all_terms, size * most_terms),
+        F.collect_set("kind"), F.collect_set("occur"),
+        F.flatten(F.collect_set(marks))).first()
+    return ClauseBounds(frozenset(kinds), frozenset(occurs), Size(rows, size),
+                        Size(all_terms, size * most_terms),
                         Size(all_anchors, size * most_anchors), frozenset(marks))
 
 
@@ -79,7 +83,11 @@ def _postings_of(view: IndexView, wanted: DataFrame, size: Size, columns: list[s
     lookup = statistics.join(broadcast_within(wanted, size), "term").withColumn(
         "bucket", term_bucket(F.col("term"), view.buckets))
     # A wanted row meets each volume once at most.
-    lookup = broadcast_within(lookup, size if shared else size.times(view.extent))
+    lookup_size = size if shared else size.times(view.extent)
+    lookup = broadcast_within(lookup, lookup_size)
+    if size.fits() and not lookup_size.fits():
+        # Both sides are shuffled: drop the postings of all other terms before.
+        view = view.only_terms(wanted)
     keys = ["bucket", "term"] if shared else ["bucket", "volume", "term"]
     return view.find(lookup, keys, columns)
 
@@ -220,24 +228,28 @@ def _shape(keys: list[str], clauses: DataFrame) -> DataFrame:
         F.count_if(F.col("occur") != "must_not").alias("n_scored"))
 
 
-def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*OCCURS, "weight")])
+def _summed(rows: DataFrame, keys: list[str], occurs: frozenset[str]) -> DataFrame:
+    """Counts and weights per key; what cannot occur is not carried along."""
+    return rows.groupBy(*keys).agg(*[
+        (F.sum(c) if c in occurs or c == "weight" else F.lit(0)).alias(c)
+        for c in (*OCCURS, "weight")])
 
 
 def combine(matches: DataFrame, clauses: DataFrame, bounds: ClauseBounds,
             grouped: bool = False) -> DataFrame:
     """Hits (query_id, volume, path, score) from the matches of all clauses. With groups,
     the same rule holds inside each group and again over the groups."""
-    group = ["query_id", "group_id"]
-    rows = _keep_matching(_summed(matches, [*group, "volume", "path"]),
-                          _shape(group, clauses), bounds, group)
+    inner = ["query_id", "group_id"] if grouped else ["query_id"]
+    rows = _keep_matching(_summed(matches, [*inner, "volume", "path"], bounds.occurs),
+                          _shape(inner, clauses), bounds, inner)
     if grouped:
-        groups = clauses.groupBy(*group).agg(F.min("group_occur").alias("occur"))
-        outer = rows.select(*group, "volume", "path", "score").join(
-            broadcast_within(groups, bounds.clauses), group)
+        groups = clauses.groupBy(*inner).agg(F.min("group_occur").alias("occur"))
+        outer = rows.select(*inner, "volume", "path", "score").join(
+            broadcast_within(groups, bounds.clauses), inner)
         weight = F.when(F.col("occur") == "must_not", 0.0).otherwise(F.col("score"))
         outer = outer.select("query_id", "volume", "path", *_occur_counts(),
                              weight.alias("weight"))
-        rows = _keep_matching(_summed(outer, ["query_id", "volume", "path"]),
-                              _shape(["query_id"], groups), bounds, ["query_id"])
+        rows = _keep_matching(
+            _summed(outer, ["query_id", "volume", "path"], frozenset(OCCURS)),
+            _shape(["query_id"], groups), bounds, ["query_id"])
     return rows.select("query_id", "volume", "path", F.round("score", 6).alias("score"))

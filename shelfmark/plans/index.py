@@ -81,6 +81,12 @@ class IndexView:
         return document_frequencies(
             self.find(broadcast_within(keys, size), ["bucket", "term"], []))
 
+    def only_terms(self, terms: DataFrame) -> IndexView:
+        """The view cut down to some terms, few enough to be broadcast."""
+        keys = F.broadcast(terms.select("term").distinct().withColumn(
+            "bucket", term_bucket(F.col("term"), self.buckets)))
+        return replace(self, stored=self.stored.join(keys, ["bucket", "term"], "left_semi"))
+
     def volumes(self, wanted: DataFrame) -> IndexView:
         """The view cut down to some volumes."""
         keys = small_side(wanted.select("volume").distinct())

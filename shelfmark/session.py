@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when it is counted and lies under both bounds.
-BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 256 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog import inputs, spark_queries
 from shelfmark import search
-from shelfmark.operators import results
+from shelfmark.operators import changes, results
 from shelfmark.operators.postings import build_postings
 from shelfmark.sources.tables import read_table
 
@@ -81,3 +81,18 @@ def test_liveness_is_checked_after_the_lookup(spark):
             if re.search(rf"Join \[[^\]]*{key}#", line):
                 depth[key].append(line.index("Join"))
     assert min(depth["path"]) < min(depth["term"])
+
+
+@pytest.mark.parametrize("listed", [1000, 0])
+def test_paths_of_a_small_batch_reach_the_corpus(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(changes, "LISTED_PATHS", listed)
+    target = str(tmp_path / "docs")
+    inputs.documents(spark, FOLDER).write.partitionBy("volume").parquet(target)
+    docs = spark.read.schema("path STRING, contents STRING, volume STRING").parquet(target)
+    net = spark.createDataFrame(
+        [("src1", "1", True), ("src1", "21", True), ("src2", "1", True), ("src2", "2", False)],
+        "volume STRING, path STRING, is_update BOOLEAN")
+    found = changes.late_bound_content(net, docs)
+    assert {(r["volume"], r["path"]) for r in found.collect()} == {("src1", "1"), ("src1", "21")}
+    scan = next(line for line in plan_of(found).splitlines() if "FileScan" in line)
+    assert ("In(path" in scan and "volume#" in scan.split("PartitionFilters")[1]) == bool(listed)

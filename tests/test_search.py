@@ -232,8 +232,8 @@ def test_set_operations(spark, view, corpus):
     assert paths(results.without(a, b)) == paths(a) - paths(b)
 
 
-@pytest.mark.parametrize("shared", [False, True])
-def test_shuffle_joins_give_the_same(spark, view, monkeypatch, shared):
+@pytest.mark.parametrize("shared,limit", [(False, -1), (True, -1), (False, 10)])
+def test_shuffle_joins_give_the_same(spark, view, monkeypatch, shared, limit):
     rows = [{"text": "alpha", "occur": "must"}, {"text": "gamma"},
             {"kind": "phrase", "text": "alpha beta"}, {"kind": "proximity", "text": "x1 beta",
                                                        "slop": 3},
@@ -241,7 +241,7 @@ def test_shuffle_joins_give_the_same(spark, view, monkeypatch, shared):
             {"text": "b", "occur": "must_not"}]
     broadcast = {(r["path"], r["score"])
                  for r in hits(spark, view, *rows, shared_statistics=shared)}
-    monkeypatch.setattr("shelfmark.session.BROADCAST_ROWS", -1)
+    monkeypatch.setattr("shelfmark.session.BROADCAST_ROWS", limit)
     shuffled = {(r["path"], r["score"])
                 for r in hits(spark, view, *rows, shared_statistics=shared)}
     assert broadcast and broadcast == shuffled
