@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import term_bucket
 from ..plans.index import IndexView
-from ..session import Size, broadcast_within, checkpointed, size_columns, small_side
+from ..session import Size, broadcast_within, size_columns, small_side, written
 from .clauses import EXPANDED, POSITIONAL, anchored, clause_anchors, expand_patterns, with_pattern
 
 MATCH_COLUMNS = ["query_id", "group_id", "volume", "path",
@@ -181,7 +181,7 @@ def match_expanded(view: IndexView, clauses: DataFrame, bounds: ClauseBounds) ->
     terms a document has."""
     asked = broadcast_within(anchored(clauses), bounds.anchors)
     # Of unknown size: written once, then measured.
-    expanded = checkpointed(expand_patterns(asked, view.dictionary, bounds.marks).withColumn(
+    expanded = written(expand_patterns(asked, view.dictionary, bounds.marks).withColumn(
         "bucket", term_bucket(F.col("term"), view.buckets)))
     found = view.find(small_side(expanded), ["bucket", "term"], [])
     found = found.select("pattern", "volume", "path").distinct()

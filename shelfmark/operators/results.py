@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, small_side
+from ..session import small_side, written
 
 BEST_FIRST = ("score DESC", "path")
 
@@ -45,10 +45,10 @@ def number_rows(rows: DataFrame, group: list[str], order: tuple[str, ...],
     A window would sort each group in one task. Here the rows are range-partitioned by
     group and order, so that a big group spans many partitions; a row's number is its
     place in its partition plus the rows of the group in the partitions before. The
-    placed rows are checkpointed, since the numbers depend on where the rows lie.
+    placed rows are written first, since the numbers depend on where the rows lie.
     """
     by = [*[F.col(c) for c in group], *_order(order)]
-    placed = checkpointed(
+    placed = written(
         rows.repartitionByRange(*by).sortWithinPartitions(*by)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_at", 33)))

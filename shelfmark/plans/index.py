@@ -119,6 +119,7 @@ class Index:
         self.spark = spark
         self.root = root.rstrip("/")
         self._new_buckets = buckets
+        self._seen: tuple[tuple, IndexView] | None = None
 
     # ---- what is there -------------------------------------------------------------
 
@@ -169,7 +170,8 @@ class Index:
     # ---- live rows -----------------------------------------------------------------
 
     def view(self) -> IndexView:
-        """The live index as of now; open a new view to see later commits.
+        """The live index as of now; ask again to see later commits. While there is none,
+        the view, with its listing of files, is the same.
 
         A row is dead when its volume got a newer base, or its path a newer change. The
         first is a join with one row per volume, the second a join with the paths changed
@@ -177,14 +179,20 @@ class Index:
         batch has neither join, and whole batches before every base are not read.
         """
         log = self._log()
+        excluded = self._table("excluded_volumes", schemas.EXCLUDED_VOLUMES)
+        state_of_things = (log, excluded is not None and sorted(excluded.inputFiles()))
+        if self._seen is None or self._seen[0] != state_of_things:
+            self._seen = state_of_things, self._open(log, excluded is not None)
+        return self._seen[1]
+
+    def _open(self, log: list, has_exclusions: bool) -> IndexView:
         bases = self._bases(log)
         rows, size, first = bases.agg(*size_columns(bases), F.min("base")).first()
         extent = Size(rows, size)
         current = broadcast_within(bases, extent)
         batches = [c["batch_id"] for c in log if first is not None and c["batch_id"] >= first]
         deltas = [c["batch_id"] for c in log if c["batch_id"] in batches and not c["is_base"]]
-        one_base = (len(batches) == 1
-                    and self._table("excluded_volumes", schemas.EXCLUDED_VOLUMES) is None)
+        one_base = len(batches) == 1 and not has_exclusions
 
         def after_base(rows):
             if one_base:

@@ -9,7 +9,7 @@ from ..operators.clauses import EXPANDED, POSITIONAL, analyze_clauses, clauses_f
 from ..operators.matching import (
     MATCH_COLUMNS, clause_bounds, combine, match_expanded, match_paths, match_positional,
     match_terms)
-from ..session import checkpointed
+from ..session import written
 from .index import IndexView
 
 
@@ -22,7 +22,7 @@ def search(view: IndexView, clauses: DataFrame, shared_statistics: bool = False)
     """
     grouped = "group_id" in clauses.columns
     # Read many times below, and small next to the index.
-    clauses = checkpointed(analyze_clauses(clauses))
+    clauses = written(analyze_clauses(clauses))
     bounds = clause_bounds(clauses)
     branches = []
     if "term" in bounds.kinds:

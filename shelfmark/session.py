@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, checkpoints and the size-checked broadcast."""
+"""Session helpers: the shared folder, written steps and the size-checked broadcast."""
 
 from __future__ import annotations
 
@@ -32,12 +32,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there, so that values that
-    depend on the physical layout stay the same when an executor is lost."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from there. It is computed
+    once, and stays what it is when an executor is lost, also where its values depend on
+    the physical layout. The files stay until the folder is cleaned."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)
