@@ -1,0 +1,23 @@
+import json
+
+import pytest
+
+EMPTY = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture
+def docs_of(spark):
+    """Documents from texts or (doc_id, text) pairs, with the columns of the table."""
+    def make(texts, extra=""):
+        rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
+        rows = [(i, t, "en", "src0", len(t or "")) for i, t in rows]
+        return spark.createDataFrame(rows, EMPTY)
+    return make
+
+
+@pytest.fixture
+def rows_of():
+    """Rows as a sorted list of plain values."""
+    def rows(df):
+        return sorted((tuple(r) for r in df.collect()), key=lambda r: json.dumps(r, default=repr))
+    return rows
