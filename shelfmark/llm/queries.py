@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import simhash
+from shelfmark.llm import classifier, rules, simhash
 from shelfmark.sources.tables import read_table
 
 
@@ -13,8 +13,20 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and verdict for all documents."""
+    return rules.judge(read_table(spark, sf, "documents")).drop("n_lines")
+
+
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return classifier.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
 REGISTRY = {
     "op1_simhash": op1_simhash,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 
 SQL: dict[str, str] = {}
