@@ -1,23 +1,59 @@
-"""The registered queries of this subpackage, and their SQL where SQL can express them."""
+"""The registered queries of this subpackage; ``oracle`` has SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import classifier, rules, simhash
+from shelfmark.llm import classifier, licenses, packing, pieces, rules, simhash
 from shelfmark.sources.tables import read_table
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file on every machine."""
+    return importlib.import_module("public_tokenizers").path(name)
+
+
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return simhash.near_duplicates(read_table(spark, sf, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    return licenses.scan_licenses(read_table(spark, sf, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    return pieces.count_tokens(read_table(spark, sf, "documents"),
+                               tokenizer_file("piece_bpe_32k.model"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents encoded, and their ids decoded again: digests of both."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    documents = read_table(spark, sf, "documents")
+    return pieces.decode(pieces.encode(documents, path), path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"), F.length("text").cast("bigint").alias("n_chars"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and verdict for all documents."""
     return rules.judge(read_table(spark, sf, "documents")).drop("n_lines")
 
 
+def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents packed into sequences: digests of the pieces."""
+    pieces_of_all = packing.pack(read_table(spark, sf, "documents"),
+                                 tokenizer_file("byte_bpe_50k.json"))
+    return pieces_of_all.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
 def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Quality scores of all documents."""
     return classifier.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
@@ -25,8 +61,10 @@ def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 REGISTRY = {
     "op1_simhash": op1_simhash,
+    "op2_license_scan": op2_license_scan,
+    "op3_token_counts": op3_token_counts,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
     "op7_quality_classifier": op7_quality_classifier,
 }
-
-SQL: dict[str, str] = {}
