@@ -7,7 +7,8 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import classifier, licenses, packing, pieces, rules, simhash
+from shelfmark.llm import (classifier, licenses, packing, pieces, rules, shards, simhash,
+                           vectors)
 from shelfmark.sources.tables import read_table
 
 
@@ -59,6 +60,16 @@ def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return classifier.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate groups of all vectors."""
+    return vectors.near_duplicates(read_table(spark, sf, "embeddings"))
+
+
+def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents dealt to shards."""
+    return shards.assign(read_table(spark, sf, "documents"))
+
+
 REGISTRY = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
@@ -67,4 +78,6 @@ REGISTRY = {
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_sharding": op9_sharding,
 }
