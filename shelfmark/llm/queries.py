@@ -7,8 +7,8 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import (classifier, licenses, packing, pieces, rules, shards, simhash,
-                           vectors)
+from shelfmark.llm import (classifier, licenses, packing, pages, pieces, rules, shards,
+                           simhash, vectors)
 from shelfmark.sources.tables import read_table
 
 
@@ -70,6 +70,11 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shards.assign(read_table(spark, sf, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of all pages."""
+    return pages.extract(read_table(spark, sf, "pages"))
+
+
 REGISTRY = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
@@ -80,4 +85,5 @@ REGISTRY = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_sharding": op9_sharding,
+    "op10_html_extraction": op10_html_extraction,
 }
