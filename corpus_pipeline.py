@@ -6,18 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import simhash
+from shelfmark.llm import classifier, packing, rules, simhash
+from shelfmark.llm.queries import tokenizer_file
 from shelfmark.session import written
 from shelfmark.sources.tables import read_table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return classifier.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents outside the fixed or the adaptive bounds go."""
+    return rules.keep_good(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_first(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences; see ``packing.pack``."""
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
     ("simhash_near_dedup", near_dedup),
+    ("packing", pack),
 ]
 
 # The stages are not expressible in SQL: a trained model, sketches, balls of fingerprints and
