@@ -16,6 +16,10 @@ INDEX_DIR = "/es/"
 SUPPORTED = ["en", "fr", "es"]
 EXCLUDES = [("src1", "/fr/"), ("src2", "/en/"), ("src3", "/de/.drafts/")]
 FEED_START = "2024-01-15 00:00:00"
+# Queries of single tokens are numbered item * TOKEN_QUERIES + token.
+TOKEN_QUERIES = 1_000_000
+# Other tokens allowed in the window of a whole text.
+SLOP = 40
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,10 +103,17 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, text, t0 .. t3): the first four tokens that are not stop words."""
-    tokens = queries(spark, sf).withColumn("_t", positioned(F.col("text")))
-    return tokens.select("query_id", "text", *[
-        F.get("_t", F.lit(i))["term"].alias(f"t{i}") for i in range(4)])
+    """(query_id, i, term): every distinct token of every text that is not a stop word,
+    numbered in the order of its first place."""
+    terms = F.transform(positioned(F.col("text")), lambda t: t["term"])
+    return queries(spark, sf).select(
+        "query_id", F.posexplode(F.array_distinct(terms)).alias("i", "term"))
+
+
+def token_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, term): one query for each of these tokens."""
+    return query_tokens(spark, sf).select(
+        (F.col("query_id") * TOKEN_QUERIES + F.col("i")).alias("query_id"), "term")
 
 
 _indexes: dict[tuple[str, str], Index] = {}

@@ -75,7 +75,10 @@ QUERY_TOKENS = (
     qt AS (SELECT item_id AS query_id, pos, term,
       row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS i
       FROM qall WHERE term NOT IN ({STOP})),
-    q0 AS (SELECT query_id, term AS t0 FROM qt WHERE i = 0)""")
+    qd AS (SELECT query_id, term,
+      row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) - 1 AS i
+      FROM qt GROUP BY query_id, term),
+    q1 AS (SELECT query_id * {inputs.TOKEN_QUERIES} + i AS query_id, term AS t0 FROM qd)""")
 
 
 # ---- scoring -----------------------------------------------------------------------------
@@ -108,11 +111,10 @@ SHARED_MATCHES = """SELECT query_id, clause_id, volume, path,
             FROM df GROUP BY term) s USING (term)"""
 
 
-def _term_clauses(occurs: list[str], boosts: list[float] | None = None) -> str:
-    boosts = boosts or [1.0] * len(occurs)
-    rows = ", ".join(f"({i}, '{o}', {b})" for i, (o, b) in enumerate(zip(occurs, boosts)))
-    return f"""cl AS (SELECT query_id, i AS clause_id, occur, CAST(boost AS DOUBLE) AS boost, term
-      FROM qt JOIN (VALUES {rows}) c(i, occur, boost) USING (i))"""
+def _term_clauses(occur: str, boost: str = "1", where: str = "true") -> str:
+    """One clause for each distinct token; occur and boost are expressions of its number i."""
+    return f"""cl AS (SELECT query_id, i AS clause_id, {occur} AS occur,
+      CAST({boost} AS DOUBLE) AS boost, term FROM qd WHERE {where})"""
 
 
 def _with_hits(clauses: str, matches: str = TERM_MATCHES) -> str:
@@ -123,15 +125,15 @@ def _search(clauses: str, matches: str = TERM_MATCHES) -> str:
     return _with_hits(clauses, matches) + "\nSELECT query_id, volume, path, score FROM hits"
 
 
-ANY_THREE = _term_clauses(["should"] * 3)
+ANY_TOKEN = _term_clauses("'should'")
+EVERY_TOKEN = _term_clauses("'must'")
+ONE_TOKEN = """cl AS (SELECT query_id, 0 AS clause_id, 'should' AS occur,
+      CAST(1 AS DOUBLE) AS boost, t0 AS term FROM q1)"""
 ALL_TOKENS = """cl AS (SELECT query_id, i AS clause_id, 'should' AS occur,
       CAST(1 AS DOUBLE) AS boost, term FROM qt)"""
 
-PHRASE = _tokens(
-    "pall", "(SELECT item_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS t "
-    "FROM benchmark) p", "item_id", "t") + f""",
-    pt AS (SELECT item_id AS query_id, term, pos - min(pos) OVER (PARTITION BY item_id) AS off,
-      count(*) OVER (PARTITION BY item_id) AS n FROM pall WHERE term NOT IN ({STOP})),
+PHRASE = """pt AS (SELECT query_id, term, pos - min(pos) OVER (PARTITION BY query_id) AS off,
+      count(*) OVER (PARTITION BY query_id) AS n FROM qt),
     cl AS (SELECT DISTINCT query_id, 0 AS clause_id, 'should' AS occur FROM pt)"""
 PHRASE_MATCHES = """SELECT query_id, 0 AS clause_id, volume, path,
         sqrt(tf) * idf * idf / sqrt(dl) AS w
@@ -143,21 +145,24 @@ PHRASE_MATCHES = """SELECT query_id, 0 AS clause_id, volume, path,
             GROUP BY query_id, volume) i USING (query_id, volume)
       JOIN dl USING (volume, path)"""
 
-WINDOW = """pt AS (SELECT DISTINCT query_id, term FROM qt JOIN (VALUES (0), (1), (2)) c(i) USING (i)),
+WINDOW = """pt AS (SELECT query_id, term FROM qd),
     pn AS (SELECT query_id, count(*) AS n FROM pt GROUP BY query_id),
+    full_docs AS (SELECT query_id, volume, path FROM pt JOIN post USING (term)
+      JOIN pn USING (query_id) GROUP BY query_id, volume, path, n HAVING count(*) = n),
+    inside AS (SELECT query_id, volume, path, term, pos FROM pt JOIN kept USING (term)
+      JOIN full_docs USING (query_id, volume, path)),
     cl AS (SELECT query_id, 0 AS clause_id, 'should' AS occur FROM pn)"""
-WINDOW_MATCHES = """SELECT query_id, 0 AS clause_id, volume, path,
+WINDOW_MATCHES = f"""SELECT query_id, 0 AS clause_id, volume, path,
         sqrt(tf) * idf * idf / sqrt(dl) AS w
       FROM (SELECT query_id, volume, path, count(*) AS tf FROM (
               SELECT query_id, volume, path, pos, min(seen) AS first, count(*) AS terms FROM (
                 SELECT e.query_id, e.volume, e.path, e.pos, b.term, max(b.pos) AS seen
-                FROM (SELECT * FROM pt JOIN kept USING (term)) e
-                JOIN (SELECT * FROM pt JOIN kept USING (term)) b
+                FROM inside e JOIN inside b
                   ON e.query_id = b.query_id AND e.volume = b.volume AND e.path = b.path
                   AND b.pos <= e.pos
                 GROUP BY ALL) s
               GROUP BY query_id, volume, path, pos) s JOIN pn USING (query_id)
-            WHERE terms = n AND (n = 1 OR pos - first - n + 1 <= 10)
+            WHERE terms = n AND (n = 1 OR pos - first - n + 1 <= {inputs.SLOP})
             GROUP BY query_id, volume, path) f
       JOIN (SELECT query_id, volume, sum(idf) AS idf FROM pt JOIN idf USING (term)
             GROUP BY query_id, volume) i USING (query_id, volume)
@@ -169,38 +174,40 @@ FOLD = "translate({0}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
 
 
 def _expanded(pattern: str, condition: str) -> tuple[str, str]:
-    clauses = f"""cl AS (SELECT query_id, 0 AS clause_id, 'should' AS occur, {pattern} FROM q0)"""
+    clauses = f"""cl AS (SELECT query_id, 0 AS clause_id, 'should' AS occur, {pattern} FROM q1)"""
     return clauses, _expanded_matches(condition)
 
 
-def _expanded_matches(condition: str) -> str:
-    return f"""SELECT DISTINCT query_id, clause_id, volume, path, 1.0 AS w FROM (
-      SELECT query_id, clause_id, term FROM cl JOIN (SELECT DISTINCT term FROM post) d
-      ON {condition}) x JOIN post USING (term)"""
+def _expanded_matches(condition: str, keys: str = "p") -> str:
+    """Every distinct pattern is compared with the dictionary once."""
+    return f"""SELECT DISTINCT query_id, clause_id, volume, path, 1.0 AS w FROM cl JOIN (
+      SELECT {keys}, term FROM (SELECT DISTINCT {keys} FROM cl) c
+      JOIN (SELECT DISTINCT term FROM post) d ON {condition}) x USING ({keys})
+      JOIN post USING (term)"""
 
 
 RANGE = """cl AS (
-      SELECT query_id, 0 AS clause_id, 'should' AS occur, left(t0, 3) AS low, t0 AS high FROM q0
+      SELECT query_id, 0 AS clause_id, 'should' AS occur, left(t0, 3) AS low, t0 AS high FROM q1
       UNION ALL
-      SELECT query_id, 1, 'must_not', t0, t0 || 'z' FROM q0)"""
+      SELECT query_id, 1, 'must_not', t0, t0 || 'z' FROM q1)"""
 RANGE_MATCHES = _expanded_matches(
     "CASE WHEN occur = 'should' THEN term BETWEEN low AND high "
-    "ELSE term > low AND term < high END")
+    "ELSE term > low AND term < high END", "occur, low, high")
 
-FIELD = """cl AS (SELECT query_id, 0 AS clause_id, 'should' AS occur, t0 AS term FROM q0
-      UNION ALL SELECT item_id, 1, 'should', NULL FROM benchmark)"""
+FIELD = """cl AS (SELECT query_id, i AS clause_id, 'should' AS occur, term FROM qd
+      UNION ALL SELECT item_id, -1, 'should', NULL FROM benchmark)"""
 FIELD_MATCHES = """SELECT query_id, clause_id, volume, path,
         sqrt(tf) * idf * idf / sqrt(dl) AS w
       FROM cl JOIN post USING (term) JOIN idf USING (volume, term) JOIN dl USING (volume, path)
       UNION ALL
-      SELECT query_id, 1, volume, path, pow(1 + ln(n_docs / 2), 2)
-      FROM cl JOIN docs ON clause_id = 1 AND path = CAST(query_id AS VARCHAR)
+      SELECT query_id, -1, volume, path, pow(1 + ln(n_docs / 2), 2)
+      FROM cl JOIN docs ON clause_id = -1 AND path = CAST(query_id AS VARCHAR)
       JOIN nd USING (volume)"""
 
 GROUPS = f"""WITH {STATS},
 {QUERY_TOKENS},
-    cl AS (SELECT query_id, i AS clause_id, g, term, CAST(1 AS DOUBLE) AS boost
-      FROM qt JOIN (VALUES (0, 0), (1, 0), (2, 1), (3, 1)) c(i, g) USING (i)),
+    cl AS (SELECT query_id, i AS clause_id, i % 2 AS g, term, CAST(1 AS DOUBLE) AS boost
+      FROM qd),
     m AS ({TERM_MATCHES.replace("clause_id,", "clause_id, g,")}),
     sizes AS (SELECT query_id, g, count(*) AS n FROM cl GROUP BY query_id, g),
     inner_hits AS (SELECT query_id, g, volume, path, count(*) / n * sum(w) AS score
@@ -213,14 +220,9 @@ GROUP BY query_id, volume, path HAVING bool_or(g = 0)"""
 def _nested() -> str:
     """Named hit lists, each its own scored search."""
     parts = {
-        "one": (_term_clauses(["should"] * 2), TERM_MATCHES),
-        "two": ("""cl AS (SELECT query_id, i AS clause_id, 'should' AS occur,
-      CAST(1 AS DOUBLE) AS boost, term FROM qt JOIN (VALUES (2), (3)) c(i) USING (i))""",
-                TERM_MATCHES),
-        "phrase": ("""pt AS (SELECT query_id, term, i AS off,
-      count(*) OVER (PARTITION BY query_id) AS n FROM qt JOIN (VALUES (0), (1)) c(i) USING (i)),
-    cl AS (SELECT DISTINCT query_id, 0 AS clause_id, 'should' AS occur FROM pt)""",
-                   PHRASE_MATCHES),
+        "one": (_term_clauses("'should'", where="i % 2 = 0"), TERM_MATCHES),
+        "two": (_term_clauses("'should'", where="i % 2 = 1"), TERM_MATCHES),
+        "phrase": (PHRASE, PHRASE_MATCHES),
         "place": ("cl AS (SELECT item_id AS query_id, 1 AS clause_id, 'should' AS occur "
                   "FROM benchmark)", """SELECT query_id, 1 AS clause_id, volume, path,
       pow(1 + ln(n_docs / 2), 2) AS w FROM cl
@@ -238,7 +240,7 @@ def _nested() -> str:
 
 
 RANK = "row_number() OVER (PARTITION BY query_id, volume ORDER BY score DESC, path)"
-POSITIONS = _with_hits(ANY_THREE) + f""",
+POSITIONS = _with_hits(ANY_TOKEN) + f""",
     {VOLUMES},
     pos AS (SELECT query_id, volume, path, {RANK} AS rank,
       row_number() OVER (PARTITION BY query_id ORDER BY volume_order, score DESC, path) AS position
@@ -276,9 +278,9 @@ SQL: dict[str, str] = {
     "extract_text": PAGE_TEXT,
     "write_index": f"WITH {POST} SELECT volume, term, path, tf, dl FROM post "
                    "JOIN dl USING (volume, path)",
-    "read_index": f"WITH {STATS} SELECT volume, n_docs, count(*) AS n_terms FROM df "
-                  "JOIN nd USING (volume) GROUP BY volume, n_docs",
-    "write_hits": _search(ANY_THREE),
+    "read_index": f"WITH {STATS} SELECT volume, n_docs, count(term) AS n_terms FROM nd "
+                  "LEFT JOIN df USING (volume) GROUP BY volume, n_docs",
+    "write_hits": _search(ANY_TOKEN),
 
     "regular_files": _entries("kind = 'file'"),
     "visible_paths": _entries(VISIBLE),
@@ -342,11 +344,12 @@ SQL: dict[str, str] = {
                  "JOIN benchmark ON path = CAST(item_id AS VARCHAR)",
     "analyze_query": f"WITH {QUERY_TOKENS} SELECT query_id, pos, term FROM qt",
 
-    "search_term": _search(_term_clauses(["should"])),
-    "search_any": _search(ANY_THREE),
-    "search_all": _search(_term_clauses(["must", "must"])),
-    "search_not": _search(_term_clauses(["should", "must_not"])),
-    "search_occur": _search(_term_clauses(["must", "should", "should", "must_not"])),
+    "search_term": _search(ONE_TOKEN),
+    "search_any": _search(ANY_TOKEN),
+    "search_all": _search(EVERY_TOKEN),
+    "search_not": _search(_term_clauses("CASE WHEN i % 8 = 7 THEN 'must_not' ELSE 'should' END")),
+    "search_occur": _search(_term_clauses(
+        "CASE WHEN i % 16 = 0 THEN 'must' WHEN i % 16 = 15 THEN 'must_not' ELSE 'should' END")),
     "search_phrase": _search(PHRASE, PHRASE_MATCHES),
     "search_proximity": _search(WINDOW, WINDOW_MATCHES),
     "search_prefix": _search(*_expanded(
@@ -357,23 +360,23 @@ SQL: dict[str, str] = {
         f"{FOLD.format('t0')} AS p, CASE WHEN length(t0) < 6 THEN 1 ELSE 2 END AS k",
         f"abs(length(term) - length(p)) <= k AND levenshtein({FOLD.format('term')}, p) <= k")),
     "search_range": _search(RANGE, RANGE_MATCHES),
-    "search_boost": _search(_term_clauses(["should", "should"], [2.5, 0.5])),
+    "search_boost": _search(_term_clauses(
+        "'should'", "CASE WHEN i % 2 = 0 THEN 2.5 ELSE 0.5 END")),
     "search_groups": GROUPS,
     "search_nested": _nested(),
     "search_field": _search(FIELD, FIELD_MATCHES),
     "score_hits": _search(ALL_TOKENS),
-    "rank_hits": _with_hits(ANY_THREE) + f" SELECT query_id, volume, path, score, {RANK} AS rank "
+    "rank_hits": _with_hits(ANY_TOKEN) + f" SELECT query_id, volume, path, score, {RANK} AS rank "
                                          "FROM hits",
-    "search_batch": _with_hits(ALL_TOKENS) + f""" SELECT * FROM (SELECT query_id, volume, path,
-      score, {BEST} AS rank FROM hits) r WHERE rank <= 10""",
+    "search_batch": _with_hits(ALL_TOKENS) +
+                    f" SELECT query_id, volume, path, score, {BEST} AS rank FROM hits",
 
     "concat_volumes": POSITIONS + " SELECT query_id, position, volume, rank, path FROM pos",
-    "merged_ranking": _with_hits(ANY_THREE, SHARED_MATCHES) +
+    "merged_ranking": _with_hits(ANY_TOKEN, SHARED_MATCHES) +
                       f" SELECT query_id, volume, path, score, {BEST} AS rank FROM hits",
     "hit_paths": POSITIONS + " SELECT query_id, position, path FROM pos",
-    "open_hit": _with_hits(ANY_THREE) + f""" SELECT query_id, rank, volume, path, contents
-      FROM (SELECT *, {BEST} AS rank FROM hits) r JOIN docs USING (volume, path)
-      WHERE rank <= 3""",
-    "top_k": _with_hits(ANY_THREE) + f""" SELECT * FROM (SELECT query_id, volume, path, score,
+    "open_hit": _with_hits(EVERY_TOKEN) + """ SELECT query_id, volume, path, contents
+      FROM hits JOIN docs USING (volume, path)""",
+    "top_k": _with_hits(ANY_TOKEN) + f""" SELECT * FROM (SELECT query_id, volume, path, score,
       {RANK} AS rank FROM hits) r WHERE rank <= 3""",
 }

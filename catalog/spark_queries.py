@@ -23,28 +23,23 @@ def query(function):
     return function
 
 
-def _clause(**given) -> Column:
-    """One clause as a struct; values are columns or plain values."""
-    base = {"clause_id": 0, "occur": "should", "kind": "term", "field": "contents",
-            "text": None, "text2": None, "slop": 0, "boost": 1.0} | given
-    types = {"clause_id": "int", "slop": "int", "boost": "double", "group_id": "int"}
-    return F.struct(*[
-        (v if isinstance(v, Column) else F.lit(v)).cast(types.get(k, "string")).alias(k)
-        for k, v in base.items()])
+def _clauses(rows: DataFrame, **given) -> DataFrame:
+    """Clauses from query tokens; values are columns or plain values."""
+    given = {"clause_id": F.col("i"), "text": F.col("term")} | given
+    return rows.select("query_id", *[
+        (v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in given.items()])
 
 
-def _clauses(spark: SparkSession, sf: str, *clauses: Column) -> DataFrame:
-    return inputs.query_tokens(spark, sf).select("query_id", F.inline(F.array(*clauses)))
+def _hits(spark: SparkSession, sf: str, clauses: DataFrame, shared: bool = False) -> DataFrame:
+    return search(inputs.corpus_index(spark, sf).view(), clauses, shared)
 
 
-def _hits(spark: SparkSession, sf: str, *clauses: Column) -> DataFrame:
-    return search(inputs.corpus_index(spark, sf).view(), _clauses(spark, sf, *clauses))
+def _any_token(spark: SparkSession, sf: str, shared: bool = False) -> DataFrame:
+    return _hits(spark, sf, _clauses(inputs.query_tokens(spark, sf)), shared)
 
 
-def _any_three(spark: SparkSession, sf: str, shared: bool = False) -> DataFrame:
-    clauses = _clauses(spark, sf, *[
-        _clause(clause_id=i, text=F.col(f"t{i}")) for i in range(3)])
-    return search(inputs.corpus_index(spark, sf).view(), clauses, shared)
+def _all_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(spark, sf, _clauses(inputs.query_tokens(spark, sf), occur="must"))
 
 
 # ---- sources and sinks -------------------------------------------------------------------
@@ -107,13 +102,14 @@ def write_index(spark, sf):
 def read_index(spark, sf):
     view = inputs.corpus_index(spark, sf).view()
     terms = view.terms.groupBy("volume").agg(F.count(F.lit(1)).alias("n_terms"))
-    return view.sizes.join(terms, "volume").select("volume", "n_docs", "n_terms")
+    return view.sizes.join(terms, "volume", "left").select(
+        "volume", "n_docs", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
 
 @query
 def write_hits(spark, sf):
     target = scratch_path(spark, "hits")
-    _any_three(spark, sf).write.parquet(target)
+    _any_token(spark, sf).write.parquet(target)
     return spark.read.schema("query_id BIGINT, volume STRING, path STRING, score DOUBLE") \
         .parquet(target)
 
@@ -371,89 +367,100 @@ def analyze_query(spark, sf):
 
 @query
 def search_term(spark, sf):
-    return _hits(spark, sf, _clause(text=F.col("t0")))
+    return _hits(spark, sf, _clauses(inputs.token_queries(spark, sf), clause_id=0))
 
 
 @query
 def search_any(spark, sf):
-    return _any_three(spark, sf)
+    return _any_token(spark, sf)
 
 
 @query
 def search_all(spark, sf):
-    return _hits(spark, sf, *[
-        _clause(clause_id=i, text=F.col(f"t{i}"), occur="must") for i in range(2)])
+    return _all_tokens(spark, sf)
 
 
 @query
 def search_not(spark, sf):
-    return _hits(spark, sf, _clause(text=F.col("t0")),
-                 _clause(clause_id=1, text=F.col("t1"), occur="must_not"))
+    occur = F.when(F.col("i") % 8 == 7, "must_not").otherwise("should")
+    return _hits(spark, sf, _clauses(inputs.query_tokens(spark, sf), occur=occur))
 
 
 @query
 def search_occur(spark, sf):
-    occurs = ["must", "should", "should", "must_not"]
-    return _hits(spark, sf, *[
-        _clause(clause_id=i, text=F.col(f"t{i}"), occur=o) for i, o in enumerate(occurs)])
+    occur = F.when(F.col("i") % 16 == 0, "must").when(
+        F.col("i") % 16 == 15, "must_not").otherwise("should")
+    return _hits(spark, sf, _clauses(inputs.query_tokens(spark, sf), occur=occur))
+
+
+def _texts(spark, sf, **given) -> DataFrame:
+    """One clause for each whole text."""
+    return _clauses(inputs.queries(spark, sf), clause_id=0, text=F.col("text"), **given)
 
 
 @query
 def search_phrase(spark, sf):
-    words = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
-    return _hits(spark, sf, _clause(kind="phrase", text=words))
+    return _hits(spark, sf, _texts(spark, sf, kind="phrase"))
 
 
 @query
 def search_proximity(spark, sf):
-    words = F.concat_ws(" ", "t0", "t1", "t2")
-    return _hits(spark, sf, _clause(kind="proximity", text=words, slop=10))
+    return _hits(spark, sf, _texts(spark, sf, kind="proximity", slop=inputs.SLOP))
+
+
+def _patterns(spark, sf, **given) -> DataFrame:
+    """One query with one pattern clause for each token."""
+    return _clauses(inputs.token_queries(spark, sf), **({"clause_id": 0} | given))
 
 
 @query
 def search_prefix(spark, sf):
-    return _hits(spark, sf, _clause(kind="prefix", text=F.left("t0", F.lit(3))))
+    return _hits(spark, sf, _patterns(spark, sf, kind="prefix", text=F.left("term", F.lit(3))))
 
 
 @query
 def search_wildcard(spark, sf):
-    pattern = F.concat(F.left("t0", F.lit(1)), F.lit("?"), F.substring("t0", 3, 1), F.lit("*"))
-    return _hits(spark, sf, _clause(kind="wildcard", text=pattern))
+    pattern = F.concat(F.left("term", F.lit(1)), F.lit("?"), F.substring("term", 3, 1), F.lit("*"))
+    return _hits(spark, sf, _patterns(spark, sf, kind="wildcard", text=pattern))
 
 
 @query
 def search_fuzzy(spark, sf):
-    edits = F.when(F.length("t0") < 6, 1).otherwise(2)
-    return _hits(spark, sf, _clause(kind="fuzzy", text=F.col("t0"), slop=edits))
+    edits = F.when(F.length("term") < 6, 1).otherwise(2)
+    return _hits(spark, sf, _patterns(spark, sf, kind="fuzzy", slop=edits))
 
 
 @query
 def search_range(spark, sf):
-    return _hits(
-        spark, sf,
-        _clause(kind="range", text=F.left("t0", F.lit(3)), text2=F.col("t0")),
-        _clause(clause_id=1, kind="range_exclusive", occur="must_not", text=F.col("t0"),
-                text2=F.concat("t0", F.lit("z"))))
+    inside = _patterns(spark, sf, kind="range", text=F.left("term", F.lit(3)),
+                       text2=F.col("term"), occur="should")
+    above = _patterns(spark, sf, clause_id=1, kind="range_exclusive",
+                      text2=F.concat("term", F.lit("z")), occur="must_not")
+    return _hits(spark, sf, inside.unionByName(above))
 
 
 @query
 def search_boost(spark, sf):
-    return _hits(spark, sf, _clause(text=F.col("t0"), boost=2.5),
-                 _clause(clause_id=1, text=F.col("t1"), boost=0.5))
+    boost = F.when(F.col("i") % 2 == 0, 2.5).otherwise(0.5)
+    return _hits(spark, sf, _clauses(inputs.query_tokens(spark, sf), boost=boost))
 
 
 @query
 def search_groups(spark, sf):
-    groups = [(0, "must"), (0, "must"), (1, "should"), (1, "should")]
-    return _hits(spark, sf, *[
-        _clause(clause_id=i, group_id=g, group_occur=o, text=F.col(f"t{i}"))
-        for i, (g, o) in enumerate(groups)])
+    return _hits(spark, sf, _clauses(
+        inputs.query_tokens(spark, sf), group_id=F.col("i") % 2,
+        group_occur=F.when(F.col("i") % 2 == 0, "must").otherwise("should")))
+
+
+def _own_path(spark, sf) -> DataFrame:
+    return _clauses(inputs.queries(spark, sf), clause_id=-1, field="path",
+                    text=F.col("query_id").cast("string"))
 
 
 @query
 def search_field(spark, sf):
-    return _hits(spark, sf, _clause(text=F.col("t0")),
-                 _clause(clause_id=1, field="path", text=F.col("query_id")))
+    words = _clauses(inputs.query_tokens(spark, sf), field="contents")
+    return _hits(spark, sf, words.unionByName(_own_path(spark, sf)))
 
 
 @query
@@ -464,25 +471,21 @@ def score_hits(spark, sf):
 
 @query
 def rank_hits(spark, sf):
-    return results.rank_hits(_any_three(spark, sf))
+    return results.rank_hits(_any_token(spark, sf))
 
 
 @query
 def search_batch(spark, sf):
-    return results.top_k(score_hits(spark, sf), 10, per_volume=False)
+    return results.merged_ranking(score_hits(spark, sf))
 
 
 @query
 def search_nested(spark, sf):
-    view = inputs.corpus_index(spark, sf).view()
-
-    def hits(*clauses):
-        return search(view, _clauses(spark, sf, *clauses))
-
-    first = hits(*[_clause(clause_id=i, text=F.col(f"t{i}")) for i in range(2)])
-    second = hits(*[_clause(clause_id=i, text=F.col(f"t{i}")) for i in (2, 3)])
-    phrase = hits(_clause(kind="phrase", text=F.concat_ws(" ", "t0", "t1")))
-    path = hits(_clause(field="path", text=F.col("query_id")))
+    tokens_of = inputs.query_tokens(spark, sf)
+    first, second = (_hits(spark, sf, _clauses(tokens_of.filter(f"i % 2 = {half}")))
+                     for half in (0, 1))
+    phrase = _hits(spark, sf, _texts(spark, sf, kind="phrase"))
+    path = _hits(spark, sf, _own_path(spark, sf))
     return results.either(results.without(results.both(first, second), phrase), path)
 
 
@@ -490,7 +493,7 @@ def search_nested(spark, sf):
 
 
 def _positions(spark, sf):
-    ranked = results.rank_hits(_any_three(spark, sf))
+    ranked = results.rank_hits(_any_token(spark, sf))
     return results.concat_volumes(ranked, inputs.volumes(spark, sf))
 
 
@@ -501,7 +504,7 @@ def concat_volumes(spark, sf):
 
 @query
 def merged_ranking(spark, sf):
-    return results.merged_ranking(_any_three(spark, sf, shared=True))
+    return results.merged_ranking(_any_token(spark, sf, shared=True))
 
 
 @query
@@ -511,11 +514,10 @@ def hit_paths(spark, sf):
 
 @query
 def open_hit(spark, sf):
-    best = results.top_k(_any_three(spark, sf), 3, per_volume=False)
-    return results.open_hits(best, inputs.documents(spark, sf)).select(
-        "query_id", "rank", "volume", "path", "contents")
+    return results.open_hits(_all_tokens(spark, sf), inputs.documents(spark, sf)).select(
+        "query_id", "volume", "path", "contents")
 
 
 @query
 def top_k(spark, sf):
-    return results.top_k(_any_three(spark, sf), 3)
+    return results.top_k(_any_token(spark, sf), 3)
