@@ -23,9 +23,8 @@ from shelfmark.llm.common import map_stream, texts
 
 MARK = "▁"
 UNKNOWN = 10.0  # an unknown character scores so much less than the worst piece
-TRIE_NODES = 1_000_000  # a task's trie starts anew beyond that
-LONG = 256  # longer pre-tokens are counted as they pass, without the trie
-CACHE = 300_000  # pre-tokens whose ids a task remembers
+CACHE = 400_000  # pre-tokens that a task remembers
+SLICE = 8 << 20  # bytes of text whose pre-tokens are worked on together
 
 
 class Pieces:
@@ -51,15 +50,12 @@ class Pieces:
             raise ValueError("pieces across words are not supported")
         self.longest = max(map(len, self.known))
         self.unknown = min(s for s, _ in self.known.values()) - UNKNOWN
-
-    def last_pieces(self, text: str, end: int, start: int = 0) -> Iterator[tuple[int, float, int]]:
-        """(start, score, id or -1) of the pieces that end at ``end``, the longest first."""
-        for at in range(max(start, end - self.longest), end):
-            found = self.known.get(text[at:end])
-            if found:
-                yield at, *found
-            elif at == end - 1:
-                yield at, self.unknown, -1
+        lengths: dict[str, set[int]] = {}
+        for piece in self.known:
+            if len(piece) > 2:
+                lengths.setdefault(piece[-3:], set()).add(len(piece))
+        # By the last three characters: the lengths that pieces with such an end have.
+        self.lengths = {tail: (*sorted(n, reverse=True), 2, 1) for tail, n in lengths.items()}
 
 
 @lru_cache(maxsize=2)
@@ -84,139 +80,186 @@ def pre_tokens(text: str) -> list[str]:
     return out + [MARK * (marks - 1)] * (marks > 0)
 
 
-class Trie:
-    """Distinct pre-tokens, and for every prefix the best score of its segmentation and that
-    segmentation's length. A prefix that pre-tokens share is worked out once."""
+def common_prefix(a: str, b: str) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
 
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-        self.counts: dict[str, int] = {}  # of whole pre-tokens
-        self.children: list[dict[str, int]] = [{}]
-        self.forward: list[tuple[float, int]] = [(0.0, 0)]
-
-    def step(self, text: str, end: int, at: dict[int, tuple[float, int]] | list) -> tuple:
-        """Best (score, length) up to ``end``, from those of earlier ends in ``at``."""
-        best, length = -float("inf"), 0
-        for start, score, piece in self.pieces.last_pieces(text, end):
-            before = at[start]
-            if before[0] + score > best:
-                best = before[0] + score
-                length = before[1] + (1 if piece >= 0 else len(text[start].encode()))
-        return best, length
-
-    def count(self, token: str) -> int:
-        """The number of tokens of a pre-token (its first U+2581 not written)."""
-        known = self.counts.get(token)
-        if known is None:
-            known = self.insert(token)
-        return known
-
-    def insert(self, token: str) -> int:
+
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    """A batch in slices of about SLICE bytes of text, with the pre-tokens of every row."""
+    start, size, out = 0, 0, []
+    for i, text in enumerate(texts(batch)):
+        out.append(pre_tokens(text.decode("utf-8", "replace")))
+        size += len(text)
+        if size >= SLICE or i == batch.num_rows - 1:
+            yield batch.slice(start, i + 1 - start), out
+            start, size, out = i + 1, 0, []
+
+
+class Memory(dict):
+    """What is known of pre-tokens (their first U+2581 not written), of bounded size."""
+
+    def learn(self, rows: list[list[str]], work) -> None:
+        """Make sure that all pre-tokens of ``rows`` are known; ``work`` gives the values of
+        sorted new ones."""
+        if len(self) > CACHE:
+            self.clear()
+        new: set[str] = set()
+        for row in rows:
+            new.update(row)
+        new.difference_update(self.keys())
+        self.update(work(sorted(new)))
+
+
+def trie_counts(tokens: list[str], pieces: Pieces) -> Iterator[tuple[str, int]]:
+    """(pre-token, number of tokens) of sorted distinct pre-tokens.
+
+    They form a trie, which is walked depth first: sorted order is the order of that walk. A
+    node is a prefix and holds the best score of its segmentation and that segmentation's
+    length; it is worked out once, from the nodes above it, for all pre-tokens that share it,
+    and is kept as long as the walk is below it. The ends of pre-tokens give their counts.
+    """
+    known, lengths, unknown, short = pieces.known, pieces.lengths, pieces.unknown, (2, 1)
+    last, scores, counts = MARK, [0.0], [0]
+    for token in tokens:
         text = MARK + token
-        if len(text) > LONG:
-            window = {0: (0.0, 0)}
-            for end in range(1, len(text) + 1):
-                window[end] = self.step(text, end, window)
-                window.pop(end - self.pieces.longest, None)
-            return window[len(text)][1]
-        if len(self.children) > TRIE_NODES:
-            self.__init__(self.pieces)
-        node, path = 0, [self.forward[0]]
-        for end, char in enumerate(text, 1):
-            child = self.children[node].get(char)
-            if child is None:
-                child = self.children[node][char] = len(self.children)
-                self.children.append({})
-                self.forward.append(self.step(text, end, path))
-            node = child
-            path.append(self.forward[node])
-        self.counts[token] = path[-1][1]
-        return path[-1][1]
+        shared = min(common_prefix(last, text), len(scores) - 1)
+        del scores[shared + 1:], counts[shared + 1:]
+        for end in range(shared + 1, len(text) + 1):
+            best, count = -float("inf"), 0
+            for n in lengths.get(text[end - 3:end] if end > 2 else text[:end], short):
+                if n <= end:
+                    piece = known.get(text[end - n:end])
+                    if piece is not None:
+                        if scores[-n] + piece[0] > best:
+                            best, count = scores[-n] + piece[0], counts[-n] + 1
+                    elif n == 1 and scores[-1] + unknown > best:
+                        best = scores[-1] + unknown
+                        count = counts[-1] + len(text[end - 1].encode())
+            scores.append(best)
+            counts.append(count)
+        last = text
+        yield token, counts[-1]
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) for every row of documents (doc_id, text).
 
-    Every task inserts the distinct pre-tokens it meets in a trie of bounded size; nothing is
-    shuffled. A null or empty text has none. Repeated rows are counted alike, null ids come
-    back, other columns are ignored, an empty table gives no rows.
+    Every task counts the distinct pre-tokens of a bounded stretch of rows by their trie and
+    remembers a bounded number of them; nothing is shuffled. A null or empty text has none.
+    Repeated rows are counted alike, null ids come back, other columns are ignored, an empty
+    table gives no rows.
     """
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(pieces_of(path))
+        pieces, counts = pieces_of(path), Memory()
         for batch in batches:
-            found = []
-            for text in texts(batch):
-                tokens = pre_tokens(text.decode("utf-8", "replace"))
-                found.append((len(tokens), sum(map(trie.count, tokens))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64())
-                                           for i in (0, 1))],
-                ["doc_id", "n_pretokens", "n_tokens"])
+            for part, rows in slices(batch):
+                counts.learn(rows, lambda new: trie_counts(new, pieces))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(map(len, rows), pa.int64()),
+                     pa.array([sum(map(counts.__getitem__, r)) for r in rows], pa.int64())],
+                    ["doc_id", "n_pretokens", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_stream(docs.select("doc_id", "text"),
                       f"doc_id {kind}, n_pretokens bigint, n_tokens bigint", work)
 
 
-def viterbi(chars: Iterable[str], pieces: Pieces) -> Iterator[int]:
-    """Ids of the best segmentation of a stream of characters.
+class Window:
+    """The best segmentation of a text that arrives bit by bit.
 
-    Scores are kept for as many ends as the longest piece has characters. As soon as the paths
-    back from all of these run through one boundary, whatever follows, the ids before it are
-    final: they are given out and the text and backpointers before it are dropped.
+    Whatever follows starts from one of the latest ends, as many as the longest piece has
+    characters. As soon as the paths back from all of these run through one boundary, the ids
+    before it are final: they are given out, and text, scores and backpointers before it go.
     """
-    text, base = "", 0  # the characters since the last common boundary, and its place
-    score: dict[int, float] = {0: 0.0}
-    back: dict[int, tuple[int, int]] = {}
-    end = 0
 
-    def ids(upto: int) -> list[int]:
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.text = ""  # since the last common boundary
+        self.final = False  # whether ids have been given out
+        self.score: list[float] = [0.0]
+        self.back: list[tuple[int, int]] = [(0, 0)]  # by end: length and id of the last piece
+
+    def keep(self, n: int) -> None:
+        """Take back what follows the first ``n`` characters; before ids are given out."""
+        self.text = self.text[:n]
+        del self.score[n + 1:], self.back[n + 1:]
+
+    def extend(self, more: str) -> list[int]:
+        """Add characters; the ids that are final now."""
+        known, lengths, unknown = self.pieces.known, self.pieces.lengths, self.pieces.unknown
+        score, back, out, short = self.score, self.back, [], (2, 1)
+        turn = 2 * self.pieces.longest
+        at = len(self.text)
+        text = self.text + more
+        start = 0  # of the window in ``text``; scores and backpointers begin there
+        for end in range(at + 1, len(text) + 1):
+            best, last, room = -float("inf"), (1, -1), end - start
+            for n in lengths.get(text[end - 3:end] if end > 2 else text[:end], short):
+                if n <= room:
+                    found = known.get(text[end - n:end])
+                    if found is not None:
+                        if score[-n] + found[0] > best:
+                            best, last = score[-n] + found[0], (n, found[1])
+                    elif n == 1 and score[-1] + unknown > best:
+                        best, last = score[-1] + unknown, (1, -1)
+            score.append(best)
+            back.append(last)
+            if room % turn == 0:
+                self.text = text[start:end]
+                common = self.meeting()
+                if common:
+                    out += self.ids(common)
+                    self.final = True
+                    start += common
+                    del score[:common], back[:common]
+        self.text = text[start:]
+        return out
+
+    def meeting(self) -> int:
+        """The furthest boundary that the paths back from the latest ends share."""
+        end = len(self.text)
+        alive = set(range(max(0, end - self.pieces.longest + 1), end + 1))
+        while len(alive) > 1:  # step back from the furthest until the paths meet
+            alive.remove(furthest := max(alive))
+            alive.add(furthest - self.back[furthest][0])
+        return alive.pop()
+
+    def ids(self, end: int) -> list[int]:
+        """The ids up to a boundary."""
         out = []
-        while upto > base:
-            start, piece = back[upto]
-            raw = text[start - base:upto - base].encode() if piece < 0 else b""
-            out.append([piece] if piece >= 0 else [pieces.bytes[b] for b in raw])
-            upto = start
+        while end:
+            n, piece = self.back[end]
+            out.append([piece] if piece >= 0 else [
+                self.pieces.bytes[b] for b in self.text[end - 1].encode()])
+            end -= n
         return [i for group in reversed(out) for i in group]
 
-    for char in chars:
-        text += char
-        end += 1
-        best = -float("inf")
-        for start, value, piece in pieces.last_pieces(text, end - base):
-            start += base
-            before = score.get(start)
-            if before is not None and before + value > best:
-                best = before + value
-                score[end], back[end] = best, (start, piece)
-        score.pop(end - pieces.longest, None)
-        if (end - base) % (2 * pieces.longest) == 0:
-            alive = set(score)
-            while len(alive) > 1:  # step back from the furthest until the paths meet
-                alive.remove(furthest := max(alive))
-                alive.add(back[furthest][0] if furthest > base else base)
-            common = alive.pop()
-            if common > base:
-                yield from ids(common)
-                back = {e: b for e, b in back.items() if e > common}
-                text, base = text[common - base:], common
-    yield from ids(end)
-
-
-class _Ids(dict):
-    """Packed ids of pre-tokens (their first U+2581 not written), worked out when missing."""
-
-    def __init__(self, pieces: Pieces):
-        super().__init__()
-        self.pieces = pieces
 
-    def __missing__(self, token: str) -> bytes:
-        packed = np.fromiter(viterbi(MARK + token, self.pieces), "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(token) <= LONG:
-            self[token] = packed
-        return packed
+def viterbi(chars: Iterable[str], pieces: Pieces) -> Iterator[int]:
+    """Ids of the best segmentation of a stream of characters, as they become final."""
+    window = Window(pieces)
+    for some in chars:
+        yield from window.extend(some)
+    yield from window.ids(len(window.text))
+
+
+def packed_ids(tokens: list[str], pieces: Pieces) -> Iterator[tuple[str, bytes]]:
+    """(pre-token, packed ids) of sorted distinct pre-tokens. A boundary stands in front of
+    each, so they are segmented one by one; a prefix shared with the one before stays in the
+    window."""
+    window = Window(pieces)
+    for token in tokens:
+        text = MARK + token
+        if window.final:
+            window = Window(pieces)
+        window.keep(common_prefix(window.text, text))
+        ids = window.extend(text[len(window.text):])
+        yield token, np.array(ids + window.ids(len(window.text)), "<u4").tobytes()
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -227,12 +270,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     other columns are ignored, an empty table gives no rows. Nothing is shuffled.
     """
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(pieces_of(path))
+        pieces, ids = pieces_of(path), Memory()
         for batch in batches:
-            packed = [b"".join(map(ids.__getitem__, pre_tokens(t.decode("utf-8", "replace"))))
-                      for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+            for part, rows in slices(batch):
+                ids.learn(rows, lambda new: packed_ids(new, pieces))
+                packed = [b"".join(map(ids.__getitem__, r)) for r in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_stream(docs.select("doc_id", "text"), f"doc_id {kind}, ids binary", work)

@@ -72,7 +72,11 @@ def whole_search(text):
     score, back = [0.0], []
     for end in range(1, len(text) + 1):
         best = (-float("inf"), 0, 0)
-        for start, value, piece in known.last_pieces(text, end):
+        for start in range(max(0, end - known.longest), end):
+            value, piece = known.known.get(text[start:end], (None, -1))
+            if value is None and start < end - 1:
+                continue
+            value = known.unknown if value is None else value
             if score[start] + value > best[0]:
                 best = (score[start] + value, start, piece)
         score.append(best[0])
@@ -133,14 +137,38 @@ def test_ids_leave_the_window_early():
     assert taken < 200
 
 
-def test_trie_starts_anew(monkeypatch):
+def test_long_streams_in_any_cut():
     known = pieces.pieces_of(PATH)
-    tokens = words(random.Random(2), 300).split(" ")
-    expected = [pieces.Trie(known).count(t) for t in tokens]
-    monkeypatch.setattr(pieces, "TRIE_NODES", 40)
-    small = pieces.Trie(known)
-    assert [small.count(t) for t in tokens] == expected
-    assert len(small.children) < 100
+    rng = random.Random(12)
+    text = "▁" + words(rng, 400).replace(" ", "▁")
+    cuts = sorted(rng.sample(range(len(text)), 40))
+    bits = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+    assert list(pieces.viterbi(bits, known)) == whole_search(text)
+
+
+def test_trie_counts_like_single_searches():
+    known = pieces.pieces_of(PATH)
+    tokens = sorted({*words(random.Random(2), 800).split(" "), "", "▁", "▁▁", "a" * 300, "a" * 299})
+    for work in (pieces.trie_counts, pieces.packed_ids):
+        for token, found in work(tokens, known):
+            ids = whole_search("▁" + token)
+            assert found == len(ids) if isinstance(found, int) else ids_of(found) == ids
+
+
+def test_bounded_memory(spark, docs_of, monkeypatch):
+    texts = [words(random.Random(i), 30) for i in range(40)]
+    whole = sorted(map(tuple, pieces.encode(docs_of(texts), PATH).collect()))
+    counts = sorted(map(tuple, pieces.count_tokens(docs_of(texts), PATH).collect()))
+    kept, found = pieces.Memory(), []
+    monkeypatch.setattr(pieces, "CACHE", 50)
+    known = pieces.pieces_of(PATH)
+    for i, text in enumerate(texts):
+        rows = [pieces.pre_tokens(text)]
+        kept.learn(rows, lambda new: pieces.packed_ids(new, known))
+        found.append((i, bytearray(b"".join(map(kept.__getitem__, rows[0])))))
+        assert len(kept) <= 50 + 30
+    assert found == whole
+    assert [(i, len(text.split(" "))) for i, text in enumerate(texts)] == [c[:2] for c in counts]
 
 
 def test_round_trip(spark, docs_of):
