@@ -12,7 +12,6 @@ constant time. A window whose length is a power of two needs no padding.
 
 from __future__ import annotations
 
-import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -26,65 +25,54 @@ from shelfmark.llm.common import map_stream, texts
 
 LENGTH = 2048
 END = 1  # the id behind every document
-STRIDE = 32  # inside a sentence every so manyth place can be cut
+STRIDE = 48  # a longer stretch without the end of a sentence can be cut every so many ids
 PENALTY_SEQUENCE, PENALTY_SENTENCE, PENALTY_WORD = 4, 1, 8
 BLOCK = 1 << 19  # ids planned at a time
-CACHE = 300_000  # text chunks whose ids a task remembers
+# Window lengths that need no padding; the short ones only at the end of a stream.
 POWERS = [1 << k for k in range(LENGTH.bit_length() - 1)]
+LONG_POWERS = [256, 512, 1024]
 
-# White space that is neither a space nor a line feed (fixed values, from Unicode).
-_OTHER_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 
+def _bytes_of(token: str) -> bytes:
+    """The bytes that a byte-level token stands for: printable ones stand for themselves, the
+    others for the characters from U+0100 on, in order."""
+    return bytes(_BYTE[c] for c in token)
 
-class _Ids(dict):
-    """Packed ids of text chunks, worked out when missing."""
 
-    def __init__(self, tokenizer, lead: str):
-        super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = packed
-        return packed
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {chr(b): b for b in _PLAIN} | {
+    chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 
 class Tokens:
-    """Ids of texts. The tokenizer never joins a word to what stands before its leading space,
-    so texts are split there and at single line feeds, and equal chunks are encoded once."""
+    """Ids of texts by a byte-level pair-merging tokenizer file. Its merges are in the order of
+    its ids, so its ids serve as ranks for the quicker of the two libraries, which then gives
+    the same ids."""
 
     def __init__(self, path: str):
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.first, self.spaced = _Ids(self.tokenizer, ""), _Ids(self.tokenizer, " ")
-        size = self.tokenizer.get_vocab_size()
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.ends = np.array([n.endswith((".", "!", "?")) for n in names])
-        self.line = np.array([n.endswith("Ċ") for n in names])
-        self.starts = np.array([n.startswith(("Ġ", "Ċ")) for n in names])
+        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        ranks = {_bytes_of(t): i for t, i in vocabulary.items() if all(c in _BYTE for c in t)}
+        special = "<|endoftext|>".encode()  # in a text it is ordinary text
+        self.encoding = tiktoken.Encoding(
+            path, pat_str=PATTERN, special_tokens={},
+            mergeable_ranks={b: i for b, i in ranks.items() if b != special})
+        size = max(ranks.values()) + 1
+        raw = [b""] * size
+        for token, i in ranks.items():
+            raw[i] = token
+        self.ends = np.array([t.endswith((b".", b"!", b"?")) for t in raw])
+        self.line = np.array([t.endswith(b"\n") for t in raw])
+        self.starts = np.array([t.startswith((b" ", b"\n")) for t in raw])
 
     def packed(self, text: str) -> bytes:
-        lines = [line.split(" ") for line in text.split("\n")]
-        if _OTHER_SPACE.search(text) or any("" in parts for parts in lines):
-            return b"".join([self.first[c] for c in _BEFORE_WORD.split(text) if c])
-        feed, out = self.first["\n"], []
-        for parts in lines:
-            out.append(self.first[parts[0]])
-            out += map(self.spaced.__getitem__, parts[1:])
-            out.append(feed)
-        return b"".join(out[:-1])
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
-        """Places behind a sentence or a line, inside the ids of a document."""
-        if len(ids) < 2:
-            return np.empty(0, int)
+        """Places behind a sentence or a line."""
         return np.flatnonzero((self.ends[ids[:-1]] & self.starts[ids[1:]])
                               | self.line[ids[:-1]]) + 1
 
@@ -99,6 +87,7 @@ def plan(places: list[int], penalties: list[int], open_end: bool) -> list[int]:
     first is 0, no gap exceeds LENGTH). The last cut is at the last place, or with
     ``open_end`` at the cheapest one of the last LENGTH."""
     n, total = len(places), places[-1]
+    tail = total if open_end else max(0, total - LENGTH)
     cost, back, value = [0] * n, [0] * n, [0] * n
     index = {p: i for i, p in enumerate(places)}
     queue = deque([0])
@@ -108,14 +97,14 @@ def plan(places: list[int], penalties: list[int], open_end: bool) -> list[int]:
             queue.popleft()
         i = queue[0]
         best = value[i] + LENGTH - p
-        for power in POWERS:
+        for power in LONG_POWERS if p < tail else POWERS:
             k = index.get(p - power)
             if k is not None and cost[k] < best:
                 best, i = cost[k], k
-        cost[j] = best + penalties[j] + PENALTY_SEQUENCE
+        cost[j] = best = best + penalties[j] + PENALTY_SEQUENCE
         back[j] = i
-        value[j] = cost[j] + p
-        while queue and value[queue[-1]] > value[j]:
+        value[j] = best = best + p
+        while queue and value[queue[-1]] > best:
             queue.pop()
         queue.append(j)
     last = n - 1
@@ -131,45 +120,29 @@ def plan(places: list[int], penalties: list[int], open_end: bool) -> list[int]:
 
 @dataclass
 class Part:
-    """A run of ids of one document, with the places in it that can be cut."""
+    """A run of ids of one document."""
 
     doc_id: object
     start: int
     doc_tokens: int
     ids: bytes
-    places: np.ndarray
-    penalties: np.ndarray
 
     def __len__(self) -> int:
         return len(self.ids) // 4
 
-    def rest(self, at: int) -> Part:
-        """What lies behind the first ``at`` ids."""
-        behind = self.places > at
-        return Part(self.doc_id, self.start + at, self.doc_tokens, self.ids[4 * at:],
-                    self.places[behind] - at, self.penalties[behind])
-
-
-def parts_of(doc_id, text: bytes, tokens: Tokens) -> Iterator[Part]:
-    """A document in parts of at most BLOCK ids."""
-    packed = tokens.packed(text.decode("utf-8", "replace")) + np.array([END], "<u4").tobytes()
-    ids = np.frombuffer(packed, "<u4")
-    ends = tokens.sentence_ends(ids[:-1])
-    for start in range(0, len(ids), BLOCK):
-        n = min(BLOCK, len(ids) - start)
-        penalty = np.full(n + 1, -1)
-        penalty[STRIDE:n:STRIDE] = PENALTY_WORD
-        penalty[ends[(ends > start) & (ends < start + n)] - start] = PENALTY_SENTENCE
-        penalty[n] = 0 if start + n == len(ids) else PENALTY_WORD
-        places = np.flatnonzero(penalty >= 0)
-        yield Part(doc_id, start, len(ids), packed[4 * start:4 * (start + n)], places,
-                   penalty[places])
+
+def parts_of(doc_id, packed: bytes) -> Iterator[Part]:
+    """A document, from the packed ids of its text, in parts of at most BLOCK ids."""
+    packed += np.array([END], "<u4").tobytes()
+    for start in range(0, len(packed) // 4, BLOCK):
+        yield Part(doc_id, start, len(packed) // 4, packed[4 * start:4 * (start + BLOCK)])
 
 
 @dataclass
 class Packer:
     """Plans blocks of parts; what a block leaves open goes on in the next one."""
 
+    tokens: Tokens
     first_sequence: int
     parts: list[Part] = field(default_factory=list)
     size: int = 0
@@ -180,26 +153,34 @@ class Packer:
         self.size += len(part)
         return self.flush(open_end=True) if self.size >= BLOCK else []
 
+    def candidates(self, heads: np.ndarray, open_end: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places that can be cut, and their penalties."""
+        penalty = np.full(self.size + 1, -1)
+        ends = self.tokens.sentence_ends(np.frombuffer(b"".join(p.ids for p in self.parts), "<u4"))
+        edges = np.unique(np.concatenate([ends, heads]))
+        gaps = np.diff(edges)
+        for at, gap in zip(edges[:-1][gaps > STRIDE].tolist(), gaps[gaps > STRIDE].tolist()):
+            penalty[at + STRIDE:at + gap:STRIDE] = PENALTY_WORD
+        if not open_end:  # any place may be cut at the very end, so that little is padded there
+            penalty[max(1, self.size - LENGTH):] = PENALTY_WORD
+        penalty[ends] = PENALTY_SENTENCE
+        last = [p.start + len(p) == p.doc_tokens for p in self.parts]
+        penalty[heads[1:]] = np.where(last, 0, PENALTY_WORD)
+        penalty[0] = 0
+        places = np.flatnonzero(penalty >= 0)
+        return places, penalty[places]
+
     def flush(self, open_end: bool) -> list[tuple]:
         """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset)."""
         if not self.size:
             return []
         heads = np.cumsum([0, *(len(p) for p in self.parts)])
-        places = np.concatenate([[0], *(p.places + h for p, h in zip(self.parts, heads))])
-        penalties = np.concatenate([[0], *(p.penalties for p in self.parts)])
-        if not open_end:  # any place may be cut at the very end, so that little is padded there
-            tail = np.arange(max(1, self.size - LENGTH), self.size)
-            tail = tail[~np.isin(tail, places)]
-            places = np.concatenate([places, tail])
-            penalties = np.concatenate([penalties, np.full(len(tail), PENALTY_WORD)])
-            order = np.argsort(places, kind="stable")
-            places, penalties = places[order], penalties[order]
-        cuts = plan(places.tolist(), penalties.tolist(), open_end)
-        out, which, at = [], 0, 0
-        for cut in cuts:
+        places, penalties = self.candidates(heads, open_end)
+        out, which, at, heads = [], 0, 0, heads.tolist()
+        for cut in plan(places.tolist(), penalties.tolist(), open_end):
             offset = 0
             while at < cut:
-                part, head = self.parts[which], int(heads[which])
+                part, head = self.parts[which], heads[which]
                 upto = min(cut, head + len(part))
                 out.append((part.doc_id, part.start + at - head, upto - at,
                             part.ids[4 * (at - head):4 * (upto - head)], part.doc_tokens,
@@ -210,7 +191,8 @@ class Packer:
             self.sequences += 1
         rest = self.parts[which:]
         if rest:
-            rest[0] = rest[0].rest(at - int(heads[which]))
+            p, done = rest[0], at - heads[which]
+            rest[0] = Part(p.doc_id, p.start + done, p.doc_tokens, p.ids[4 * done:])
         self.parts, self.size = rest, self.size - at
         return out
 
@@ -231,7 +213,8 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, of_id = tokens_of(path), Packer(TaskContext.get().partitionId() << 40), []
+        tokens, of_id = tokens_of(path), []
+        packer = Packer(tokens, TaskContext.get().partitionId() << 40)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             kinds = [of_id[0], *([pa.int64()] * 2), pa.binary(), *([pa.int64()] * 3)]
@@ -241,7 +224,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             of_id[:] = [batch.column("doc_id").type]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                for part in parts_of(doc_id, text, tokens):
+                for part in parts_of(doc_id, tokens.packed(text.decode("utf-8", "replace"))):
                     if rows := packer.add(part):
                         yield batch_of(rows)
         if rows := packer.flush(open_end=False):

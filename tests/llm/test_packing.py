@@ -70,10 +70,11 @@ def test_blocks_and_order(spark, docs_of, tokenizer, monkeypatch):
     texts = {i: " ".join(rng.choices(["the", "one.", "of\nthat", "zq", "end!"], k=rng.choice(
         [0, 3, 40, 900, 6000]))) for i in range(60)}
     docs = docs_of(list(texts.items())).coalesce(1)
-    tokens, packer, out = packing.tokens_of(PATH), packing.Packer(0), []
+    tokens, out = packing.tokens_of(PATH), []
+    packer = packing.Packer(tokens, 0)
     monkeypatch.setattr(packing, "BLOCK", 5000)
     for i, text in texts.items():
-        for part in packing.parts_of(i, text.encode(), tokens):
+        for part in packing.parts_of(i, tokens.packed(text)):
             out += packer.add(part)
     out += packer.flush(open_end=False)
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -86,7 +87,8 @@ def test_blocks_and_order(spark, docs_of, tokenizer, monkeypatch):
 def test_plan_is_cheapest(monkeypatch):
     """Against the best over all sets of cuts, with short sequences."""
     monkeypatch.setattr(packing, "LENGTH", 16)
-    monkeypatch.setattr(packing, "POWERS", [1, 2, 4, 8])
+    for name in ("POWERS", "LONG_POWERS"):
+        monkeypatch.setattr(packing, name, [1, 2, 4, 8])
     rng = random.Random(8)
     for _ in range(200):
         places, penalties = [0], [0]
