@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.functions.analysis import positioned
+from shelfmark.operators.admission import Admission
+from shelfmark.operators.changes import ReadDocs
 from shelfmark.plans.index import Index
 from shelfmark.session import scratch_path
-from shelfmark.sources.corpus import documents_corpus, eligible_volumes
+from shelfmark.sources.corpus import documents_by_key, documents_corpus, eligible_volumes
 from shelfmark.sources.tables import read_table, spread
 
 INDEX_DIR = "/es/"
@@ -47,6 +49,14 @@ def current_documents(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).join(gone, "path", "left_anti")
 
 
+def current_reader(spark: SparkSession, sf: str) -> ReadDocs:
+    """Reads single documents of that corpus."""
+    labels = read_table(spark, sf, "labels").filter("toxic = 1")
+    read = documents_by_key(read_table(spark, sf, "documents"))
+    gone = labels.select(F.col("doc_id").cast("string").alias("path"))
+    return lambda paths: read(paths).join(gone, "path", "left_anti")
+
+
 def entries(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files in folders: low-quality ones in a hidden folder, toxic ones
     under a hidden name (no path where both hold), copies of an earlier text as links;
@@ -61,14 +71,38 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
         F.when(toxic, ".").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt")))
     files = docs.join(first, "doc_id", "left").join(labels, "doc_id", "left").select(
         "doc_id", F.col("source").alias("volume"), path.alias("path"),
-        F.coalesce("first", F.lit("symlink")).alias("kind"), F.col("lang").alias("type"))
+        F.coalesce("first", F.lit("symlink")).alias("kind"), F.col("lang").alias("type"),
+        F.col("text").alias("contents"))
     folders = docs.select("source", "lang").distinct().select(
         F.lit(None).cast("bigint").alias("doc_id"), F.col("source").alias("volume"),
         F.concat(F.lit("/"), "lang").alias("path"), F.lit("dir").alias("kind"),
-        F.lit(None).cast("string").alias("type"))
+        F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("contents"))
     return files.unionByName(folders)
 
 
+def file_changes(events: DataFrame, all_entries: DataFrame) -> DataFrame:
+    """Events as changes (seq, ts, volume, path, op, batch) of these files."""
+    places = all_entries.select("doc_id", "volume", "path").filter("path IS NOT NULL")
+    return as_feed(events).join(places, "doc_id").select(
+        "seq", "ts", "volume", "path", "op", "batch")
+
+
+def admission(spark: SparkSession) -> Admission:
+    return Admission(supported(spark), excludes(spark), INDEX_DIR)
+
+
+def feed_parts(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The events in three parts, each with later days than the one before."""
+    events, day = read_table(spark, sf, "events"), F.dayofmonth("ts")
+    return [events.filter(day <= 10), events.filter((day > 10) & (day <= 20)),
+            events.filter(day > 20)]
+
+
+def add_file(part: DataFrame, folder: str) -> None:
+    """One more file in a feed's folder."""
+    part.coalesce(1).write.mode("append").parquet(folder)
+
+
 def excludes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(EXCLUDES, schemas.EXCLUDES)
 
@@ -119,8 +153,8 @@ def token_queries(spark: SparkSession, sf: str) -> DataFrame:
 _indexes: dict[tuple[str, str], Index] = {}
 
 
-def new_index(spark: SparkSession, name: str) -> Index:
-    return Index(spark, scratch_path(spark, f"index-{name}"), buckets=4)
+def new_index(spark: SparkSession, name: str, rules: Admission | None = None) -> Index:
+    return Index(spark, scratch_path(spark, f"index-{name}"), buckets=4, admission=rules)
 
 
 def corpus_index(spark: SparkSession, sf: str) -> Index:

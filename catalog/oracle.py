@@ -252,17 +252,29 @@ def _entries(where: str) -> str:
     return f"WITH {ENTRIES} SELECT volume, path, kind, type FROM entries WHERE {where}"
 
 
+ADMITTED = f"kind = 'file' AND {VISIBLE} AND type IN ({TYPES}) AND NOT {EXCLUDED} " \
+           f"AND NOT starts_with(path, '{inputs.INDEX_DIR}')"
+# Files as the corpus, in place of the documents.
+FILES = f"""{ENTRIES}, docs AS (SELECT volume, path, text AS contents
+      FROM entries JOIN documents USING (doc_id) WHERE {ADMITTED})""" + KEPT[len(DOCS):] + ",\n" + DL
+
+
 def _postings_of(docs: str, extra: str = "") -> str:
     rest = POST[len(DOCS):]
     return f"""WITH {extra}docs AS ({docs}){rest}
     SELECT volume, term, path, tf, dl, positions FROM post JOIN dl USING (volume, path)"""
 
 
-PAGE_TEXT = r"""SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS volume, url AS path,
-      regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+PAGE_TEXT = r"""SELECT coalesce(nullif(lower(regexp_extract(
+        url, '^(?i:[a-z][a-z0-9+.-]*:)?//([^/?#]+)', 1)), ''), '(no host)') AS volume,
+      url AS path,
+      -- The references that the pages hold; "&amp;" last, as what it gives is not one.
+      replace(replace(replace(replace(
+        regexp_replace(regexp_replace(regexp_replace(html,
         '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'),
         '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-        '&[#a-zA-Z0-9]+;', ' ', 'g') AS contents FROM pages"""
+        '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', chr(34)), '&amp;', '&')
+      AS contents FROM pages"""
 TURNS = """SELECT role AS volume, conv_id || '/' || turn AS path, text AS contents
       FROM conversations"""
 
@@ -274,7 +286,7 @@ SQL: dict[str, str] = {
     "changes_since": f"WITH {FEED} SELECT seq, volume, path, op FROM feed "
                      f"WHERE ts > TIMESTAMP '{inputs.FEED_START}'",
     "backfill_then_follow": f"WITH {FEED} SELECT seq, volume, path, op FROM feed",
-    "bootstrap_or_merge": f"WITH {KEPT}, {DL} SELECT volume, path, dl FROM dl",
+    "bootstrap_or_merge": f"WITH {FILES} SELECT volume, path, dl FROM dl",
     "extract_text": PAGE_TEXT,
     "write_index": f"WITH {POST} SELECT volume, term, path, tf, dl FROM post "
                    "JOIN dl USING (volume, path)",
@@ -301,8 +313,11 @@ SQL: dict[str, str] = {
                         "WHERE event_type <> 'signup'",
     "route_to_volume": f"WITH {FEED}, {VOLUMES} SELECT seq, volume, path, op FROM feed "
                        "WHERE volume IN (SELECT volume FROM scope)",
-    "drain_batch": f"WITH {KEPT}, {DL}, {FEED}, {LIVE} SELECT volume, path, dl FROM dl "
-                   "JOIN live USING (volume, path)",
+    "drain_batch": f"""WITH {FILES}, {FEED},
+    file_last AS (SELECT e.volume, e.path, l.is_update FROM last l
+      JOIN entries e ON CAST(e.doc_id AS VARCHAR) = l.path WHERE e.path IS NOT NULL)
+    SELECT volume, path, dl FROM dl LEFT JOIN file_last USING (volume, path)
+    WHERE coalesce(is_update, true)""",
     "net_changes": f"WITH {FEED} SELECT batch, volume, path, is_update FROM net",
     "late_bound_content": f"WITH {DOCS}, {FEED} SELECT volume, path, contents FROM docs "
                           "JOIN last USING (volume, path) WHERE is_update "

@@ -65,13 +65,23 @@ def changes_since(spark, sf):
 
 @query
 def backfill_then_follow(spark, sf):
+    # Two files are there at first, a third arrives; each is a micro-batch of its own.
+    folder, target = scratch_path(spark, "feed"), scratch_path(spark, "followed")
+    checkpoint = scratch_path(spark, "checkpoint")
     schema = read_table(spark, sf, "events").schema
-    events = feed.follow_table(spark, sf, schema, file_glob="events.parquet")
-    target = scratch_path(spark, "followed")
-    run = (inputs.as_feed(events).writeStream.format("parquet").option("path", target)
-           .option("checkpointLocation", scratch_path(spark, "checkpoint"))
-           .trigger(availableNow=True).start())
-    run.awaitTermination()
+
+    def follow():
+        events = feed.follow_table(spark, folder, schema, files_per_batch=1)
+        run = (inputs.as_feed(events).writeStream.format("parquet").option("path", target)
+               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        run.awaitTermination()
+
+    *first, last = inputs.feed_parts(spark, sf)
+    for part in first:
+        inputs.add_file(part, folder)
+    follow()
+    inputs.add_file(last, folder)
+    follow()
     followed = spark.read.schema(inputs.as_feed(read_table(spark, sf, "events")).schema) \
         .parquet(target)
     return inputs.with_volume(followed, read_table(spark, sf, "documents")) \
@@ -80,9 +90,10 @@ def backfill_then_follow(spark, sf):
 
 @query
 def bootstrap_or_merge(spark, sf):
-    docs, index = inputs.documents(spark, sf), inputs.new_index(spark, "bootstrap")
-    index.build(docs, inputs.scope(spark, sf))
-    index.bootstrap(docs, inputs.volumes(spark, sf))
+    files = inputs.entries(spark, sf)
+    index = inputs.new_index(spark, "bootstrap", inputs.admission(spark))
+    index.build(files, inputs.scope(spark, sf))
+    index.bootstrap(files, inputs.volumes(spark, sf))
     return index.doc_list()
 
 
@@ -165,8 +176,7 @@ def admission_status(spark, sf):
 @query
 def admit_updates_only(spark, sf):
     entries = inputs.entries(spark, sf)
-    places = entries.select("doc_id", "volume", "path").filter("path IS NOT NULL")
-    changes = inputs.as_feed(read_table(spark, sf, "events")).join(places, "doc_id").select(
+    changes = inputs.file_changes(read_table(spark, sf, "events"), entries).select(
         "seq", "volume", "path", "op")
     return admission.admit_updates_only(changes, entries, inputs.excludes(spark))
 
@@ -192,15 +202,26 @@ def route_to_volume(spark, sf):
 
 @query
 def drain_batch(spark, sf):
-    index = inputs.new_index(spark, "streamed")
-    index.build(inputs.documents(spark, sf))
+    # Two files of changes are there at first, a third arrives; each is a commit of its own.
+    files = inputs.entries(spark, sf)
+    index = inputs.new_index(spark, "streamed", inputs.admission(spark))
+    index.build(files)
+    folder, checkpoint = scratch_path(spark, "feed"), scratch_path(spark, "checkpoint")
     schema = read_table(spark, sf, "events").schema
-    events = feed.follow_table(spark, sf, schema, file_glob="events.parquet")
-    run = drain_batches(
-        index, inputs.as_feed(events), lambda: inputs.current_documents(spark, sf),
-        scratch_path(spark, "checkpoint"), name="drain", available_now=True,
-        prepare=lambda rows: inputs.with_volume(rows, read_table(spark, sf, "documents")))
-    run.awaitTermination()
+
+    def drain():
+        run = drain_batches(
+            index, feed.follow_table(spark, folder, schema, files_per_batch=1),
+            lambda: inputs.entries(spark, sf), checkpoint, name="drain", available_now=True,
+            prepare=lambda rows: inputs.file_changes(rows, inputs.entries(spark, sf)))
+        run.awaitTermination()
+
+    *first, last = inputs.feed_parts(spark, sf)
+    for part in first:
+        inputs.add_file(part, folder)
+    drain()
+    inputs.add_file(last, folder)
+    drain()
     return index.doc_list()
 
 
@@ -212,7 +233,7 @@ def net_changes(spark, sf):
 @query
 def late_bound_content(spark, sf):
     net = feed_ops.last_changes(inputs.changes(spark, sf))
-    return feed_ops.late_bound_content(net, inputs.current_documents(spark, sf)) \
+    return feed_ops.late_bound_content(net, inputs.current_reader(spark, sf)) \
         .select("volume", "path", "contents")
 
 
@@ -220,7 +241,10 @@ def late_bound_content(spark, sf):
 def attach_volume(spark, sf):
     scope = corpus.attach_volume(
         inputs.scope(spark, sf), inputs.volumes(spark, sf), monitor_removable=True)
-    return corpus.in_scope(inputs.documents(spark, sf).select("volume", "path"), scope)
+    index, docs = inputs.new_index(spark, "attached"), inputs.documents(spark, sf)
+    index.build(docs, inputs.scope(spark, sf))
+    index.bootstrap(docs, scope)
+    return index.doc_list().select("volume", "path")
 
 
 @query
@@ -292,7 +316,7 @@ def delete_docs(spark, sf):
 def _committed(spark, sf, name: str):
     index = inputs.new_index(spark, name)
     index.build(inputs.documents(spark, sf))
-    index.commit(inputs.changes(spark, sf), inputs.current_documents(spark, sf))
+    index.commit(inputs.changes(spark, sf), inputs.current_reader(spark, sf))
     return index
 
 
@@ -307,7 +331,7 @@ def commit(spark, sf):
 def reindex(spark, sf):
     index = _committed(spark, sf, "reindexed")
     index.reindex(inputs.current_documents(spark, sf))
-    return index.view().terms
+    return index.view().terms.select("volume", "term", "df")
 
 
 @query

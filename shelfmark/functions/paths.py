@@ -16,10 +16,20 @@ def visible(path: Column) -> Column:
     return ~leaf.startswith(".") & ~hidden_dir
 
 
+def named(volume: Column) -> Column:
+    """False for a missing or empty volume name."""
+    return F.coalesce(volume != "", F.lit(False))
+
+
+def as_directory(dir_prefix: Column) -> Column:
+    """A directory with its last slash, so that ``/a/b`` does not hold ``/a/bc``."""
+    return F.when(dir_prefix.endswith("/"), dir_prefix).otherwise(F.concat(dir_prefix, F.lit("/")))
+
+
 def inside(path: Column, dir_prefix: Column | str) -> Column:
-    """True when ``path`` lies in the directory at any depth. The prefix ends in a
-    slash, so that ``/a/b/`` does not hold ``/a/bc``."""
-    return path.startswith(dir_prefix)
+    """True when ``path`` lies in the directory at any depth."""
+    prefix = F.lit(dir_prefix) if isinstance(dir_prefix, str) else dir_prefix
+    return F.startswith(path, as_directory(prefix))
 
 
 def ancestors(path: Column) -> Column:

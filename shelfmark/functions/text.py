@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,14 +11,45 @@ from pyspark.sql import functions as F
 SCRIPT_OR_STYLE = r"(?is)<(script|style)\b.*?</(script|style)>"
 COMMENT = r"(?s)<!--.*?-->"
 TAG = r"<[^>]*>"
-ENTITY = r"&[#a-zA-Z0-9]+;"
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+
+# The public named set, as the standard library has it; references end in a semicolon here.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; none for what is not one."""
+    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(
+        F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
+
+
+def decode_references(text: Column) -> Column:
+    """Character references as their letters: named ones, decimal and hexadecimal ones. An
+    unknown name stays as it is."""
+    names = F.create_map(*[F.lit(v) for pair in NAMED.items() for v in pair])
+
+    def letter(name: Column) -> Column:
+        decimal = F.conv(F.substring(name, 2, 9), 10, 10).cast("bigint")
+        hexadecimal = F.conv(F.substring(name, 3, 9), 16, 10).cast("bigint")
+        return (F.when(name.rlike("^#[xX]"), _character(hexadecimal))
+                .when(name.startswith("#"), _character(decimal))
+                .otherwise(F.coalesce(F.element_at(names, name),
+                                      F.concat(F.lit("&"), name, F.lit(";")))))
+
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+    between = F.split(text, REFERENCE, -1)
+    joined = F.array_join(F.transform(between, lambda part, i: F.concat(
+        part, F.coalesce(letter(F.get(found, i)), F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def extract_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments, tags and entities become blanks."""
-    for pattern in (SCRIPT_OR_STYLE, COMMENT, TAG, ENTITY):
+    """Text of a page: scripts, styles, comments and tags become blanks, then character
+    references become their letters."""
+    for pattern in (SCRIPT_OR_STYLE, COMMENT, TAG):
         html = F.regexp_replace(html, pattern, " ")
-    return html
+    return decode_references(html)
 
 
 def decode_text(content: Column) -> Column:

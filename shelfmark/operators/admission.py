@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, inside, visible
+from ..functions.paths import ancestors, as_directory, inside, named, visible
 from ..session import small_side
 
 INDEX_DIR = "/index/"
 
-# Up to so many excluded directories are tested one by one; more are matched by equality.
-LISTED_EXCLUDES = 1_000
-
 # The outcome codes of asking for a file to be indexed.
 OK, BAD_VALUE, NOT_SUPPORTED, EXCLUDED = "OK", "bad_value", "nspt", "excl"
 
@@ -33,24 +32,22 @@ def not_in_index_dir(entries: DataFrame, index_dir: str = INDEX_DIR) -> DataFram
     return entries.filter(~inside(F.col("path"), index_dir))
 
 
-def not_excluded(entries: DataFrame, excludes: DataFrame,
-                 max_listed: int = LISTED_EXCLUDES) -> DataFrame:
-    """Drop entries inside an excluded directory of their volume, at any depth.
+def not_excluded(entries: DataFrame, excludes: DataFrame) -> DataFrame:
+    """Drop entries inside an excluded directory of their volume, at any depth. A directory
+    is meant with or without its last slash.
 
-    The directories of one volume travel as one array on a small broadcast side. Beyond
-    the bound, the directories an entry lies in are matched by equality instead.
+    The directories an entry lies in are matched by equality, in one lookup for each
+    distinct directory. An entry without a path is in none.
     """
-    excludes = excludes.select("volume", "dir_prefix").distinct()
-    if excludes.count() <= max_listed:
-        by_volume = excludes.groupBy("volume").agg(F.collect_set("dir_prefix").alias("_dirs"))
-        hit = F.exists("_dirs", lambda prefix: inside(F.col("path"), prefix))
-        return (entries.join(small_side(by_volume), "volume", "left")
-                .filter(~F.coalesce(hit, F.lit(False))).select(*entries.columns))
-    inside_one = (
-        entries.select("volume", "path", F.explode(ancestors(F.col("path"))).alias("dir_prefix"))
-        .join(excludes, ["volume", "dir_prefix"], "left_semi")
-        .select("volume", "path").distinct())
-    return entries.join(inside_one, ["volume", "path"], "left_anti")
+    prefixes = excludes.filter("dir_prefix IS NOT NULL").select(
+        "volume", as_directory(F.col("dir_prefix")).alias("dir_prefix")).distinct()
+    parent = F.regexp_extract(F.col("path"), r"^(.*/)[^/]*$", 1)
+    placed = entries.withColumn("_parent", parent)
+    parents = placed.filter("_parent <> ''").select("volume", "_parent").distinct()
+    gone = (parents.withColumn("dir_prefix", F.explode(ancestors(F.col("_parent"))))
+            .join(small_side(prefixes), ["volume", "dir_prefix"], "left_semi")
+            .select("volume", "_parent").distinct())
+    return placed.join(gone, ["volume", "_parent"], "left_anti").select(*entries.columns)
 
 
 def supported_types(entries: DataFrame, types: DataFrame) -> DataFrame:
@@ -61,10 +58,11 @@ def supported_types(entries: DataFrame, types: DataFrame) -> DataFrame:
 
 def admission_status(entries: DataFrame, types: DataFrame,
                      index_dir: str = INDEX_DIR) -> DataFrame:
-    """The outcome for every entry, decided in a fixed order."""
+    """The outcome for every entry, decided in a fixed order. A missing path and a missing or
+    empty volume are bad values."""
     known = small_side(types.select("type").distinct().withColumn("_known", F.lit(True)))
     status: Column = (
-        F.when(F.col("path").isNull(), BAD_VALUE)
+        F.when(F.col("path").isNull() | ~named(F.col("volume")), BAD_VALUE)
         .when(F.col("_known").isNull(), NOT_SUPPORTED)
         .when(inside(F.col("path"), index_dir), EXCLUDED)
         .otherwise(OK))
@@ -73,15 +71,30 @@ def admission_status(entries: DataFrame, types: DataFrame,
             .select(*entries.columns, "admission_status"))
 
 
-def admit(entries: DataFrame, types: DataFrame, excludes: DataFrame | None = None,
-          index_dir: str = INDEX_DIR) -> DataFrame:
-    """The one admission filter for crawl and feed: plain column filters first."""
-    kept = visible_paths(regular_files(entries))
-    kept = not_in_index_dir(kept, index_dir)
-    kept = supported_types(kept, types)
+def admit(entries: DataFrame, types: DataFrame | None = None,
+          excludes: DataFrame | None = None, index_dir: str = INDEX_DIR) -> DataFrame:
+    """The one admission filter for crawl and feed: plain column filters first. Documents
+    without ``kind`` or ``type`` are held to be regular files of a supported type."""
+    kept = not_in_index_dir(visible_paths(entries), index_dir)
+    if "kind" in entries.columns:
+        kept = regular_files(kept)
+    if types is not None and "type" in entries.columns:
+        kept = supported_types(kept, types)
     return not_excluded(kept, excludes) if excludes is not None else kept
 
 
+@dataclass(frozen=True)
+class Admission:
+    """What an index takes in. It holds for builds, bootstraps and commits alike."""
+
+    types: DataFrame | None = None
+    excludes: DataFrame | None = None
+    index_dir: str = INDEX_DIR
+
+    def admit(self, docs: DataFrame) -> DataFrame:
+        return admit(docs, self.types, self.excludes, self.index_dir)
+
+
 def admit_updates_only(changes: DataFrame, entries: DataFrame,
                        excludes: DataFrame | None = None) -> DataFrame:
     """Updates must name a visible, existing, regular file outside the excluded

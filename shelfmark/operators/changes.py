@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_within, measured, small_side
+from ..session import small_side
 
 OPS = ("created", "removed")
 
-# A batch of so few updates is handed to the scan of the corpus as a list of paths.
-LISTED_PATHS = 1_000
+# Reads the documents of (volume, path) rows.
+ReadDocs = Callable[[DataFrame], DataFrame]
 
 
 def classify_changes(changes: DataFrame) -> DataFrame:
-    """Created and removed entries; every other opcode, such as a move, is ignored."""
-    return changes.filter(F.col("op").isin(*OPS))
+    """Created and removed entries of a path; every other opcode, such as a move, is ignored,
+    and so is a change without a path."""
+    return changes.filter(F.col("op").isin(*OPS) & F.col("path").isNotNull())
 
 
 def route_to_volume(changes: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -39,18 +42,14 @@ def last_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("volume", "path").agg(last["is_update"].alias("is_update"))
 
 
-def late_bound_content(net: DataFrame, docs: DataFrame) -> DataFrame:
+def late_bound_content(net: DataFrame, docs: DataFrame | ReadDocs) -> DataFrame:
     """Contents of the updated paths as they are now. An update whose document is gone
-    binds nothing. The corpus is not shuffled while the batch is small, and the paths of
-    a very small batch go to the scan as a filter, which a table sorted by path, or
-    partitioned by volume, answers without reading the rest."""
-    updates = net.filter("is_update").drop("is_update")
-    size = measured(updates)
-    if size.rows <= LISTED_PATHS:
-        listed = updates.select("volume", "path").collect()
-        docs = docs.filter(F.col("volume").isin(sorted({r["volume"] for r in listed}))
-                           & F.col("path").isin(sorted({r["path"] for r in listed})))
-    return docs.join(broadcast_within(updates, size), ["volume", "path"])
+    binds nothing. ``docs`` is the corpus, or a function that reads the documents of given
+    (volume, path) rows by the corpus' own key; that one need not scan the corpus. The corpus
+    is not shuffled while the batch is small."""
+    updates = net.filter("is_update AND path IS NOT NULL").drop("is_update")
+    rows = docs(updates) if callable(docs) else docs
+    return rows.join(small_side(updates), ["volume", "path"])
 
 
 def commit_report(changes: DataFrame) -> DataFrame:

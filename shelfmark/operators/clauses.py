@@ -40,7 +40,8 @@ def clauses_from_text(queries: DataFrame, occur: str = "should") -> DataFrame:
 def analyze_clauses(clauses: DataFrame) -> DataFrame:
     """Clauses with their ``terms`` (array of term and pos). The query text goes through
     the analysis of the documents. A clause without anything to look for vanishes: it
-    neither matches nor counts. A term clause of several tokens is a phrase."""
+    neither matches nor counts. A term clause of several tokens is a phrase. Every clause gets
+    a ``clause_key`` of its own, whatever ids were given; write the result before using it."""
     clauses = with_defaults(clauses)
     on_path = F.col("field") == "path"
     analyzed = ~on_path & F.col("kind").isin("term", *POSITIONAL)
@@ -57,7 +58,7 @@ def analyze_clauses(clauses: DataFrame) -> DataFrame:
         .otherwise(F.length("text") > 0))
     return (clauses.withColumn("terms", terms)
             .withColumns({"kind": kind, "text": text, "text2": F.lower("text2")})
-            .filter(usable))
+            .filter(usable).withColumn("clause_key", F.monotonically_increasing_id()))
 
 
 # ---- dictionary expansion --------------------------------------------------------------

@@ -146,8 +146,8 @@ def _window_count(slots: Column, slop: Column) -> Column:
 
 def match_positional(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
                      shared: bool = False) -> DataFrame:
-    """Phrase and proximity clauses. One shuffle brings the position lists of a clause's
-    terms in one document together; the rest happens inside that row."""
+    """Phrase and proximity clauses. The documents that hold all terms of a clause come first;
+    one shuffle then brings their position lists together, and the rest happens in a row."""
     asked = clauses.filter(F.col("kind").isin(*POSITIONAL))
     first_pos = F.get("terms", F.lit(0))["pos"]
     in_phrase = F.transform("terms", lambda t: F.struct(
@@ -157,16 +157,20 @@ def match_positional(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
         t.alias("term"), i.alias("offset")))
     slots = F.when(F.col("kind") == "phrase", in_phrase).otherwise(in_window)
     wanted = asked.withColumn("slots", slots).select(
-        "query_id", "group_id", "clause_id", "kind", "occur", "boost", "slop",
-        F.size("slots").alias("n_slots"), F.inline("slots"))
-    keys = ["query_id", "group_id", "clause_id", "kind", "occur", "boost", "slop",
-            "n_slots", "volume", "path"]
+        "clause_key", F.size("slots").alias("n_slots"), F.inline("slots"))
+    found = _postings_of(view, wanted, bounds.slots, [], shared)
+    # First which documents hold all slots, without a position; then only theirs are read.
+    place = ["clause_key", "volume", "path"]
+    full = written(found.groupBy(*place, "n_slots").agg(F.count(F.lit(1)).alias("n")).filter(
+        "n = n_slots").select(*place))
+    clause = asked.select("clause_key", "query_id", "group_id", "kind", "occur", "boost", "slop")
     together = (
         _postings_of(view, wanted, bounds.slots, ["dl", "positions"], shared)
-        .groupBy(*keys)
+        .join(small_side(full), place, "left_semi")
+        .groupBy(*place)
         .agg(F.collect_list(F.struct("offset", "positions")).alias("slots"),
              F.sum("idf").alias("idf"), F.max("dl").alias("dl"))
-        .filter(F.size("slots") == F.col("n_slots")))
+        .join(broadcast_within(clause, bounds.clauses), "clause_key"))
     found = F.when(F.col("kind") == "phrase", _phrase_count(F.col("slots"))).otherwise(
         _window_count(F.col("slots"), F.col("slop")))
     weight = F.when(F.col("occur") == "must_not", 0.0).otherwise(

@@ -14,15 +14,17 @@ from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.analysis import term_bucket
+from ..functions.paths import named
+from ..operators.admission import Admission
 from ..operators.changes import (
-    classify_changes, last_changes, late_bound_content, route_to_volume)
+    ReadDocs, classify_changes, last_changes, late_bound_content, route_to_volume)
 from ..operators.postings import build_postings, document_frequencies, volume_sizes
-from ..session import Size, broadcast_within, measured, size_columns, small_side
+from ..session import Size, broadcast_within, measured, size_columns, small_side, written
 
 
 POSTING_COLUMNS = ["volume", "term", "path", "tf", "dl", "positions"]
@@ -41,7 +43,7 @@ class IndexView:
     sizes: DataFrame          # volume, n_docs; live
     dictionary: DataFrame     # term; all that live postings have, maybe more
     buckets: int
-    terms: DataFrame | None = None   # volume, term, df; None: count on demand
+    terms: DataFrame | None = None   # volume, bucket, term, df; None: count on demand
     keep_live: Callable[[DataFrame], DataFrame] = _as_they_are
     known_extent: Size | None = None
 
@@ -74,12 +76,12 @@ class IndexView:
         """(volume, term, df) of the given terms, which are at most ``size``. Taken from
         the stored table while it holds, otherwise counted over the live postings of
         just these terms."""
-        if self.terms is not None:
-            return self.terms.join(broadcast_within(terms, size), "term", "left_semi")
-        keys = terms.distinct().withColumn(
-            "bucket", term_bucket(F.col("term"), self.buckets))
-        return document_frequencies(
-            self.find(broadcast_within(keys, size), ["bucket", "term"], []))
+        keys = broadcast_within(terms.distinct().withColumn(
+            "bucket", term_bucket(F.col("term"), self.buckets)), size)
+        if self.terms is not None:  # with a broadcast side only the buckets asked for are read
+            return self.terms.join(keys, ["bucket", "term"], "left_semi").select(
+                "volume", "term", "df")
+        return document_frequencies(self.find(keys, ["bucket", "term"], []))
 
     def only_terms(self, terms: DataFrame) -> IndexView:
         """The view cut down to some terms, few enough to be broadcast."""
@@ -107,18 +109,34 @@ def view_of(docs: DataFrame, buckets: int = 8) -> IndexView:
     postings = rows.filter(F.col("bucket") >= 0)
     return IndexView(postings, doc_list, volume_sizes(doc_list),
                      postings.select("term").distinct(), buckets,
-                     document_frequencies(postings))
+                     document_frequencies(postings).withColumn(
+                         "bucket", term_bucket(F.col("term"), buckets)))
+
+
+def one_per_path(docs: DataFrame) -> DataFrame:
+    """One row for each volume and path; of several, the one with the greatest contents. Only
+    the rows of paths that occur twice are shuffled with their contents."""
+    twice = written(docs.groupBy("volume", "path").count().filter("count > 1").drop("count"))
+    if twice.isEmpty():
+        return docs
+    keys = ["volume", "path"]
+    several = docs.join(small_side(twice), keys, "left_semi")
+    return docs.join(small_side(twice), keys, "left_anti").unionByName(
+        several.groupBy(*keys).agg(F.max("contents").alias("contents")))
 
 
 class Index:
     """The index tables under one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 8):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 8,
+                 admission: Admission | None = None):
         """``buckets`` is used when the index is new: aim at about 1 GB of postings per
-        volume and bucket, so that a lookup opens one bucket's files only."""
+        volume and bucket, so that a lookup opens one bucket's files only. ``admission`` says
+        which documents builds and commits take in; all by default."""
         self.spark = spark
         self.root = root.rstrip("/")
         self._new_buckets = buckets
+        self._admission = admission
         self._seen: tuple[tuple, IndexView] | None = None
 
     # ---- what is there -------------------------------------------------------------
@@ -190,8 +208,9 @@ class Index:
         rows, size, first = bases.agg(*size_columns(bases), F.min("base")).first()
         extent = Size(rows, size)
         current = broadcast_within(bases, extent)
-        batches = [c["batch_id"] for c in log if first is not None and c["batch_id"] >= first]
-        deltas = [c["batch_id"] for c in log if c["batch_id"] in batches and not c["is_base"]]
+        seen = [c for c in log if first is not None and c["batch_id"] >= first]
+        batches = [c["batch_id"] for c in seen]
+        deltas = [c["batch_id"] for c in seen if not c["is_base"]]
         one_base = len(batches) == 1 and not has_exclusions
 
         def after_base(rows):
@@ -221,15 +240,16 @@ class Index:
         state = self._batches("doc_state", schemas.DOC_STATE, batches)
         doc_list = keep_live(state).filter("live").select("volume", "path", "dl")
         terms = self._batches(
-            "terms", schemas.TERMS, [b for b in batches if b not in deltas])
+            "terms", schemas.TERMS, [c["batch_id"] for c in seen if c["is_base"]])
         words = terms.select("term")
         if deltas:
             words = words.unionByName(
-                stored.filter(F.col("batch_id").isin(deltas)).select("term"))
+                self._batches("postings", schemas.POSTINGS, deltas)
+                .filter(F.col("bucket") >= 0).select("term"))
             sizes, terms = volume_sizes(doc_list), None
         else:
             sizes = bases.select("volume", "n_docs")
-            terms = after_base(terms).select("volume", "term", "df")
+            terms = after_base(terms).select("volume", "bucket", "term", "df")
         return IndexView(stored, doc_list, sizes, words.distinct(), self._buckets(log),
                          terms, keep_live, extent)
 
@@ -241,31 +261,40 @@ class Index:
 
     # ---- jobs that write -----------------------------------------------------------
 
-    def build(self, docs: DataFrame, volumes: DataFrame | None = None,
-              token: str | None = None) -> int:
+    def _taken_in(self, docs: DataFrame) -> DataFrame:
+        """Documents that may be indexed. A volume and a path must be named."""
+        docs = docs.filter(named(F.col("volume")) & F.col("path").isNotNull())
+        if self._admission is not None:
+            docs = self._admission.admit(docs)
+        return self._not_excluded(docs.select("volume", "path", "contents"))
+
+    def build(self, docs: DataFrame, volumes: DataFrame | None = None) -> int:
         """Index whole volumes: all that ``docs`` has, or those of ``volumes``, also if
-        they are empty by now. Earlier rows of these volumes are dead from here on."""
+        they are empty by now. Earlier rows of these volumes are dead from here on. Documents
+        without a named volume or path, and those that the admission turns down, are left
+        out (``rejection_report`` counts them); a path that occurs twice is indexed once."""
         if volumes is not None:
-            volumes = volumes.select("volume").distinct()
+            volumes = volumes.select("volume").filter(named(F.col("volume"))).distinct()
             docs = docs.join(small_side(volumes), "volume", "left_semi")
         log = self._log()
         batch_id = self._next_batch(log)
-        self._write_postings(self._not_excluded(docs), batch_id, log)
+        self._write_postings(one_per_path(self._taken_in(docs)), batch_id, log)
         written = self._written(batch_id)
         listed = written.filter(F.col("bucket") == -1)
         self._write_state(listed.select("volume", "path", "dl", F.lit(True).alias("live")),
                           batch_id)
         terms = document_frequencies(
-            written.filter(F.col("bucket") >= 0).select("volume", "term"))
-        (terms.hint("rebalance", "volume").sortWithinPartitions("volume", "term")
-         .write.mode("overwrite").partitionBy("volume")
-         .parquet(f"{self.root}/terms/batch_id={batch_id}"))
+            written.filter(F.col("bucket") >= 0).select("volume", "term")).withColumn(
+            "bucket", term_bucket(F.col("term"), self._buckets(log)))
+        self._writer(terms.hint("rebalance", "volume", "bucket").sortWithinPartitions(
+            "volume", "bucket", "term")).partitionBy("volume", "bucket").parquet(
+            f"{self.root}/terms/batch_id={batch_id}")
         sizes = volume_sizes(listed)
         if volumes is not None:
             sizes = (volumes.join(sizes, "volume", "left")
                      .select("volume", F.coalesce("n_docs", F.lit(0)).alias("n_docs")))
-        sizes.write.mode("overwrite").parquet(f"{self.root}/volume_stats/batch_id={batch_id}")
-        self._publish(batch_id, True, token, log)
+        self._writer(sizes).parquet(f"{self.root}/volume_stats/batch_id={batch_id}")
+        self._publish(batch_id, True, None, log)
         return batch_id
 
     def bootstrap(self, docs: DataFrame, volumes: DataFrame) -> int | None:
@@ -280,12 +309,14 @@ class Index:
             volumes = self.indexed_volumes().unionByName(docs.select("volume")).distinct()
         return self.build(docs, volumes)
 
-    def commit(self, changes: DataFrame, docs: DataFrame, volumes: DataFrame | None = None,
-               token: str | None = None) -> int | None:
+    def commit(self, changes: DataFrame, docs: DataFrame | ReadDocs,
+               volumes: DataFrame | None = None, token: str | None = None) -> int | None:
         """Apply changes (volume, path, op, batch) to the index: net effect, deletes, then
-        the updates with the contents found in ``docs`` now. ``volumes`` restricts the
+        the updates with the contents found in ``docs`` now, which is the corpus or, so that
+        the work grows with the batch only, a function that reads the documents of given
+        paths. Updates pass the admission, removals pass unchecked. ``volumes`` restricts the
         commit. A ``token`` seen before makes it a no-op, so a redelivered batch counts
-        once. Work grows with the batch, not with the index."""
+        once."""
         log = self._log()
         if token is not None and any(c["token"] == token for c in log):
             return None
@@ -296,7 +327,8 @@ class Index:
         net = last_changes(feed).persist()
         try:
             batch_id = self._next_batch(log)
-            self._write_postings(late_bound_content(net, docs), batch_id, log)
+            self._write_postings(
+                one_per_path(self._taken_in(late_bound_content(net, docs))), batch_id, log)
             added = (self._written(batch_id)
                      .filter(F.col("bucket") == -1).select("volume", "path", "dl"))
             state = net.join(added, ["volume", "path"], "left").select(
@@ -330,15 +362,19 @@ class Index:
         for one task, whatever volume or term it is, and merges what is too small."""
         rows = build_postings(docs, list_documents=True).withColumn(
             "bucket", term_bucket(F.col("term"), self._buckets(log)))
-        (rows.hint("rebalance", "volume", "bucket")
-         .sortWithinPartitions("volume", "bucket", "term", "path")
-         .write.mode("overwrite").partitionBy("volume", "bucket")
-         .parquet(f"{self.root}/postings/batch_id={batch_id}"))
+        self._writer(rows.hint("rebalance", "volume", "bucket").sortWithinPartitions(
+            "volume", "bucket", "term", "path")).partitionBy("volume", "bucket").parquet(
+            f"{self.root}/postings/batch_id={batch_id}")
+
+    def _writer(self, rows: DataFrame) -> DataFrameWriter:
+        """Overwrites the whole folder of a batch, whatever the session says of partitions:
+        nothing that a lost attempt left may stay."""
+        return rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
 
     def _write_state(self, state: DataFrame, batch_id: int) -> None:
-        (state.hint("rebalance", "volume").sortWithinPartitions("volume", "path")
-         .write.mode("overwrite").partitionBy("volume")
-         .parquet(f"{self.root}/doc_state/batch_id={batch_id}"))
+        self._writer(state.hint("rebalance", "volume").sortWithinPartitions(
+            "volume", "path")).partitionBy("volume").parquet(
+            f"{self.root}/doc_state/batch_id={batch_id}")
 
     def _publish(self, batch_id: int, is_base: bool, token: str | None, log: list) -> None:
         row = self.spark.range(1).select(

@@ -23,7 +23,7 @@ POSTINGS = (
     "term STRING, path STRING, tf INT, dl INT, positions ARRAY<INT>, "
     "batch_id BIGINT, volume STRING, bucket INT")
 DOC_STATE = "path STRING, dl INT, live BOOLEAN, batch_id BIGINT, volume STRING"
-TERMS = "term STRING, df BIGINT, batch_id BIGINT, volume STRING"
+TERMS = "term STRING, df BIGINT, batch_id BIGINT, volume STRING, bucket INT"
 VOLUME_STATS = "volume STRING, n_docs BIGINT, batch_id BIGINT"
 COMMITS = "batch_id BIGINT, is_base BOOLEAN, buckets INT, token STRING"
 EXCLUDED_VOLUMES = "volume STRING"

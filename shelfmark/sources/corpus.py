@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.paths import visible
 from ..functions.text import decode_text, extract_text
-from ..session import small_side
+from ..operators.changes import ReadDocs
+from ..session import small_side, written
 
-URL_HOST = r"^[a-z]+://([^/?#]+)"
+URL_HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]+)"
+NO_HOST = "(no host)"  # the volume of pages whose address names none
 URI_START = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
 
 
@@ -23,10 +25,27 @@ def documents_corpus(documents: DataFrame) -> DataFrame:
         F.col("text").alias("contents"))
 
 
+def documents_by_key(documents: DataFrame) -> ReadDocs:
+    """A reader of the documents of given (volume, path) rows from a ``documents`` table. The
+    paths are turned back into the table's own key: the scan gets the range of the keys, and
+    what it reads is joined with them, so a table that is clustered by its key is not read
+    as a whole."""
+
+    def read(paths: DataFrame) -> DataFrame:
+        keys = small_side(written(paths.select(
+            F.expr("try_cast(path AS BIGINT)").alias("doc_id")).distinct()))
+        low, high = keys.agg(F.min("doc_id"), F.max("doc_id")).first()  # two numbers
+        near = documents.filter(F.col("doc_id").between(F.lit(low), F.lit(high)))
+        return documents_corpus(near.join(keys, "doc_id", "left_semi"))
+
+    return read
+
+
 def pages_corpus(pages: DataFrame) -> DataFrame:
-    """Rich-format corpus from a ``pages`` table; the volume is the host."""
+    """Rich-format corpus from a ``pages`` table; the volume is the host, in small letters."""
+    host = F.lower(F.regexp_extract("url", URL_HOST, 1))
     return pages.select(
-        F.regexp_extract("url", URL_HOST, 1).alias("volume"), F.col("url").alias("path"),
+        F.when(host != "", host).otherwise(NO_HOST).alias("volume"), F.col("url").alias("path"),
         extract_text(F.col("html")).alias("contents"))
 
 

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark import schemas
+from shelfmark import Index, schemas
+from shelfmark.functions.text import extract_text
 from shelfmark.operators import admission
+from shelfmark.session import scratch_path
 from shelfmark.sources import corpus
 
 ENTRIES = [
@@ -59,17 +61,21 @@ def test_index_directory(entries):
     assert ("v1", "/index/seg1") not in kept and ("v1", "/indexes/f.txt") in kept
 
 
-@pytest.mark.parametrize("max_listed", [1000, 0])
-def test_excluded_directories(entries, excludes, max_listed):
-    kept = places(admission.not_excluded(entries, excludes, max_listed))
+def test_excluded_directories(entries, excludes):
+    kept = places(admission.not_excluded(entries, excludes))
     assert places(entries) - kept == {("v1", "/tmp/x/g.txt")}
 
 
-def test_both_ways_of_excluding_agree(spark, entries):
-    many = spark.createDataFrame(
-        [("v1", "/"), ("v2", "/tmp/x/"), ("v1", "/docs/a"), ("v3", "/tmp/")], schemas.EXCLUDES)
-    few = places(admission.not_excluded(entries, many, 1000))
-    assert few == places(admission.not_excluded(entries, many, 0)) == {("v1", None)}
+@pytest.mark.parametrize("more", [0, 1500])
+def test_a_directory_is_meant_with_or_without_its_slash(spark, entries, more):
+    """Whatever the number of excluded directories."""
+    rows = [("v1", "/tmp"), ("v2", "/tmp/x/"), ("v1", "/docs/a"), ("v3", "/tmp/"), ("v1", None)]
+    rows += [("v1", f"/none/{i}") for i in range(more)]
+    kept = places(admission.not_excluded(entries, spark.createDataFrame(rows, schemas.EXCLUDES)))
+    assert places(entries) - kept == {("v1", "/tmp/x/g.txt"), ("v2", "/tmp/x/g.txt")}
+    rows.append(("v1", "/"))
+    kept = places(admission.not_excluded(entries, spark.createDataFrame(rows, schemas.EXCLUDES)))
+    assert kept == {("v1", None)}
 
 
 def test_types(entries, types):
@@ -84,6 +90,10 @@ def test_status_order(spark, types):
     found = admission.admission_status(rows, types).orderBy(F.col("path"), "type")
     assert [r["admission_status"] for r in found.collect()] == [
         "bad_value", "OK", "nspt", "excl"]
+    unnamed = spark.createDataFrame([("", "/a.txt", "file", "txt", ""),
+                                     (None, "/a.txt", "file", "txt", "")], schemas.FILE_ENTRIES)
+    bad = admission.admission_status(unnamed, types).collect()
+    assert [r["admission_status"] for r in bad] == ["bad_value"] * 2
     report = admission.rejection_report(found).collect()
     assert {r["admission_status"]: r["n_entries"] for r in report} == {
         "bad_value": 1, "OK": 1, "nspt": 1, "excl": 1}
@@ -95,6 +105,22 @@ def test_admit(entries, types, excludes):
         ("v1", "/tmpfile.txt"), ("v2", "/tmp/x/g.txt")}
 
 
+def test_index_takes_in_what_is_admitted(spark, entries, types, excludes):
+    rules = admission.Admission(types, excludes)
+    index = Index(spark, scratch_path(spark, "index"), buckets=2, admission=rules)
+    admitted = places(admission.admit(entries, types, excludes))
+    one = spark.createDataFrame([("v1",)], "volume STRING")
+    index.build(entries, one)
+    assert places(index.doc_list()) == {p for p in admitted if p[0] == "v1"}
+    index.bootstrap(entries, spark.createDataFrame([("v1",), ("v2",)], "volume STRING"))
+    assert places(index.doc_list()) == admitted
+    changes = spark.createDataFrame(
+        [("v1", p, "created", 1) for _, p, *_ in ENTRIES if p] + [("v1", "/docs/a.txt", "removed", 2)],
+        "volume STRING, path STRING, op STRING, batch BIGINT")
+    index.commit(changes, entries)
+    assert places(index.doc_list()) == admitted - {("v1", "/docs/a.txt")}
+
+
 def test_removals_are_not_filtered(spark, entries, excludes):
     changes = spark.createDataFrame(
         [(1, "v1", "/docs/a.txt", "created"), (2, "v1", "/.cfg/c.txt", "created"),
@@ -135,3 +161,18 @@ def test_raw_files(spark, tmp_path):
         ("/sub/c.txt", "txt", None)}
     late = corpus.read_files(spark, str(root), "v1", modified_after="2999-01-01T00:00:00")
     assert late.count() == 0
+
+
+def test_hosts_name_the_volume(spark):
+    urls = ["HTTPS://X.org/a", "//x.org/b", "http://x.org?c", "file:///etc/d", "/e", None]
+    pages = spark.createDataFrame([(i, u, "<p>x</p>") for i, u in enumerate(urls)],
+                                  "page_id BIGINT, url STRING, html STRING")
+    assert [r["volume"] for r in corpus.pages_corpus(pages).collect()] == [
+        "x.org", "x.org", "x.org", corpus.NO_HOST, corpus.NO_HOST, corpus.NO_HOST]
+
+
+def test_references_become_letters(spark):
+    html = "caf&eacute; na&#239;ve &#x41;&amp;lt; &nope; &amp &#0;&#xD800;&NotEqualTilde;<b>&#128512;"
+    row = spark.createDataFrame([(html,), (None,), ("",)], "t STRING").select(
+        extract_text(F.col("t")).alias("t")).collect()
+    assert [r["t"] for r in row] == ["café naïve A&lt; &nope; &amp ≂̸ 😀", None, ""]

@@ -265,3 +265,45 @@ def test_files_are_followed(spark, tmp_path):
     (root / "sub" / "second.txt").write_text("gamma")
     follow()
     assert listed(index) == {("v1", "/first.txt"): 2, ("v1", "/sub/second.txt"): 1}
+
+
+def test_another_stream_is_not_taken_for_a_seen_one(spark, tmp_path):
+    """The same name and epoch, but another checkpoint: the batch counts."""
+    index = new_index(spark)
+
+    def follow(rows, folder):
+        feed_of(spark, rows, 0).coalesce(1).write.parquet(str(tmp_path / folder))
+        stream = follow_table(spark, str(tmp_path / folder), CHANGE)
+        drain_batches(index, stream, lambda: docs_of(spark, NEW),
+                      scratch_path(spark, "checkpoint"), available_now=True).awaitTermination()
+
+    follow(FEED, "one")
+    assert ("v1", "still") in listed(index)
+    follow([("v1", "still", "removed")], "two")
+    assert ("v1", "still") not in listed(index)
+
+
+def test_unnamed_volumes_and_double_paths(spark):
+    rows = [("v", "a", "one"), ("v", "a", "two"), ("v", "b", "three"), ("", "c", "four"),
+            (None, "d", "five"), ("v", None, "six")]
+    docs = spark.createDataFrame(rows, "volume STRING, path STRING, contents STRING")
+    index = Index(spark, scratch_path(spark, "index"), buckets=2)
+    index.build(docs)
+    assert index.doc_list().count() == 2 and set(listed(index)) == {("v", "a"), ("v", "b")}
+    assert [r["n_docs"] for r in index.view().sizes.collect()] == [2]
+    assert {r["term"] for r in index.postings().collect()} == {"two", "three"}
+
+
+def test_a_retry_leaves_nothing_of_a_lost_attempt(spark, monkeypatch):
+    """Also where the session overwrites only the partitions it writes."""
+    monkeypatch.setattr(Index, "_publish", lambda *a, **b: (_ for _ in ()).throw(OSError()))
+    index = Index(spark, scratch_path(spark, "index"), buckets=2)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        with pytest.raises(OSError):
+            index.build(docs_of(spark, {("v1", "a"): "x", ("v2", "b"): "y"}))
+        monkeypatch.undo()
+        index.build(docs_of(spark, {("v1", "a"): "x"}))
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert set(listed(index)) == {("v1", "a")}

@@ -9,6 +9,7 @@ from catalog import inputs, spark_queries
 from shelfmark import search
 from shelfmark.operators import changes, results
 from shelfmark.operators.postings import build_postings
+from shelfmark.sources.corpus import documents_by_key
 from shelfmark.sources.tables import read_table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,7 +30,7 @@ def view(spark):
 
 @pytest.fixture(scope="module")
 def hits(spark, view):
-    clauses = inputs.query_tokens(spark, FOLDER).select("query_id", F.col("t0").alias("text"))
+    clauses = inputs.query_tokens(spark, FOLDER).select("query_id", F.col("term").alias("text"))
     return search(view, clauses)
 
 
@@ -71,7 +72,7 @@ def test_change_filter_reaches_the_file(spark):
 def test_liveness_is_checked_after_the_lookup(spark):
     index = inputs.new_index(spark, "plans")
     index.build(inputs.documents(spark, FOLDER))
-    index.commit(inputs.changes(spark, FOLDER), inputs.current_documents(spark, FOLDER))
+    index.commit(inputs.changes(spark, FOLDER), inputs.current_reader(spark, FOLDER))
     view = index.view()
     terms = spark.createDataFrame([("er",)], "term STRING").withColumn("bucket", F.lit(0))
     plan = view.find(F.broadcast(terms), ["bucket", "term"], ["tf"])
@@ -83,16 +84,17 @@ def test_liveness_is_checked_after_the_lookup(spark):
     assert min(depth["path"]) < min(depth["term"])
 
 
-@pytest.mark.parametrize("listed", [1000, 0])
-def test_paths_of_a_small_batch_reach_the_corpus(spark, tmp_path, monkeypatch, listed):
-    monkeypatch.setattr(changes, "LISTED_PATHS", listed)
-    target = str(tmp_path / "docs")
-    inputs.documents(spark, FOLDER).write.partitionBy("volume").parquet(target)
-    docs = spark.read.schema("path STRING, contents STRING, volume STRING").parquet(target)
+def test_keys_of_a_batch_reach_the_documents(spark):
     net = spark.createDataFrame(
-        [("src1", "1", True), ("src1", "21", True), ("src2", "1", True), ("src2", "2", False)],
+        [("src1", "1", True), ("src1", "21", True), ("src2", "1", True), ("src2", "2", False),
+         ("src2", None, True), ("src2", "no number", True)],
         "volume STRING, path STRING, is_update BOOLEAN")
-    found = changes.late_bound_content(net, docs)
+    found = changes.late_bound_content(net, documents_by_key(read_table(spark, FOLDER, "documents")))
     assert {(r["volume"], r["path"]) for r in found.collect()} == {("src1", "1"), ("src1", "21")}
-    scan = next(line for line in plan_of(found).splitlines() if "FileScan" in line)
-    assert ("In(path" in scan and "volume#" in scan.split("PartitionFilters")[1]) == bool(listed)
+    scan = next(line for line in plan_of(found).splitlines() if "documents.parquet" in line)
+    assert "GreaterThanOrEqual(doc_id,1)" in scan and "LessThanOrEqual(doc_id,21)" in scan
+
+
+def test_dictionary_is_pruned_by_bucket(hits):
+    scan = next(line for line in lines(hits, "FileScan") if "/terms" in line)
+    assert re.search(r"dynamicpruningexpression\(bucket", scan)

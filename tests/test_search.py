@@ -276,3 +276,14 @@ def test_positions_follow_the_volume_order(spark):
         "query_id = 1").orderBy("rank").collect()
     assert [r["path"] for r in merged] == ["z", "y", "x"]
     assert results.top_k(ranked.drop("rank"), 1).filter(F.col("rank") > 1).isEmpty()
+
+
+def test_phrases_without_ids_stay_apart(spark):
+    docs = spark.createDataFrame(
+        [("v", "both", "new york and los angeles"), ("v", "mixed", "new angeles"),
+         ("v", "one", "new york")], "volume STRING, path STRING, contents STRING")
+    clauses = spark.createDataFrame(
+        [(1, "phrase", "new york"), (1, "phrase", "los angeles")],
+        "query_id BIGINT, kind STRING, text STRING")
+    hits = {r["path"]: r["score"] for r in search(view_of(docs), clauses).collect()}
+    assert set(hits) == {"both", "one"} and hits["both"] > hits["one"]
