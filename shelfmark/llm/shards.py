@@ -67,8 +67,8 @@ def propagate(rows: DataFrame, shards: int, parts: int) -> DataFrame | None:
     weight = F.struct("count", tie.alias("tie"), "shard")
     aims = linked.groupBy("community", "shard").count().groupBy("community").agg(
         F.max(weight).alias("w")).select("community", F.col("w.shard").alias("aim"))
-    aimed = rows.join(aims, "community", "left").withColumn(
-        "aim", F.coalesce("aim", "shard"))
+    aimed = linked.join(aims, "community").select("row", "community", "shard", "aim").unionByName(
+        rows.where("community IS NULL").withColumn("aim", F.col("shard")))
     state = written(aimed.withColumn("key", F.when(
         F.col("community").isNull(), F.col("shard")).when(
         F.col("aim") != F.col("shard"), shards + F.col("shard") * shards + F.col("aim"))))
