@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import map_batches, texts
+from shelfmark.llm.common import map_batches, texts, with_columns_from_text
 
 PASSAGE = 64  # words
 PIECE = 1 << 20  # bytes of text encoded at a time
 SAMPLE = 6000  # labelled documents that are learned from, at most
 BAG = 32  # evenly spaced passages of one of these, at most
 THRESHOLD = 0.7
-HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 16, 8, 20, 64, 0.01, 1e-4
+HIDDEN, GATE, BATCH, RATE, DECAY = 16, 8, 64, 0.01, 1e-3
+EPOCHS, STEPS = 20, 1500  # at least so many passes, and at least so many steps
 
 FEATURES = ["words", "word_bytes", "longest", "distinct", "same_as_last", "pairs_repeated",
             "symbols", "punctuation", "exclaims", "upper", "digits", "beyond_ascii", "newlines",
@@ -173,13 +174,14 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
     rows = np.concatenate(bags)
     model = Model(rows.mean(0), rows.std(0) + 1e-3, p)
     m, v, step = {k: 0 * x for k, x in p.items()}, {k: 0 * x for k, x in p.items()}, 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // -(-len(bags) // BATCH)))
+    for epoch in range(epochs):
         order = rng.permutation(len(bags))
         for start in range(0, len(order), BATCH):
             chosen = order[start:start + BATCH]
             grads = _gradients(model, [bags[i] for i in chosen], labels[chosen])
             step += 1
-            rate = RATE * .5 * (1 + np.cos(np.pi * epoch / EPOCHS))
+            rate = RATE * .5 * (1 + np.cos(np.pi * epoch / epochs))
             for k, g in grads.items():
                 g = g + DECAY * p[k]
                 m[k] = .9 * m[k] + .1 * g
@@ -250,14 +252,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """(_row, score): the columns ``keep`` of every row as a struct, and the score of its whole
     text. The texts pass once and are not shuffled."""
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = pa.array([model.score(t) for t in texts(batch, "_text")], pa.float64())
-        return pa.RecordBatch.from_arrays([batch.column("_row"), scores], ["_row", "score"])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),
-                       F.col("text").alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    return map_batches(rows, f"_row {kind}, score double", work)
+    return with_columns_from_text(docs, keep, [("score", "double")], lambda found: [
+        pa.array([model.score(t) for t in found], pa.float64())])
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

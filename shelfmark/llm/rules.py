@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import map_batches, texts
+from shelfmark.llm.common import with_columns_from_text
 from shelfmark.session import written
 
 SYMBOLS = b"#*$%&|<>"
@@ -47,15 +47,11 @@ def measures(text: bytes) -> tuple[int, ...]:
 
 def measured_documents(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and the counts of every row, as (kept struct, counts)."""
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = zip(*map(measures, texts(batch, "_text"))) if batch.num_rows else [()] * 6
-        return pa.RecordBatch.from_arrays(
-            [batch.column("_row"), *(pa.array(c, pa.int64()) for c in found)], ["_row", *COUNTS])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),
-                       F.col("text").alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    return map_batches(rows, f"_row {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS), work)
+    def work(found: list[bytes]) -> list[pa.Array]:
+        counts = [measures(t) for t in found]
+        return [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(COUNTS))]
+
+    return with_columns_from_text(docs, keep, [(c, "long") for c in COUNTS], work)
 
 
 def ratios() -> dict[str, Column]:

@@ -1,0 +1,136 @@
+"""The classifier: features, gradients, held-out accuracy, and what it must not see."""
+
+import zlib
+
+import numpy as np
+import pytest
+
+from shelfmark.llm import classifier, queries
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def rows_of(text):
+    return np.concatenate(list(classifier.encode(text.encode())))
+
+
+def test_features_by_hand():
+    words = ["The", "cat", "cat", "sat,", "on", "MATS!", "##", "é9", "|", "x\nThe"]
+    (row,) = rows_of(" ".join(words))
+    got = dict(zip(classifier.FEATURES, row))
+    assert got["words"] == pytest.approx(np.log1p(11))
+    assert got["distinct"] == pytest.approx(9 / 11)  # "The" and "cat" come twice
+    assert got["same_as_last"] == pytest.approx(1 / 11)
+    assert got["symbols"] == pytest.approx(3 / 11)
+    assert got["exclaims"] == pytest.approx(1 / 11)
+    assert got["newlines"] == pytest.approx(1 / 11)
+    assert got["no_letter"] == pytest.approx(2 / 11)
+    assert got["pairs_repeated"] == 0
+    assert got["longest"] == pytest.approx(np.log(5))
+
+
+def test_passages_are_of_64_words():
+    rows = rows_of("  lead " + "word " * 200)
+    assert len(rows) == 4 and rows[0][0] == pytest.approx(np.log1p(64))
+    assert rows[3][0] == pytest.approx(np.log1p(201 - 192))
+    assert (rows_of("") == 0).all() and len(rows_of(" \n")) == 1
+
+
+def test_long_texts_go_in_pieces(monkeypatch):
+    text = ("some words here. " * 4000).encode()
+    whole = np.concatenate(list(classifier.encode(text)))
+    monkeypatch.setattr(classifier, "PIECE", 1000)
+    parts = list(classifier.pieces(text))
+    assert b"".join(parts) == text and max(map(len, parts)) <= 1000
+    cut = np.concatenate(list(classifier.encode(text)))
+    assert abs(cut.mean(0) - whole.mean(0)).max() < 0.3
+    assert b"".join(classifier.pieces(b"x" * 5000)) == b"x" * 5000
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    bags = [rng.normal(size=(n, len(classifier.FEATURES))) for n in (1, 3, 5)]
+    labels = np.array([1., 0., 1.])
+    model = classifier.fit(bags, labels)
+
+    def loss():
+        total = 0
+        for bag, label in zip(bags, labels):
+            h, logit = model.passages(bag)
+            w = np.exp(logit) / np.exp(logit).sum()
+            p = 1 / (1 + np.exp(-(w @ h @ model.p["c"] + model.p["d"][0])))
+            total -= np.log(p if label else 1 - p) / len(bags)
+        return total
+
+    grads = classifier._gradients(model, bags, labels)
+    for name, g in grads.items():
+        for at in list(np.ndindex(g.shape))[:: max(1, g.size // 5)]:
+            keep = model.p[name][at]
+            model.p[name][at] = keep + 1e-6
+            up = loss()
+            model.p[name][at] = keep - 1e-6
+            down = loss()
+            model.p[name][at] = keep
+            assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-5), name
+
+
+def test_one_telling_passage_is_found():
+    """Bags that differ in one passage of many: attention has to find it."""
+    rng = np.random.default_rng(3)
+    bags, labels = [], []
+    for i in range(600):
+        bag = rng.normal(size=(20, len(classifier.FEATURES)))
+        if i % 2:
+            bag[rng.integers(20), 6] += 6
+        bags.append(bag)
+        labels.append(1 - i % 2)
+    model = classifier.fit(bags[:400], np.array(labels[:400], float))
+    right = 0
+    for bag, label in zip(bags[400:], labels[400:]):
+        h, logit = model.passages(bag)
+        w = np.exp(logit) / np.exp(logit).sum()
+        right += (w @ h @ model.p["c"] + model.p["d"][0] > 0) == label
+    assert right >= 0.93 * 200
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = {r.doc_id: r.quality for r in
+              spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    rows = queries.REGISTRY["op7_quality_classifier"](spark, "/root/testdata/sf0.1").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
+    tested = [r for r in rows if r.held_out and r.doc_id in labels]
+    assert sum(r.predicted == labels[r.doc_id] for r in tested) >= 0.98 * len(tested)
+    good = [r.predicted for r in tested if labels[r.doc_id] == 1]
+    bad = [r.predicted for r in tested if labels[r.doc_id] == 0]
+    assert np.mean(good) >= 0.99 and np.mean(bad) <= 0.1
+
+
+def test_only_texts_and_labels_that_may_be_seen(spark):
+    """Held-out labels, languages, sources and new ids do not change a score."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    first = {r.doc_id: r.score for r in classifier.classify(docs, labels).collect()}
+    flipped = labels.withColumn("quality", (1 - labels.quality).cast("int")).where(
+        classifier.held_out()).unionByName(labels.where(~classifier.held_out()))
+    plain = docs.selectExpr("doc_id", "text", "'xx' AS lang", "'none' AS source")
+    second = {r.doc_id: r.score for r in classifier.classify(plain, flipped).collect()}
+    assert first == second
+
+
+def test_edges(spark, docs_of):
+    text = "word and word again. " * 9000
+    docs = docs_of([(None, "a b"), (1, None), (1, None), (2, ""), (3, text)]).selectExpr(
+        "*", "1 AS score", "2 AS quality", "3 AS held_out")
+    kinds = "doc_id bigint, quality int, toxic int"
+    for rows in ([], [(3, 1, 0)], [(3, 1, 0), (3, 0, 0), (2, None, 1), (None, 1, 0), (1, 0, 0)]):
+        labels = spark.createDataFrame(rows, kinds)
+        found = classifier.classify(docs, labels).collect()
+        assert len(found) == 5 and all(0 <= r.score <= 1 for r in found)
+        assert len({r.score for r in found if r.doc_id in (1, 2)}) == 1
+        assert not any(r.held_out for r in found if r.doc_id is None)
+        assert classifier.keep_good(docs, labels).columns == docs.columns
+    assert classifier.classify(docs_of([]), labels).collect() == []
