@@ -63,11 +63,11 @@ def main() -> None:
     changes = inputs.changes(spark, folder)
     last_day = changes.agg(F.max("batch")).first()[0]
     day = changes.filter(F.col("batch") == last_day)
-    docs = inputs.current_documents(spark, folder)
-    timed("commit_one_day", lambda: index.commit(day, docs))
+    docs, read = inputs.current_documents(spark, folder), inputs.current_reader(spark, folder)
+    timed("commit_one_day", lambda: index.commit(day, read))
     timed("search_batch_after_commit",
           lambda: run(spark_queries.REGISTRY["search_batch"](spark, folder)))
-    timed("commit_whole_feed", lambda: index.commit(changes, docs))
+    timed("commit_whole_feed", lambda: index.commit(changes, read))
     timed("reindex", lambda: index.reindex(docs))
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, as_directory, inside, named, visible
-from ..session import small_side
+from ..session import small_side, written
 
 INDEX_DIR = "/index/"
 
@@ -103,7 +103,7 @@ def admit_updates_only(changes: DataFrame, entries: DataFrame,
     updates = visible_paths(changes.filter(F.col("op") == "created"))
     if excludes is not None:
         updates = not_excluded(updates, excludes)
-    admitted = good.join(small_side(updates), ["volume", "path"]).select(*changes.columns)
+    admitted = good.join(small_side(written(updates)), ["volume", "path"]).select(*changes.columns)
     return admitted.unionByName(changes.filter(F.col("op") == "removed"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import small_side, written
 
 OPS = ("created", "removed")
 
@@ -47,7 +47,7 @@ def late_bound_content(net: DataFrame, docs: DataFrame | ReadDocs) -> DataFrame:
     binds nothing. ``docs`` is the corpus, or a function that reads the documents of given
     (volume, path) rows by the corpus' own key; that one need not scan the corpus. The corpus
     is not shuffled while the batch is small."""
-    updates = net.filter("is_update AND path IS NOT NULL").drop("is_update")
+    updates = written(net.filter("is_update AND path IS NOT NULL").drop("is_update"))
     rows = docs(updates) if callable(docs) else docs
     return rows.join(small_side(updates), ["volume", "path"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analysis import inverted, let, positioned
-from ..session import small_side
+from ..session import small_side, written
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
@@ -60,5 +60,5 @@ def upsert_docs(docs: DataFrame, batch: DataFrame) -> DataFrame:
 
 def delete_docs(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Drop all rows of the given paths; an unknown path is no error."""
-    gone = small_side(keys.select("volume", "path").distinct())
+    gone = small_side(written(keys.select("volume", "path").distinct()))
     return docs.join(gone, ["volume", "path"], "left_anti")

@@ -107,4 +107,4 @@ def open_hits(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """Hits with the contents of their documents, which the index does not store. Read
     the corpus once for all queries; pass few hits, such as a top k, to avoid shuffling
     it."""
-    return docs.join(small_side(hits), ["volume", "path"])
+    return docs.join(small_side(written(hits)), ["volume", "path"])
