@@ -23,8 +23,8 @@ from shelfmark.llm.common import map_stream, texts
 
 MARK = "▁"
 UNKNOWN = 10.0  # an unknown character scores so much less than the worst piece
-CACHE = 400_000  # pre-tokens that a task remembers
-SLICE = 8 << 20  # bytes of text whose pre-tokens are worked on together
+CACHE = 250_000  # pre-tokens that a task remembers
+SLICE = 2 << 20  # bytes of text whose pre-tokens are worked on together
 
 
 class Pieces:
