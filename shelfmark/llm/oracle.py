@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import licenses
+from shelfmark.llm import licenses, vectors
 
 
 def _text(value: str) -> str:
@@ -39,4 +39,23 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z
 FROM w LEFT JOIN base USING (r) LEFT JOIN found USING (r)"""
 
 
-SQL = {"op2_license_scan": license_scan()}
+# All pairs of a label, and all that each vector reaches by links.
+EMBEDDING_DEDUP = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label,
+  CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.label = b.label
+  AND a.r <> b.r AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= {vectors.COSINE}),
+reach AS (SELECT r AS a, r AS b FROM v
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b
+  GROUP BY reach.a),
+degree AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id,
+  vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least USING (r) LEFT JOIN degree USING (r)"""
+
+SQL = {"op2_license_scan": license_scan(), "op8_embedding_dedup": EMBEDDING_DEDUP}

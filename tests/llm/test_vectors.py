@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from shelfmark.llm import queries, vectors
+from shelfmark.llm import oracle, queries, vectors
+from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
@@ -52,6 +53,11 @@ def test_whole_table(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == plain(rows)
 
 
+def test_whole_table_like_sql(spark):
+    assert difference(spark, connect(FOLDER), FOLDER, queries.REGISTRY["op8_embedding_dedup"],
+                      oracle.SQL["op8_embedding_dedup"]) is None
+
+
 @pytest.mark.parametrize("block", [512, 7])
 def test_clouds_and_chains(spark, monkeypatch, block):
     """Dense clouds over several blocks, chains, pairs just above and below the threshold."""
