@@ -7,14 +7,25 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .analysis import let
+
 # What is dropped from a page, in this order.
 SCRIPT_OR_STYLE = r"(?is)<(script|style)\b.*?</(script|style)>"
 COMMENT = r"(?s)<!--.*?-->"
 TAG = r"<[^>]*>"
 REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 
-# The public named set, as the standard library has it; references end in a semicolon here.
-NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+# The public named set, as the standard library has it; references end in a semicolon here. By
+# first letter, as a map is searched from its start.
+NAMED: dict[str, dict[str, str]] = {}
+for _name, _text in html5.items():
+    if _name.endswith(";"):
+        NAMED.setdefault(_name[0], {})[_name[:-1]] = _text
+
+
+def _literal_map(values: dict[str, str | Column]) -> Column:
+    return F.create_map(*[v if isinstance(v, Column) else F.lit(v)
+                          for pair in values.items() for v in pair])
 
 
 def _character(code: Column) -> Column:
@@ -27,21 +38,27 @@ def _character(code: Column) -> Column:
 def decode_references(text: Column) -> Column:
     """Character references as their letters: named ones, decimal and hexadecimal ones. An
     unknown name stays as it is."""
-    names = F.create_map(*[F.lit(v) for pair in NAMED.items() for v in pair])
+    names = _literal_map({first: _literal_map(some) for first, some in NAMED.items()})
 
     def letter(name: Column) -> Column:
         decimal = F.conv(F.substring(name, 2, 9), 10, 10).cast("bigint")
         hexadecimal = F.conv(F.substring(name, 3, 9), 16, 10).cast("bigint")
         return (F.when(name.rlike("^#[xX]"), _character(hexadecimal))
                 .when(name.startswith("#"), _character(decimal))
-                .otherwise(F.coalesce(F.element_at(names, name),
-                                      F.concat(F.lit("&"), name, F.lit(";")))))
-
-    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
-    between = F.split(text, REFERENCE, -1)
-    joined = F.array_join(F.transform(between, lambda part, i: F.concat(
-        part, F.coalesce(letter(F.get(found, i)), F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+                .otherwise(F.coalesce(
+                    F.element_at(F.element_at(names, F.left(name, F.lit(1))), name),
+                    F.concat(F.lit("&"), name, F.lit(";")))))
+
+    def joined(parts: Column) -> Column:
+        return F.array_join(F.transform(parts["between"], lambda part, i: F.concat(
+            part, F.coalesce(let(F.get(parts["found"], i), letter), F.lit("")))), "")
+
+    def decoded(text: Column) -> Column:
+        parts = F.struct(F.split(text, REFERENCE, -1).alias("between"),
+                         F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)).alias("found"))
+        return F.when(F.contains(text, F.lit("&")), let(parts, joined)).otherwise(text)
+
+    return let(text, decoded)
 
 
 def extract_text(html: Column) -> Column:

@@ -130,11 +130,16 @@ def _fuzzy_anchors(text: Column, edits: Column) -> Column:
 
 
 def _range_anchors(low: Column, high: Column) -> Column:
+    """Bounds with the same first letters hold only terms that begin with these."""
     first = F.coalesce(_page(low), F.lit(0))
     last = F.coalesce(_page(high), F.lit(256 + (0x10FFFF >> 8)))
     pages = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
-    return F.transform(F.coalesce(pages, F.array().cast("array<int>")),
-                       lambda n: F.concat(F.lit("@"), n.cast("string")))
+    by_page = F.transform(F.coalesce(pages, F.array().cast("array<int>")),
+                          lambda n: F.concat(F.lit("@"), n.cast("string")))
+    begins = F.when((F.length(low) > 1) & (F.left(low, F.lit(2)) == F.left(high, F.lit(2))), 2)
+    begins = begins.when((F.length(low) > 0) & (F.left(low, F.lit(1)) == F.left(high, F.lit(1))), 1)
+    return F.when(begins.isNotNull(), F.array(F.concat(F.lit("^"), F.left(low, begins)))) \
+        .otherwise(by_page)
 
 
 def clause_anchors() -> Column:
