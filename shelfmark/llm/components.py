@@ -18,21 +18,21 @@ def components(links: DataFrame) -> DataFrame:
     root is the smallest node that can be reached.
 
     Rounds of large-star and small-star steps: each hangs a node's neighbours under its
-    smallest neighbour. A round is a minimum per node (combined before the shuffle) and a
-    join, whose hot nodes adaptive execution splits; no neighbour list is ever collected. The
-    rounds are written as tables, so a lost executor costs one step. Nulls and links of a
-    node to itself are ignored; an empty table gives no rows.
+    smallest neighbour. A step is a minimum per node (combined before the shuffle) and a join
+    with it; no neighbour list is ever collected. Minima and rounds are written as tables: a
+    lost executor costs one step, and adaptive execution can split a hot node in the join.
+    Nulls and links of a node to itself are ignored; an empty table gives no rows.
     """
     pairs = written(links.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, now = None, _state(pairs)
     while now != before:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            "a", F.least("a", "m").alias("m"))
-        large = both.join(lowest, "a").where("b > a").select(
-            F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = written(both.groupBy("a").agg(F.min("b").alias("m")).select(
+            "a", F.least("a", "m").alias("m")))
+        large = written(both.join(lowest, "a").where("b > a").select(
+            F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        lowest = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(lowest, "a").select(F.explode(F.array(
             F.struct("a", F.col("m").alias("b")),
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")

@@ -157,7 +157,7 @@ def links(fps: DataFrame) -> DataFrame:
         sizes, "prefix").select("fp", "prefix", "salts", F.explode(
             F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
-    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         values = rows["fp"].to_numpy(np.int64)
         pairs = meet(values.view(np.uint64), int(key[0]), bits, int(key[1]), int(key[2]))
         return pd.DataFrame({"a": values[pairs[:, 0]], "b": values[pairs[:, 1]]})
@@ -178,9 +178,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = written(fingerprints(docs))
     nodes = written(known.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(nodes.select("fp")))
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    classes = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # Both written, so that a large group's rows can be split in the join of the two.
+    labelled = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least_id", F.coalesce("root", "fp").alias("root")))
+    classes = written(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")))
     named = labelled.join(classes, "root").select("fp", "component_id")
     return known.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

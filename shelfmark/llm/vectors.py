@@ -234,10 +234,11 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     found = written(linked(written(index(nodes, *bands_for(most)))))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.join(roots, "node", "left").join(links, "node", "left").select(
+    # Both written, so that a large group's rows can be split in the join of the two.
+    named = written(nodes.join(roots, "node", "left").join(links, "node", "left").select(
         "label", "embedding", "least_id", F.coalesce("root", "node").alias("root"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    classes = named.groupBy("root").agg(F.min("least_id").alias("component"))
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    classes = written(named.groupBy("root").agg(F.min("least_id").alias("component")))
     named = named.join(classes, "root").select("label", "embedding", "links", "component")
     rows = base.where("usable").join(named, ["label", "embedding"]).select(
         "vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
