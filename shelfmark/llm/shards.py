@@ -17,7 +17,8 @@ from shelfmark.session import written
 SHARDS = 24
 ROUNDS = 5  # at most; it stops when nothing asks to move
 LANES = 64  # for numbering all rows
-TASK_ROWS = 50_000  # rows that one task numbers
+TASK_ROWS = 50_000  # rows that are numbered together, at most about
+LEAST_PARTS = 16  # a shard is dealt to so many parts at least
 LAW = "rows"  # counts of rows differ by one at most
 
 
@@ -119,7 +120,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
         heads.append(heads[-1] + sizes.get(lane, 0))
     place = F.get(_literal(heads), F.col("lane").cast("int")) + F.col("n")
     rows = lanes.select("row", "community", F.pmod(place, F.lit(shards)).cast("int").alias("shard"))
-    per_shard = max(1, parts // shards)
+    per_shard = max(LEAST_PARTS, parts // shards)
     for _ in range(rounds):
         moved = propagate(rows, shards, per_shard)
         if moved is None:
