@@ -12,6 +12,7 @@ The only public file at hand comes from pair merging; its scores are taken as un
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -106,13 +107,13 @@ class Memory(dict):
     def learn(self, rows: list[list[str]], work) -> None:
         """Make sure that all pre-tokens of ``rows`` are known; ``work`` gives the values of
         sorted new ones."""
-        if len(self) > CACHE:
-            self.clear()
-        new: set[str] = set()
+        wanted: set[str] = set()
         for row in rows:
-            new.update(row)
-        new.difference_update(self.keys())
-        self.update(work(sorted(new)))
+            wanted.update(row)
+        if len(self) > CACHE:  # what is wanted again is likely to be frequent
+            for token in self.keys() - wanted:
+                del self[token]
+        self.update(work(sorted(wanted - self.keys())))
 
 
 def trie_counts(tokens: list[str], pieces: Pieces) -> Iterator[tuple[str, int]]:
@@ -231,13 +232,16 @@ class Window:
 
     def ids(self, end: int) -> list[int]:
         """The ids up to a boundary."""
-        out = []
+        back, out = self.back, []
         while end:
-            n, piece = self.back[end]
-            out.append([piece] if piece >= 0 else [
-                self.pieces.bytes[b] for b in self.text[end - 1].encode()])
+            n, piece = back[end]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [self.pieces.bytes[b] for b in reversed(self.text[end - 1].encode())]
             end -= n
-        return [i for group in reversed(out) for i in group]
+        out.reverse()
+        return out
 
 
 def viterbi(chars: Iterable[str], pieces: Pieces) -> Iterator[int]:
@@ -259,7 +263,8 @@ def packed_ids(tokens: list[str], pieces: Pieces) -> Iterator[tuple[str, bytes]]
             window = Window(pieces)
         window.keep(common_prefix(window.text, text))
         ids = window.extend(text[len(window.text):])
-        yield token, np.array(ids + window.ids(len(window.text)), "<u4").tobytes()
+        ids += window.ids(len(window.text))
+        yield token, struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
