@@ -66,8 +66,8 @@ def propagate(rows: DataFrame, shards: int, parts: int) -> DataFrame | None:
     # Ties go by a hash, rather to shards with many rows that can make way.
     tie = room * (F.pmod(F.xxhash64("community", "shard"), F.lit(1000)) + 1)
     weight = F.struct("count", tie.alias("tie"), "shard")
-    aims = linked.groupBy("community", "shard").count().groupBy("community").agg(
-        F.max(weight).alias("w")).select("community", F.col("w.shard").alias("aim"))
+    aims = written(linked.groupBy("community", "shard").count().groupBy("community").agg(
+        F.max(weight).alias("w")).select("community", F.col("w.shard").alias("aim")))
     aimed = linked.join(aims, "community").select("row", "community", "shard", "aim").unionByName(
         rows.where("community IS NULL").withColumn("aim", F.col("shard")))
     state = written(aimed.withColumn("key", F.when(
@@ -108,8 +108,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     n = base.count()
     parts = -(-n // TASK_ROWS)
     half = max(1, n // (2 * shards))
-    groups = base.groupBy("text_md5").count().where("count > 1").select(
-        "text_md5", F.ceil(F.col("count") / half).alias("cuts"))
+    # Written, so that the rows of a hot text can be split in the join.
+    groups = written(base.groupBy("text_md5").count().where("count > 1").select(
+        "text_md5", F.ceil(F.col("count") / half).alias("cuts")))
     piece = F.pmod(F.xxhash64("row", F.lit(1)), F.col("cuts"))
     linked = base.select("row", "text_md5").join(groups, "text_md5", "left").select(
         "row", F.when(F.col("cuts").isNotNull(), F.xxhash64("text_md5", piece)).alias("community"))
