@@ -12,6 +12,7 @@ constant time. A window whose length is a power of two needs no padding.
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -31,6 +32,10 @@ BLOCK = 1 << 19  # ids planned at a time
 # Window lengths that need no padding; the short ones only at the end of a stream.
 POWERS = [1 << k for k in range(LENGTH.bit_length() - 1)]
 LONG_POWERS = [256, 512, 1024]
+BLANKS = 100_000  # white space in a row from which on it is encoded by itself
+# Unicode white space, as the pattern of the tokenizer has it; tried at the start of a run only.
+_SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_RUN = re.compile(f"(?<!{_SPACE}){_SPACE}{{{BLANKS},}}+")
 
 
 def _bytes_of(token: str) -> bytes:
@@ -47,14 +52,16 @@ _BYTE = {chr(b): b for b in _PLAIN} | {
 class Tokens:
     """Ids of texts by a byte-level pair-merging tokenizer file. Its merges are in the order of
     its ids, so its ids serve as ranks for the quicker of the two libraries, which then gives
-    the same ids."""
+    the same ids. That one fails on about a million white-space characters in a row, so long
+    runs go to the other."""
 
     def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         ranks = {_bytes_of(t): i for t, i in vocabulary.items() if all(c in _BYTE for c in t)}
         special = "<|endoftext|>".encode()  # in a text it is ordinary text
         self.encoding = tiktoken.Encoding(
@@ -69,7 +76,15 @@ class Tokens:
         self.starts = np.array([t.startswith((b" ", b"\n")) for t in raw])
 
     def packed(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        out, at = [], 0
+        for run in _RUN.finditer(text) if len(text) >= BLANKS else ():
+            # The pattern takes a run as one, without its last character if a text follows.
+            end = run.end() - (run.end() < len(text))
+            out += [self.encoding.encode_ordinary(text[at:run.start()]),
+                    self.tokenizer.encode(text[run.start():end], add_special_tokens=False).ids]
+            at = end
+        out.append(self.encoding.encode_ordinary(text[at:] if at else text))
+        return b"".join(np.array(ids, "<u4").tobytes() for ids in out)
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
         """Places behind a sentence or a line."""

@@ -30,6 +30,20 @@ def test_ids_like_the_tokenizer(tokenizer, text):
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+MANY = 1_200_000
+RUNS = {"between": "a" + " " * MANY + "b", "blanks": " " * MANY, "newlines": "\n" * MANY,
+        "lines between": "a.\n" + "\n" * MANY + "b", "mixed": "x" + " \t\u3000\r\n" * (MANY // 5),
+        "tab at the end": "é 1" + " " * MANY + "\t's", "not blank": " " * MANY + "\x1c" + " " * 9,
+        "two": " a" + "\n" * MANY + "b c" + " " * packing.BLANKS + "d",
+        "short of it": "a" + " " * (packing.BLANKS - 1) + "b"}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_long_runs_of_white_space(tokenizer, name):
+    got = np.frombuffer(packing.tokens_of(PATH).packed(RUNS[name]), "<u4").tolist()
+    assert got == tokenizer.encode(RUNS[name], add_special_tokens=False).ids
+
+
 def check(pieces, texts, tokenizer):
     """Every id lies in one piece, sequences are gapless and in order; returns the padding."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -112,6 +126,11 @@ def test_plan_is_cheapest(monkeypatch):
         assert cost(packing.plan(places, penalties, open_end=False)) == best
 
 
+def test_long_runs_are_packed(spark, docs_of, tokenizer):
+    texts = {1: "one two.", 2: RUNS["between"], 3: RUNS["lines between"], 4: "end"}
+    check(packing.pack(docs_of(list(texts.items())), PATH).collect(), texts, tokenizer)
+
+
 def test_edges(spark, docs_of, tokenizer):
     docs = docs_of([(None, "a b"), (1, None), (2, "")]).selectExpr("*", "1 AS start", "2 AS ids")
     rows = packing.pack(docs, PATH).collect()
