@@ -36,13 +36,14 @@ TREES, DEPTH, RATE, BINS, LEAST = 60, 4, 0.2, 32, 5.0
 # What HTML says about elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SILENT = frozenset("head script style template noscript iframe object svg canvas audio video "
+SILENT = frozenset("script style template noscript iframe object svg canvas audio video "
                    "select textarea button input title xmp noembed noframes datalist".split())
+UNNESTED = frozenset({"button", "select"})  # one of these does not stand in another
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd "
                    "label mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
                    "wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
-          "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
+          "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "tbody": {"thead", "tbody", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"},
          "th": {"table"}, "tbody": {"table"}}
@@ -92,14 +93,16 @@ def _names(attributes: str) -> frozenset[str]:
 def parse(page: str) -> list[Node]:
     """The block elements and text runs of a page, in page order (parents first). Elements
     that show no text are left out, with all they hold. Character references are decoded and
-    white space within a run is one space; what is never closed ends with its parent."""
+    white space within a run is one space; what is never closed ends with its parent.
+    A head has no end of its own: what may stand in it shows no text anyway, and anything else
+    is of the body, as HTML has it."""
     nodes = [Node("#root", -1)]
     stack = [0]
     run: list[str] = []
     linked = 0
     in_link = False
-    silent = ""  # the silent element that is open, and how many of its name
-    depth = 0
+    inside: list[str] = []  # the silent element that is open, and the open ones in it
+    endless: set[str] = set()  # raw elements whose end does not come any more
 
     def flush() -> None:
         nonlocal linked
@@ -116,12 +119,19 @@ def parse(page: str) -> list[Node]:
 
     def add(text: str) -> None:
         nonlocal linked
-        if text and not silent:
+        if text and not inside:
             text = html.unescape(text)
             run.append(text)
             if in_link:
                 linked += len(text)
 
+    def raw_end(tag: str, at: int) -> int:
+        """The place of the end tag of a raw element; -1 if it has none."""
+        end = None if tag in endless else re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
+        if not end:
+            endless.add(tag)
+        return end.start() if end else -1
+
     at = 0
     while True:
         match = _TOKEN.search(page, at)
@@ -133,11 +143,29 @@ def parse(page: str) -> list[Node]:
         if not tag or not (match[4] or match[8]):
             continue  # a comment, a declaration, or a tag that the page's end cuts off
         tag = tag.lower()
-        if silent:
-            if tag == silent:
-                depth += -1 if slash else 1
-                silent = silent if depth else ""
+        if tag == "head" or tag == "body" and not slash and len(stack) <= 2 and (
+                nodes[stack[-1]].tag in ("#root", "html")):
+            inside.clear()  # what the head left open
+        if tag == "head":
+            flush()
             continue
+        empty = rest.endswith("/") and (tag == "svg" or "svg" in inside)
+        if inside:
+            if not slash:
+                if empty or tag in VOID or tag in INLINE:
+                    continue
+                if tag in RAW:
+                    at = max(at, raw_end(tag, at))
+                elif tag != inside[0] or tag not in UNNESTED:
+                    inside.append(tag)
+                continue
+            if tag in inside:
+                while inside.pop() != tag:
+                    pass
+                continue
+            if tag in INLINE or all(nodes[i].tag != tag for i in stack):
+                continue
+            inside.clear()  # its parent ends
         if slash:
             if tag in INLINE:
                 in_link = in_link and tag != "a"
@@ -154,10 +182,12 @@ def parse(page: str) -> list[Node]:
                 continue
             if tag not in INLINE:
                 flush()
+            if empty:
+                continue
             if tag in RAW:  # nothing in it is mark-up
-                end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
-                at = end.start() if end else len(page)
-            silent, depth = tag, 1
+                end = raw_end(tag, at)
+                at = end if end >= 0 else len(page)
+            inside.append(tag)
             continue
         if tag in INLINE:
             if tag == "br":

@@ -56,6 +56,25 @@ def test_parser(page, expected):
     assert texts(page) == expected
 
 
+@pytest.mark.parametrize("page, expected", [
+    ("<html><head><title>x</title><body><article>t</article>", ["t"]),
+    ("<head><meta charset=utf-8><link href=x><title>x</title><p>t", ["t"]),
+    ("<head><title>x</title>t<div>u</div>", ["t", "u"]),
+    ("<head><script>if (i<n\" )</script></head><p class=\"x\">t</p>", ["t"]),
+    ("<head><title>a <b\" c</title><style>p<q'</style></head><p class='\"'>t</p>", ["t"]),
+    ("<p>s</p><svg viewBox='0 0 1 1'/><p>t", ["s", "t"]),
+    ("<svg><svg/><g/><title>a</svg></title><style>a<b'</style>x</svg><p id='y'>t", ["t"]),
+    ("<div><button>b</div><p>t", ["t"]), ("<div><select><option>b</div><p>t", ["t"]),
+    ("<div><object><p>b</p></div><p>t", ["t"]), ("<div><noscript>b</div><p>t", ["t"]),
+    ("<div><svg><path></div><p>t", ["t"]), ("<div><video>b</div><p>t", ["t"]),
+    ("<head><noscript><link></head><p>t", ["t"]), ("<html><head><noscript><body><p>t", ["t"]),
+    ("<button>a<button>b</button>t", ["t"]),
+    ("<div><button><div>b</div>c</p></button>t</div>u", ["t", "u"]),
+    ("<div><noscript><script>'</div>'</script>b</noscript>t</div>u", ["t", "u"])])
+def test_silent_elements_end(page, expected):
+    assert texts(page) == expected
+
+
 def test_subtrees_end_where_they_should():
     nodes = pages.parse("<div><p>a</p><p>b</div>c<ul><li>d<li>e")
     for i, node in enumerate(nodes):
