@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import map_batches, texts
@@ -56,13 +56,21 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row of documents (doc_id, text)."""
+    """(doc_id, text_hash, fp) for every row of documents (doc_id, text)."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = pa.array([fingerprint(t) for t in texts(batch)], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_hash"), found],
+            ["doc_id", "text_hash", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, fp bigint", work)
+    return map_batches(docs.select("doc_id", text_hash().alias("text_hash"), "text"),
+                       f"doc_id {kind}, text_hash bigint, fp bigint", work)
+
+
+def text_hash() -> Column:
+    """A hash of the text that tells rows of one doc_id apart; a null text is empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _masks(bits: int, radius: int) -> list[int]:
@@ -175,7 +183,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component of null ids only has a null one. Repeated rows come back repeatedly, other
     columns are ignored, and an empty table gives no rows.
     """
-    known = written(fingerprints(docs))
+    known = written(fingerprints(docs).drop("text_hash"))
     nodes = written(known.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(nodes.select("fp")))
     # Both written, so that a large group's rows can be split in the join of the two.
@@ -188,10 +196,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents, with one of each group of near-duplicates: the one with the smallest
-    doc_id, and of repeated rows with that id one. Rows without an id all stay."""
-    found = near_duplicates(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(
-        docs.where(F.col("doc_id").isNull()))
+    """The documents, with one row of each group of near-duplicates: the one with the smallest
+    doc_id, and of rows with that id the one with the smallest hash of the text. Rows of one id
+    in several groups stay once for each. Rows without an id all stay."""
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    nodes = written(fingerprints(docs).groupBy("fp").agg(F.min(row).alias("least")))
+    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    first = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(
+        F.min("least").alias("least")).where("least IS NOT NULL").select(
+        "least.doc_id", F.col("least.text_hash").alias("_text_hash"))
+    key = ["doc_id", "_text_hash"]
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_text_hash", text_hash())
+    return named.join(first, key, "left_semi").dropDuplicates(key).select(
+        docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -101,6 +101,17 @@ def test_edges(spark, docs_of):
     assert simhash.keep_first(docs).columns == docs.columns
 
 
+def test_rows_of_one_id_are_judged_by_row(spark, docs_of):
+    """Distinct texts under one id all stay; a copy of an older group under it goes."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (2, b), (3, c), (3, b), (4, None), (4, ""), (None, c)]
+    for docs in (docs_of(rows), docs_of(rows[::-1]).coalesce(1)):
+        found = sorted(((r.doc_id or 0, r.text or "") for r in simhash.keep_first(docs).collect()))
+        assert found == [(0, c), (1, a), (2, b), (3, c), (4, "")]
+    same = simhash.keep_first(docs_of([(7, a), (7, b), (7, c), (7, a)])).collect()
+    assert sorted(r.text for r in same) == [a, b, c]
+
+
 def test_empty_and_clashing_columns(spark, docs_of):
     assert simhash.near_duplicates(docs_of([])).collect() == []
     docs = docs_of(["a b c d e"]).selectExpr(
