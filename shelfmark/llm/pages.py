@@ -306,6 +306,25 @@ class Trees:
         return out
 
 
+def by_names() -> Trees:
+    """What is known without lessons: an element that mark-up calls furniture goes, unless it
+    holds more than half of the page's text, as a form or a body may; all else stays."""
+    at = {name: i for i, name in enumerate(FEATURES)}
+    asks = [[(f"is_{t}", 0.5), ("of_page", 0.5)] for t in ("nav", "header", "footer", "aside", "form")]
+    asks.append([("furniture", 0.5), ("of_page", 0.5), ("is_article", 0.5), ("is_main", 0.5)])
+    inner = 2 ** DEPTH - 1
+    feature, threshold = np.zeros((len(asks), inner), int), np.full((len(asks), inner), np.inf)
+    value = np.zeros((len(asks), inner + 1))
+    for k, ask in enumerate(asks):
+        spot = 0
+        for j in range(DEPTH):  # to the right where furniture is named, then always to the left
+            if j < len(ask):
+                feature[k, spot], threshold[k, spot] = at[ask[j][0]], ask[j][1]
+            spot = 2 * spot + (2 if j == 0 else 1)
+        value[k, spot - inner] = -1e9  # more than all that it holds can be worth
+    return Trees(1.0, feature, threshold, value)
+
+
 def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
     """Trees of depth DEPTH for the logistic loss, grown level by level on binned features.
     Without both classes (or any row) there are no trees, and the base says which it is."""
@@ -501,23 +520,37 @@ def lessons(page: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(pages: DataFrame) -> Trees:
-    """Trees from at most SAMPLE of the pages (page_id, html), the first by a hash of their id,
-    and at most NODES nodes of each; both bounds are parameters of the module."""
-    ids = pages.select("page_id").where("page_id IS NOT NULL").distinct().orderBy(
-        F.xxhash64("page_id"), "page_id").limit(SAMPLE)
+    """Trees from at most SAMPLE of the pages (page_id, html) that give lessons, the first by a
+    hash of their id, and at most NODES nodes of each; both bounds are parameters of the module.
+    Pages are tried in the order of the hash, in ranges of it that grow until there are enough
+    or no page is left. Without any lesson element names decide, see ``by_names``."""
+    able = pages.select("page_id", "html", F.xxhash64("page_id").alias("at")).where(
+        F.col("page_id").isNotNull() & F.col("html").rlike(r"(?i)<(?:article|main)[\s/>]"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [lessons(t.decode("utf-8", "replace")) for t in texts(batch, "html")]
         return pa.RecordBatch.from_arrays(
-            [batch.column("page_id"),
+            [batch.column("page_id"), batch.column("at"),
              pa.array([x.astype(np.float32).tobytes() for x, _ in found], pa.binary()),
              pa.array([y.astype(np.float32).tobytes() for _, y in found], pa.binary())],
-            ["page_id", "x", "y"])
+            ["page_id", "at", "x", "y"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    chosen = pages.select("page_id", "html").join(F.broadcast(ids), "page_id")  # SAMPLE ids
-    table = map_batches(chosen, f"page_id {kind}, x binary, y binary", work).toArrow()
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("page_id", "x", "y"))))
+    schema = f"page_id {kind}, at bigint, x binary, y binary"
+    n = able.select("page_id").distinct().count()
+    rows, low, upto, share = [], -1 << 63, -1 << 63, 1.25 * SAMPLE / max(n, 1)
+    while n and len(rows) < SAMPLE and upto < 1 << 63:
+        upto = 1 << 63 if share >= 1 else min((-1 << 63) + int(share * (1 << 64)), 1 << 63)
+        # One row of an id, however often it is repeated.
+        tried = able.where(F.col("at").between(low, upto - 1)).groupBy("page_id", "at").agg(
+            F.min_by("html", F.xxhash64("html")).alias("html"))
+        table = map_batches(tried.select("page_id", "at", "html"), schema, work).where(
+            "octet_length(y) > 0").orderBy("at", "page_id").limit(SAMPLE - len(rows)).toArrow()
+        rows += zip(*(table.column(c).to_pylist() for c in ("page_id", "x", "y")))
+        low, share = upto, 4 * share
+    if not rows:
+        return by_names()
+    rows.sort()
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, len(FEATURES))
     y = np.frombuffer(b"".join(r[2] for r in rows), np.float32).astype(float)
     return boost(x, y, np.ones(len(y)))
@@ -534,8 +567,8 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
 
     Character references are decoded, white space within a block becomes one space, blocks are
     joined by an empty line. A null or empty page, and one without main text, gives an empty
-    text. Without pages to learn from (none has an article) every block counts as main text.
-    Repeated rows are extracted alike, null ids and urls come back, other columns are ignored,
+    text. Without pages to learn from (none has an article) every block counts as main text but
+    those in elements whose names mark furniture (``by_names``). Repeated rows are extracted alike, null ids and urls come back, other columns are ignored,
     an empty table gives no rows.
     """
     trees = trees or learn(pages)

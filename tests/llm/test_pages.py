@@ -146,6 +146,26 @@ def test_edges(spark):
     assert [r.text for r in pages.extract(alone).collect()] == ["only this"]
 
 
+def test_rare_articles_are_learned_from(spark, monkeypatch):
+    """Pages without lessons neither fill the sample nor end the search for others."""
+    monkeypatch.setattr(pages, "SAMPLE", 4)
+    real = [r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").limit(3).collect()]
+    idle = "<main></main><div>no lesson here</div>"
+    rows = [(i, "u", real[i // 30] if i % 30 == 7 else idle) for i in range(90)]
+    frame = spark.createDataFrame(rows + rows[7:8], SCHEMA)
+    got = {r.page_id: r.text for r in pages.extract(frame).collect()}
+    assert [got[i] for i in (7, 37, 67)] == [article_text(p) for p in real]
+
+
+def test_names_decide_without_lessons(spark):
+    page = ("<body class='site-header'><nav>m</nav><div class=sidebar><p>s</p></div><div><p>Long "
+            "text, here it is, and so on.</p><p>More.</p></div><footer>f</footer>")
+    rows = [(1, "u", page), (2, "u", f"<form>{page}</form>"), (3, "u", "<p>only this</p>")]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    text = "Long text, here it is, and so on.\n\nMore."
+    assert got == {1: text, 2: text, 3: "only this"}
+
+
 def test_trees_learn_what_a_line_cannot():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, len(pages.FEATURES))).astype(np.float32)
