@@ -7,8 +7,8 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import (classifier, conversations, licenses, packing, pages, phrases, pieces,
-                           rules, shards, simhash, vectors)
+from shelfmark.llm import (classifier, conversations, language, licenses, packing, pages, phrases,
+                           pieces, rules, shards, simhash, vectors)
 from shelfmark.sources.tables import read_table
 
 
@@ -75,6 +75,11 @@ def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract(read_table(spark, sf, "pages"))
 
 
+def op11_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of all documents, learned from the rows the contract allows."""
+    return language.identify(read_table(spark, sf, "documents"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
     """The first 2000 collocations of every lang of all documents."""
     return phrases.collocations(read_table(spark, sf, "documents"))
@@ -96,6 +101,7 @@ REGISTRY = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
+    "op11_language_id": op11_language_id,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_conversation_repair": op13_conversation_repair,
 }
