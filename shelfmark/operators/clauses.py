@@ -66,7 +66,8 @@ def analyze_clauses(clauses: DataFrame) -> DataFrame:
 # A pattern is matched against the dictionary by an equality join on anchors, then
 # checked. An anchor is a small fact that every term matching the pattern shares with it:
 #   ^xy  begins with xy        ~xy  contains xy         @n  first letter is in page n
-#   $xy  ends with xy          #n   is n letters long   *   no fact known
+#   $xy  ends with xy          %k|n|i|s  segment i of an n-letter term, for k edits
+#   *    no fact known
 # Each clause takes the most telling anchors it has; terms carry all of theirs.
 
 
@@ -98,6 +99,7 @@ def term_anchors(term: Column, marks: frozenset[str]) -> Column:
         "#": F.array(F.concat(F.lit("#"), F.length(term).cast("string"))),
         "@": F.array(F.concat(F.lit("@"), _page(term).cast("string")))}
     parts = [anchors for mark, anchors in by_mark.items() if mark in marks]
+    parts += [term_segments(term, int(mark[1:])) for mark in sorted(marks) if mark.startswith("%")]
     return F.array_distinct(F.concat(F.array().cast("array<string>"), *parts))
 
 
@@ -111,22 +113,48 @@ def _wildcard_anchor(pattern: Column) -> Column:
             .otherwise("*"))
 
 
-def _pieces(text: Column, edits: Column) -> Column:
-    """``edits + 1`` pieces of a word: so many edits leave at least one of them whole.
-    Each piece is given by its first two letters."""
-    return F.transform(F.sequence(F.lit(0), edits), lambda i: let(
-        F.floor(i * F.length(text) / (edits + 1)), lambda start: F.substring(
-            text, (start + 1).cast("int"),
-            F.least(F.lit(2), (F.floor((i + 1) * F.length(text) / (edits + 1)) - start)
-                    .cast("int")))))
+def _segment_key(edits: Column, length: Column, number: Column, piece: Column) -> Column:
+    return F.concat_ws("|", F.concat(F.lit("%"), edits.cast("string")), length.cast("string"),
+                       number.cast("string"), piece)
+
+
+def _bounds(number: Column, length: Column, edits: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``number`` of ``edits + 1`` near equal ones."""
+    start = F.floor(number * length / (edits + 1))
+    return start.cast("int"), (F.floor((number + 1) * length / (edits + 1)) - start).cast("int")
+
+
+def term_segments(term: Column, edits: int) -> Column:
+    """Positional segments of a term for ``edits`` edits: (edits, length, number, piece) of
+    each of ``edits + 1`` disjoint segments. A term of ``edits`` letters or fewer has one
+    empty key of its length, since no segment need survive."""
+    length, k = F.length(term), F.lit(edits)
+    def piece(i: Column) -> Column:
+        start, size = _bounds(i, length, k)
+        return _segment_key(k, length, i, F.substring(term, start + 1, size))
+
+    parts = F.transform(F.sequence(F.lit(0), k), piece)
+    return F.when(length > k, parts).otherwise(F.array(_segment_key(k, length, F.lit(-1), F.lit(""))))
 
 
 def _fuzzy_anchors(text: Column, edits: Column) -> Column:
-    lengths = F.transform(
-        F.sequence(F.greatest(F.length(text) - edits, F.lit(1)), F.length(text) + edits),
-        lambda n: F.concat(F.lit("#"), n.cast("string")))
-    pieces = F.transform(_pieces(text, edits), lambda p: F.concat(F.lit("~"), p))
-    return F.when(F.length(text) > edits, F.array_distinct(pieces)).otherwise(lengths)
+    """Probes of a pattern: ``edits`` edits leave at least one of the ``edits + 1`` segments
+    of a matching term whole, shifted by ``edits`` places at most. So, for every term length
+    within ``edits`` of the pattern's, every segment is looked for at the substrings of the
+    pattern that start within ``edits`` of its own start."""
+    m = F.length(text)
+
+    def of_length(n: Column) -> Column:
+        def of_segment(i: Column) -> Column:
+            start, size = _bounds(i, n, edits)
+            low, high = F.greatest(F.lit(0), start - edits), F.least(m - size, start + edits)
+            starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda at: _segment_key(edits, n, i, F.substring(text, at + 1, size)))
+        every = F.flatten(F.transform(F.sequence(F.lit(0), edits), of_segment))
+        return F.when(n > edits, every).otherwise(F.array(_segment_key(edits, n, F.lit(-1), F.lit(""))))
+
+    lengths = F.sequence(F.greatest(F.lit(1), m - edits), m + edits)
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def _range_anchors(low: Column, high: Column) -> Column:
@@ -166,9 +194,7 @@ def matches_term(term: Column) -> Column:
     bounds = (text.isNull() | (term != text)) & (text2.isNull() | (term != text2))
     return (F.when(F.col("kind") == "prefix", term.startswith(text))
             .when(F.col("kind") == "wildcard", F.like(term, like_pattern(text)))
-            .when(F.col("kind") == "fuzzy",
-                  (F.abs(F.length(term) - F.length(text)) <= slop)
-                  & (F.levenshtein(term, text) <= slop))
+            .when(F.col("kind") == "fuzzy", F.call_function("levenshtein", term, text, slop) >= 0)
             .when(F.col("kind") == "range", above & below)
             .otherwise(above & below & bounds))
 
@@ -188,12 +214,20 @@ def anchored(clauses: DataFrame) -> DataFrame:
         "anchor", F.explode(clause_anchors()))
 
 
+def anchor_mark(anchor: Column) -> Column:
+    """The kind of an anchor: its first letter; segments carry their number of edits."""
+    return F.regexp_extract(anchor, r"^(%[0-9]+|.)", 1)
+
+
 def expand_patterns(asked: DataFrame, dictionary: DataFrame,
-                    marks: frozenset[str] = frozenset("^$~#@*")) -> DataFrame:
-    """(pattern, term): the dictionary terms that the anchored patterns stand for."""
+                    marks: frozenset[str] | None = None) -> DataFrame:
+    """(pattern, term): the dictionary terms that the anchored patterns stand for. The
+    marks are those of ``asked``, a handful, unless given."""
+    if marks is None:
+        marks = frozenset(r[0] for r in asked.select(anchor_mark(F.col("anchor"))).distinct().collect())
     facts = dictionary.select(
         "term", F.explode(term_anchors(F.col("term"), marks)).alias("anchor"))
     found = facts.join(asked, "anchor").filter(matches_term(F.col("term"))).select(
         "pattern", "term")
     # Only fuzzy patterns have several anchors that one term may share.
-    return found.distinct() if marks & {"~", "#"} else found
+    return found.distinct() if any(m.startswith("%") for m in marks) else found

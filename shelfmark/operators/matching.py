@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.analysis import term_bucket
 from ..plans.index import IndexView
 from ..session import Size, broadcast_within, size_columns, small_side, written
-from .clauses import EXPANDED, POSITIONAL, anchored, clause_anchors, expand_patterns, with_pattern
+from .clauses import (EXPANDED, POSITIONAL, anchor_mark, anchored, clause_anchors, expand_patterns,
+                      with_pattern)
 
 MATCH_COLUMNS = ["query_id", "group_id", "volume", "path",
                  "must", "should", "must_not", "weight"]
@@ -47,7 +48,8 @@ def clause_bounds(clauses: DataFrame) -> ClauseBounds:
     terms = F.greatest(F.size("terms"), F.lit(1))
     anchors = F.when(F.col("kind").isin(*EXPANDED), clause_anchors()).otherwise(
         F.array().cast("array<string>"))
-    marks = F.array_distinct(F.transform(anchors, lambda anchor: F.left(anchor, F.lit(1))))
+    # A mark is the first letter of an anchor; segments carry their number of edits with it.
+    marks = F.array_distinct(F.transform(anchors, anchor_mark))
     n_anchors = F.size(anchors)
     # The sets hold kinds, occurs and marks, of which there are a handful.
     (rows, size, all_terms, all_anchors, most_terms, most_anchors,
