@@ -37,8 +37,8 @@ from shelfmark.llm.common import map_batches, texts
 BUCKETS = 1 << 18
 DIM = 24
 GRAMS = 4
-PER_LANG = 3000  # labelled rows of one lang learned from, at most
-BYTES_PER_LANG = 24 << 20  # and their text bytes, at most
+PER_LANG = 2000  # labelled rows of one lang learned from, at most
+BYTES_PER_LANG = 6 << 20  # and their text bytes, at most
 EPOCHS = 6
 RATE = 0.2
 CALIBRATION = 5  # one in so many sampled rows calibrates instead of training
@@ -97,6 +97,12 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
+def bag(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and their shares: the mean of the rows without repeating them."""
+    ids, counts = np.unique(ids, return_counts=True)
+    return ids.astype(np.int32), (counts / counts.sum()).astype(np.float32)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -106,17 +112,21 @@ class Model:
     temperature: float = 1.0
     reject: float = 0.0
 
-    def probabilities(self, ids: np.ndarray) -> np.ndarray:
-        x = self.embed[ids].mean(axis=0)
-        z = (x @ self.weight + self.bias) / self.temperature
+    def logits(self, bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        ids, weights = bag
+        return (weights @ self.embed[ids]) @ self.weight + self.bias
+
+    def probabilities(self, bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        z = self.logits(bag) / self.temperature
         z = np.exp(z - z.max())
         return z / z.sum()
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, langs: list[str], seed: int = SEED) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str],
+        seed: int = SEED) -> Model:
     """Embeddings and softmax by stochastic gradient descent, one text a step."""
     rnd = np.random.default_rng(seed)
-    model = Model(langs, (rnd.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32),
+    model = Model(langs, (rnd.standard_normal((BUCKETS, DIM), dtype=np.float32) * 0.1),
                   np.zeros((DIM, len(langs)), dtype=np.float32), np.zeros(len(langs), dtype=np.float32))
     steps = EPOCHS * len(bags)
     done = 0
@@ -124,10 +134,10 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, langs: list[str], seed: int
         for i in rnd.permutation(len(bags)):
             rate = RATE * (1 - done / max(steps, 1)) + 1e-3
             done += 1
-            ids = bags[i]
+            ids, weights = bags[i]
             if len(ids) == 0:
                 continue
-            x = model.embed[ids].mean(axis=0)
+            x = weights @ model.embed[ids]
             z = x @ model.weight + model.bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -135,16 +145,16 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, langs: list[str], seed: int
             grad_x = model.weight @ p
             model.weight -= rate * np.outer(x, p)
             model.bias -= rate * p
-            np.subtract.at(model.embed, ids, (rate / len(ids)) * grad_x)
+            model.embed[ids] -= rate * np.outer(weights, grad_x)  # ids are distinct
     return model
 
 
-def calibrate(model: Model, bags: list[np.ndarray], labels: np.ndarray) -> Model:
+def calibrate(model: Model, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     """Temperature by least log loss on calibration rows; the rejection bound from them."""
-    usable = [(b, y) for b, y in zip(bags, labels) if len(b)]
+    usable = [(b, y) for b, y in zip(bags, labels) if len(b[0])]
     if not usable:
         return model
-    logits = np.array([model.embed[b].mean(axis=0) @ model.weight + model.bias for b, _ in usable])
+    logits = np.array([model.logits(b) for b, _ in usable])
     truth = np.array([y for _, y in usable])
     best = (np.inf, 1.0)
     for t in np.exp(np.linspace(np.log(0.05), np.log(20), 60)):
@@ -187,12 +197,19 @@ def sample(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame) -> Model:
-    rows = sample(docs).collect()  # bounded: PER_LANG rows and BYTES_PER_LANG bytes a lang
-    langs = sorted({r.lang for r in rows})
+    langs, bags, labels, part = [], [], [], []
+    # Bounded: PER_LANG rows and BYTES_PER_LANG bytes a lang; streamed, each text kept
+    # only as its distinct buckets.
+    for r in sample(docs).toLocalIterator():
+        if r.lang not in langs:
+            langs.append(r.lang)
+        bags.append(bag(grams(r.text)))
+        labels.append(r.lang)
+        part.append(bool(r.part))
+    langs = sorted(langs)
     index = {lang: i for i, lang in enumerate(langs)}
-    bags = [grams(r.text) for r in rows]
-    labels = np.array([index[r.lang] for r in rows], dtype=np.int64)
-    part = np.array([r.part for r in rows], dtype=bool)
+    labels = np.array([index[lang] for lang in labels], dtype=np.int64)
+    part = np.array(part, dtype=bool)
     train = [b for b, p in zip(bags, part) if not p]
     model = fit(train, labels[~part], langs)
     return calibrate(model, [b for b, p in zip(bags, part) if p], labels[part])
@@ -212,7 +229,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 preds.append("und")
                 scores.append(0.0)
                 continue
-            p = m.probabilities(ids)
+            p = m.probabilities(bag(ids))
             k = int(p.argmax())
             preds.append(m.langs[k])
             scores.append(float(p[k]))
