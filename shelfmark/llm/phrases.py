@@ -33,29 +33,56 @@ TOP = 2000
 BUCKETS = 64  # first ranking inside (lang, bucket), then inside lang over the survivors
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """(lang, w1, w2, w3, w4): one row per word occurrence, padded with nulls."""
+def _words(docs: DataFrame) -> DataFrame:
+    """(lang, w): the words of every piece as an array."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     pieces = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"),
                          F.explode(F.split(text, PIECE_SPLIT)).alias("piece"))
-    words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(WORD), 0).alias("w"))
-    at = words.select("lang", "w", F.posexplode("w").alias("i", "w1"))
-    return at.select("lang", "w1", *[F.get("w", F.col("i") + k).alias(f"w{k + 1}")
-                                     for k in range(1, LONGEST)])
+    return pieces.select("lang", F.regexp_extract_all("piece", F.lit(WORD), 0).alias("w"))
+
+
+def _code(lang: Column, word: Column, first: bool) -> Column:
+    """A word as a 64-bit number; the first word of a window carries its lang too. No
+    word (padding) stays null: the hash of a null is its seed."""
+    return F.when(word.isNotNull(), F.xxhash64(lang, word) if first else F.xxhash64(word))
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """(c1, c2, c3, c4): one row per word occurrence, its word and the next three of its
+    piece as numbers, padded with nulls. c1 holds the lang."""
+    at = _words(docs).select("lang", "w", F.posexplode("w").alias("i", "w1"))
+    return at.select(_code(F.col("lang"), F.col("w1"), True).alias("c1"),
+                     *[_code(None, F.get("w", F.col("i") + k), False).alias(f"c{k + 1}")
+                       for k in range(1, LONGEST)])
+
+
+def dictionary(docs: DataFrame) -> DataFrame:
+    """(lang, word, f, c1, c): every distinct word of every lang with its count and numbers.
+    Two distinct words with one number would merge counts; ``check_codes`` refuses them."""
+    words = _words(docs).select("lang", F.explode("w").alias("word"))
+    return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")).select(
+        "lang", "word", "f", _code(F.col("lang"), F.col("word"), True).alias("c1"),
+        _code(None, F.col("word"), False).alias("c"))
+
+
+def check_codes(words: DataFrame) -> None:
+    """Raise if two distinct words share a number (for 64-bit numbers, as good as never)."""
+    clash = words.groupBy("c1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    clash += words.groupBy("c").agg(F.countDistinct("word").alias("n")).where("n > 1").limit(1).count()
+    if clash:
+        raise ValueError("two distinct words share a 64-bit number; counts would merge")
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(lang, k, phrase, f) for every phrase of one to four words, and k = 0 with the
-    number of words of the lang as f (phrase empty)."""
-    cols = [f"w{k}" for k in range(1, LONGEST + 1)]
-    rolled = windows(docs).rollup("lang", *cols).agg(
-        F.count(F.lit(1)).alias("f"), F.grouping_id().alias("g"))
-    # grouping id: 2**(4-k) - 1 for the level (lang, w1..wk); 31 is the grand total.
+    """(k, c1, c2, c3, c4, f) for every phrase of one to four words, by numbers: the levels
+    of one ROLLUP over the padded longest windows."""
+    cols = [f"c{k}" for k in range(1, LONGEST + 1)]
+    rolled = windows(docs).rollup(*cols).agg(F.count(F.lit(1)).alias("f"), F.grouping_id().alias("g"))
+    # grouping id: 2**(4-k) - 1 for the level (c1..ck); 15 is the grand total.
     k = F.when(F.col("g") == 0, 4).when(F.col("g") == 1, 3).when(F.col("g") == 3, 2) \
-        .when(F.col("g") == 7, 1).when(F.col("g") == 15, 0)
+        .when(F.col("g") == 7, 1)
     level = rolled.withColumn("k", k).where(F.col("k").isNotNull())
-    level = level.where(_all_present(cols))  # padding nulls inside a level: no phrase
-    return level.select("lang", "k", F.concat_ws(" ", *cols).alias("phrase"), "f")
+    return level.where(_all_present(cols)).select("k", *cols, "f")  # padding nulls: no phrase
 
 
 def _all_present(cols: list[str]) -> Column:
@@ -81,37 +108,66 @@ def _ranked(scored: DataFrame, top: int) -> DataFrame:
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score (longs) of the first ``top`` collocations
     of every lang; see the module and the contract for the rules."""
-    all_counts = counts(docs)
-    frequent = written(all_counts.where((F.col("f") >= LEAST_COUNT) | (F.col("k") == 0)))
-    n = frequent.where(F.col("k") == 0).select("lang", F.col("f").alias("n"))
-    lookup = frequent.where(F.col("k") >= 1).select("lang", "phrase", "f")
-    cand = frequent.where(F.col("k") >= 2).select(
-        "lang", "phrase", "k", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
-
-    cuts = cand.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")).select(
-        "lang", "phrase", "a", "cut",
-        F.array_join(F.slice("words", 1, F.col("cut")), " ").alias("left"),
-        F.array_join(F.slice("words", F.col("cut") + 1, F.col("k") - F.col("cut")), " ").alias("right"))
-    left = lookup.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l"))
-    right = lookup.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r"))
-    scored = (cuts.join(left, ["lang", "left"]).join(right, ["lang", "right"])
+    words = written(dictionary(docs))
+    check_codes(words)
+    n = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    frequent = words.where(F.col("f") >= LEAST_COUNT)
+    cols = [f"c{k}" for k in range(1, LONGEST + 1)]
+    # Candidates and the parts of their cuts: phrases counted LEAST_COUNT times or more,
+    # each as the array of its words' numbers (the first with its lang).
+    kept = written(counts(docs).where(F.col("f") >= LEAST_COUNT))
+    seq = F.slice(F.array(*cols), 1, F.col("k"))
+    lookup = kept.select(seq.alias("p"), "f")
+    cand = kept.where(F.col("k") >= 2).select(seq.alias("p"), "k", F.col("f").alias("a"))
+
+    # The right part of a cut begins a window too, so its first number holds the lang:
+    # it is found by the lang's number of its first word, taken from the dictionary.
+    first_of = frequent.select("c", "lang", "c1")
+    cuts = cand.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
+    cuts = cuts.withColumn("head", F.slice("p", 1, F.col("cut"))).withColumn(
+        "tail", F.slice("p", F.col("cut") + 1, F.col("k") - F.col("cut")))
+    left = lookup.select(F.col("p").alias("head"), F.col("f").alias("l"))
+    right = lookup.select(F.col("p").alias("tail_l"), F.col("f").alias("r"))
+    lang_of = frequent.select(F.col("c1").alias("_c1"), "lang")
+    cuts = cuts.join(lang_of, F.col("p")[0] == F.col("_c1")).drop("_c1")
+    cuts = cuts.join(first_of.select(F.col("c").alias("_c"), F.col("lang").alias("_lang"),
+                                     F.col("c1").alias("_first")),
+                     (F.col("tail")[0] == F.col("_c")) & (F.col("lang") == F.col("_lang")))
+    cuts = cuts.withColumn("tail_l", F.concat(F.array("_first"), F.slice("tail", 2, 3))) \
+        .drop("_c", "_lang", "_first")
+    scored = (cuts.join(left, "head").join(right, "tail_l")
               .withColumn("score", F.expr(f"CAST(a AS DECIMAL(38,0)) * {SCALE} div (CAST(l AS DECIMAL(38,0)) + r)")))
-    lowest = scored.groupBy("lang", "phrase").agg(
-        F.min(F.struct("score", "cut", "a", "l", "r")).alias("m")).select(
-        "lang", "phrase", "m.a", "m.l", "m.r", F.col("m.score").cast("bigint").alias("score"))
-
-    # Every shorter part (two words or more) of every longer candidate, with its count.
-    longer = cand.where(F.col("k") >= 3).select(
-        "lang", "words", "k", F.col("a").alias("fq"),
+    lowest = scored.groupBy("lang", "p").agg(
+        F.min(F.struct("score", "cut", "a", "l", "r", "k")).alias("m")).select(
+        "lang", "p", "m.a", "m.l", "m.r", "m.k", F.col("m.score").cast("bigint").alias("score"))
+
+    # Every shorter part (two words or more) of every longer candidate, with its count;
+    # parts that do not begin the longer one get their lang's number of their first word.
+    longer = lowest.where(F.col("k") >= 3).select(
+        "lang", "p", "k", F.col("a").alias("fq"),
         F.explode(F.sequence(F.lit(2), F.col("k") - 1)).alias("len"))
-    inner = longer.select("lang", "fq", F.explode(F.sequence(F.lit(1), F.col("k") - F.col("len") + 1)).alias("at"),
-                          "words", "len").select(
-        "lang", "fq", F.array_join(F.slice("words", F.col("at"), F.col("len")), " ").alias("phrase"))
-    strongest = inner.groupBy("lang", "phrase").agg(F.max("fq").alias("fq"))
+    inner = longer.select("lang", "fq", "len", "p",
+                          F.explode(F.sequence(F.lit(1), F.col("k") - F.col("len") + 1)).alias("at"))
+    inner = inner.select("lang", "fq", F.slice("p", F.col("at"), F.col("len")).alias("q"), "at")
+    starts = inner.where(F.col("at") == 1).select("lang", "fq", F.col("q").alias("p"))
+    later = inner.where(F.col("at") > 1).join(
+        first_of.select(F.col("c").alias("_c"), F.col("lang").alias("_lang"), F.col("c1").alias("_first")),
+        (F.col("q")[0] == F.col("_c")) & (F.col("lang") == F.col("_lang"))).select(
+        "lang", "fq", F.concat(F.array("_first"), F.slice("q", 2, 3)).alias("p"))
+    strongest = starts.unionByName(later).groupBy("lang", "p").agg(F.max("fq").alias("fq"))
     up, down = CONTAINED
-    kept = lowest.join(strongest, ["lang", "phrase"], "left").where(
+    survivors = lowest.join(strongest, ["lang", "p"], "left").where(
         F.col("fq").isNull() | (F.col("fq") * up < F.col("a") * down)).drop("fq")
-    with_n = kept.join(n, "lang")
+
+    # The words back from their numbers.
+    spelled = survivors.select("lang", "p", F.posexplode("p").alias("i", "code"))
+    by_first = frequent.select("lang", F.col("c1").alias("code"), "word")
+    by_other = frequent.select("lang", F.col("c").alias("code"), "word")
+    spelled = spelled.where("i = 0").join(by_first, ["lang", "code"]).unionByName(
+        spelled.where("i > 0").join(by_other, ["lang", "code"]))
+    phrase = spelled.groupBy("lang", "p").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    with_n = survivors.join(phrase, ["lang", "p"]).join(n, "lang")
     ranked = _ranked(with_n, top)
     return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase",
                          *[F.col(c).cast("bigint").alias(c) for c in ("a", "l", "r", "n", "score")])
