@@ -103,6 +103,25 @@ def term_anchors(term: Column, marks: frozenset[str]) -> Column:
     return F.array_distinct(F.concat(F.array().cast("array<string>"), *parts))
 
 
+BEGIN, END = "\u0002", "\u0003"  # marks around a term, so that grams tell its ends
+
+
+def term_grams(term: Column) -> Column:
+    """The distinct two-letter grams of a term between its marks."""
+    marked = F.concat(F.lit(BEGIN), term, F.lit(END))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(marked) - 1),
+                                        lambda i: F.substring(marked, i, 2)))
+
+
+def wildcard_grams(pattern: Column) -> Column:
+    """The grams that every term matching a wildcard pattern holds: those of its runs of
+    letters between wildcards, marks included. Empty when no run has two letters."""
+    marked = F.concat(F.lit(BEGIN), pattern, F.lit(END))
+    runs = F.filter(F.split(marked, "[*?]"), lambda run: F.length(run) >= 2)
+    return F.array_distinct(F.flatten(F.transform(runs, lambda run: F.transform(
+        F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, 2)))))
+
+
 def _wildcard_anchor(pattern: Column) -> Column:
     first = F.regexp_extract(pattern, r"^([^*?]{1,2})", 1)
     last = F.regexp_extract(pattern, r"([^*?]{1,2})$", 1)
@@ -175,6 +194,8 @@ def clause_anchors() -> Column:
     text, slop = F.col("text"), F.col("slop")
     return (F.when(F.col("kind") == "prefix",
                    F.array(F.concat(F.lit("^"), F.left(text, F.lit(2)))))
+            .when((F.col("kind") == "wildcard") & (F.size(wildcard_grams(text)) > 0),
+                  F.transform(wildcard_grams(text), lambda g: F.concat(F.lit("&"), g)))
             .when(F.col("kind") == "wildcard", F.array(_wildcard_anchor(text)))
             .when(F.col("kind") == "fuzzy", _fuzzy_anchors(text, slop))
             .otherwise(_range_anchors(text, F.col("text2"))))
@@ -219,12 +240,32 @@ def anchor_mark(anchor: Column) -> Column:
     return F.regexp_extract(anchor, r"^(%[0-9]+|.)", 1)
 
 
+def _expand_by_grams(asked: DataFrame, dictionary: DataFrame, grams: DataFrame | None) -> DataFrame:
+    if grams is None:
+        grams = dictionary.select("term", F.explode(term_grams(F.col("term"))).alias("gram"))
+    need = asked.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    held = grams.select("term", F.concat(F.lit("&"), F.col("gram")).alias("anchor")).join(
+        asked.select("anchor", "pattern"), "anchor").groupBy("pattern", "term").agg(
+        F.count(F.lit(1)).alias("held"))
+    patterns = asked.select("pattern", *PATTERN).distinct()
+    return (held.join(need, "pattern").filter(F.col("held") == F.col("n"))
+            .join(patterns, "pattern").filter(matches_term(F.col("term"))).select("pattern", "term"))
+
+
 def expand_patterns(asked: DataFrame, dictionary: DataFrame,
-                    marks: frozenset[str] | None = None) -> DataFrame:
+                    marks: frozenset[str] | None = None, grams: DataFrame | None = None) -> DataFrame:
     """(pattern, term): the dictionary terms that the anchored patterns stand for. The
-    marks are those of ``asked``, a handful, unless given."""
+    marks are those of ``asked``, a handful, unless given. Gram anchors (``&``) are looked
+    up in ``grams`` (gram, term), the stored table of an index, or else in grams made from
+    the dictionary here; a term is a candidate when it holds all grams of the pattern
+    (division by counting), and is checked then."""
     if marks is None:
         marks = frozenset(r[0] for r in asked.select(anchor_mark(F.col("anchor"))).distinct().collect())
+    if "&" in marks:
+        by_gram = asked.filter(F.col("anchor").startswith("&"))
+        found = _expand_by_grams(by_gram, dictionary, grams).unionByName(expand_patterns(
+            asked.filter(~F.col("anchor").startswith("&")), dictionary, marks - {"&"}))
+        return found
     facts = dictionary.select(
         "term", F.explode(term_anchors(F.col("term"), marks)).alias("anchor"))
     found = facts.join(asked, "anchor").filter(matches_term(F.col("term"))).select(

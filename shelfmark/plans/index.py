@@ -24,6 +24,7 @@ from ..operators.admission import Admission
 from ..operators.changes import (
     ReadDocs, classify_changes, last_changes, late_bound_content, route_to_volume)
 from ..operators.postings import build_postings, document_frequencies, volume_sizes
+from ..operators.clauses import term_grams
 from ..session import Size, broadcast_within, measured, size_columns, small_side, written
 
 
@@ -46,6 +47,7 @@ class IndexView:
     terms: DataFrame | None = None   # volume, bucket, term, df; None: count on demand
     keep_live: Callable[[DataFrame], DataFrame] = _as_they_are
     known_extent: Size | None = None
+    grams: DataFrame | None = None   # gram, term: the grams of all terms; None: made on demand
 
     @property
     def postings(self) -> DataFrame:
@@ -242,16 +244,20 @@ class Index:
         terms = self._batches(
             "terms", schemas.TERMS, [c["batch_id"] for c in seen if c["is_base"]])
         words = terms.select("term")
+        grams = self._batches(
+            "grams", schemas.GRAMS, [c["batch_id"] for c in seen if c["is_base"]]).select("gram", "term")
         if deltas:
-            words = words.unionByName(
-                self._batches("postings", schemas.POSTINGS, deltas)
-                .filter(F.col("bucket") >= 0).select("term"))
+            new_words = (self._batches("postings", schemas.POSTINGS, deltas)
+                         .filter(F.col("bucket") >= 0).select("term"))
+            words = words.unionByName(new_words)
+            grams = grams.unionByName(new_words.distinct().select(
+                F.explode(term_grams(F.col("term"))).alias("gram"), "term"))
             sizes, terms = volume_sizes(doc_list), None
         else:
             sizes = bases.select("volume", "n_docs")
             terms = after_base(terms).select("volume", "bucket", "term", "df")
         return IndexView(stored, doc_list, sizes, words.distinct(), self._buckets(log),
-                         terms, keep_live, extent)
+                         terms, keep_live, extent, grams)
 
     def postings(self) -> DataFrame:
         return self.view().postings
@@ -289,6 +295,12 @@ class Index:
         self._writer(terms.hint("rebalance", "volume", "bucket").sortWithinPartitions(
             "volume", "bucket", "term")).partitionBy("volume", "bucket").parquet(
             f"{self.root}/terms/batch_id={batch_id}")
+        # The grams of the terms, sorted by gram, so that a search reads only the row groups
+        # of the grams that its patterns hold.
+        grams = self._batches("terms", schemas.TERMS, [batch_id]).select(
+            "term").distinct().select(F.explode(term_grams(F.col("term"))).alias("gram"), "term")
+        self._writer(grams.repartitionByRange("gram").sortWithinPartitions("gram", "term")).parquet(
+            f"{self.root}/grams/batch_id={batch_id}")
         sizes = volume_sizes(listed)
         if volumes is not None:
             sizes = (volumes.join(sizes, "volume", "left")
