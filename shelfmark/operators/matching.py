@@ -187,7 +187,7 @@ def match_expanded(view: IndexView, clauses: DataFrame, bounds: ClauseBounds) ->
     terms a document has."""
     asked = broadcast_within(anchored(clauses), bounds.anchors)
     # Of unknown size: written once, then measured.
-    expanded = written(expand_patterns(asked, view.dictionary, bounds.marks).withColumn(
+    expanded = written(expand_patterns(asked, view.dictionary, bounds.marks, view.grams).withColumn(
         "bucket", term_bucket(F.col("term"), view.buckets)))
     found = view.find(small_side(expanded), ["bucket", "term"], [])
     found = found.select("pattern", "volume", "path").distinct()
