@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.analysis import let, positioned
+from ..functions.analysis import positioned
+from ..session import written
 
 # Clause kinds by what they read.
 POSITIONAL = ("phrase", "proximity")
@@ -61,18 +62,34 @@ def analyze_clauses(clauses: DataFrame) -> DataFrame:
             .filter(usable).withColumn("clause_key", F.monotonically_increasing_id()))
 
 
+def one_of_equal(clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries that say the same have the same hits, so one of each such set is searched: its
+    clauses with ``n_clauses`` of the query, and (asked, query_id), which query stands for
+    which. A query is its clauses in any order; a clause without a query has no hits."""
+    own = ("query_id", "clause_id", "clause_key")
+    said = F.to_json(F.struct(*[F.col(c) for c in clauses.columns if c not in own]))
+    queries = clauses.filter("query_id IS NOT NULL").groupBy("query_id").agg(
+        F.sort_array(F.collect_list(said)).alias("said"))
+    same = written(queries.select(
+        "query_id", F.size("said").alias("n_clauses"),
+        F.min("query_id").over(Window.partitionBy("said")).alias("asked")))
+    first = same.filter("query_id = asked").select("query_id", "n_clauses")
+    return written(clauses.join(first, "query_id")), same.select("asked", "query_id")
+
+
 # ---- dictionary expansion --------------------------------------------------------------
 #
 # A pattern is matched against the dictionary by an equality join on anchors, then
 # checked. An anchor is a small fact that every term matching the pattern shares with it:
-#   ^xy  begins with xy        ~xy  contains xy         @n  first letter is in page n
+#   ^xyz begins with xyz       ~xy  contains xy         @n  first letter is in page n
+#   &x?z|a?c  first letters under a mask
 #   $xy  ends with xy          %k|n|i|s  segment i of an n-letter term, for k edits
 #   *    no fact known
 # Each clause takes the most telling anchors it has; terms carry all of theirs.
 
 
 def _first(text: Column) -> Column:
-    return F.array(*[F.concat(F.lit("^"), F.left(text, F.lit(n))) for n in (1, 2)])
+    return F.array(*[F.concat(F.lit("^"), F.left(text, F.lit(n))) for n in (1, 2, 3)])
 
 
 def _last(text: Column) -> Column:
@@ -100,34 +117,29 @@ def term_anchors(term: Column, marks: frozenset[str]) -> Column:
         "@": F.array(F.concat(F.lit("@"), _page(term).cast("string")))}
     parts = [anchors for mark, anchors in by_mark.items() if mark in marks]
     parts += [term_segments(term, int(mark[1:])) for mark in sorted(marks) if mark.startswith("%")]
+    parts += [F.when(F.length(term) >= len(mark) - 1, F.array(_masked(term, mark[1:]))).otherwise(
+        F.array().cast("array<string>")) for mark in sorted(marks) if mark.startswith("&")]
     return F.array_distinct(F.concat(F.array().cast("array<string>"), *parts))
 
 
-BEGIN, END = "\u0002", "\u0003"  # marks around a term, so that grams tell its ends
-
+def _masked(text: Column, mask: str) -> Column:
+    """The first letters of a text under a mask: ``x`` keeps a letter, ``?`` hides it."""
+    return F.concat(F.lit(f"&{mask}|"), *[
+        F.lit("?") if m == "?" else F.substring(text, i, 1) for i, m in enumerate(mask, 1)])
 
-def term_grams(term: Column) -> Column:
-    """The distinct two-letter grams of a term between its marks."""
-    marked = F.concat(F.lit(BEGIN), term, F.lit(END))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(marked) - 1),
-                                        lambda i: F.substring(marked, i, 2)))
 
-
-def wildcard_grams(pattern: Column) -> Column:
-    """The grams that every term matching a wildcard pattern holds: those of its runs of
-    letters between wildcards, marks included. Empty when no run has two letters."""
-    marked = F.concat(F.lit(BEGIN), pattern, F.lit(END))
-    runs = F.filter(F.split(marked, "[*?]"), lambda run: F.length(run) >= 2)
-    return F.array_distinct(F.flatten(F.transform(runs, lambda run: F.transform(
-        F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, 2)))))
+def _mask_anchor(pattern: Column) -> Column:
+    """What a wildcard pattern says of the first letters of its terms, with the places it
+    tells: ``f?r*`` gives ``&x?x|f?r``. Null where it tells none of them."""
+    head = F.regexp_extract(pattern, r"^([^*]{1,3})", 1)
+    anchor = F.concat(F.lit("&"), F.regexp_replace(head, r"[^?]", "x"), F.lit("|"), head)
+    return F.when(F.regexp_replace(head, r"\?", "") != "", anchor)
 
 
 def _wildcard_anchor(pattern: Column) -> Column:
-    first = F.regexp_extract(pattern, r"^([^*?]{1,2})", 1)
     last = F.regexp_extract(pattern, r"([^*?]{1,2})$", 1)
     inner = F.regexp_extract(pattern, r"([^*?]{1,2})", 1)
-    return (F.when(first != "", F.concat(F.lit("^"), first))
-            .when(last != "", F.concat(F.lit("$"), last))
+    return (F.when(last != "", F.concat(F.lit("$"), last))
             .when(inner != "", F.concat(F.lit("~"), inner))
             .otherwise("*"))
 
@@ -183,8 +195,10 @@ def _range_anchors(low: Column, high: Column) -> Column:
     pages = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
     by_page = F.transform(F.coalesce(pages, F.array().cast("array<int>")),
                           lambda n: F.concat(F.lit("@"), n.cast("string")))
-    begins = F.when((F.length(low) > 1) & (F.left(low, F.lit(2)) == F.left(high, F.lit(2))), 2)
-    begins = begins.when((F.length(low) > 0) & (F.left(low, F.lit(1)) == F.left(high, F.lit(1))), 1)
+    def shared(n: int) -> Column:
+        return (F.length(low) >= n) & (F.left(low, F.lit(n)) == F.left(high, F.lit(n)))
+
+    begins = F.when(shared(3), 3).when(shared(2), 2).when(shared(1), 1)
     return F.when(begins.isNotNull(), F.array(F.concat(F.lit("^"), F.left(low, begins)))) \
         .otherwise(by_page)
 
@@ -193,10 +207,9 @@ def clause_anchors() -> Column:
     """The anchors of a clause, of which a matching term has at least one."""
     text, slop = F.col("text"), F.col("slop")
     return (F.when(F.col("kind") == "prefix",
-                   F.array(F.concat(F.lit("^"), F.left(text, F.lit(2)))))
-            .when((F.col("kind") == "wildcard") & (F.size(wildcard_grams(text)) > 0),
-                  F.transform(wildcard_grams(text), lambda g: F.concat(F.lit("&"), g)))
-            .when(F.col("kind") == "wildcard", F.array(_wildcard_anchor(text)))
+                   F.array(F.concat(F.lit("^"), F.left(text, F.lit(3)))))
+            .when(F.col("kind") == "wildcard",
+                  F.array(F.coalesce(_mask_anchor(text), _wildcard_anchor(text))))
             .when(F.col("kind") == "fuzzy", _fuzzy_anchors(text, slop))
             .otherwise(_range_anchors(text, F.col("text2"))))
 
@@ -231,41 +244,28 @@ def with_pattern(clauses: DataFrame) -> DataFrame:
 
 def anchored(clauses: DataFrame) -> DataFrame:
     """Every distinct pattern, one row per anchor."""
-    return with_pattern(clauses).select("pattern", *PATTERN).distinct().withColumn(
-        "anchor", F.explode(clause_anchors()))
+    return with_anchors(with_pattern(clauses))
 
 
-def anchor_mark(anchor: Column) -> Column:
-    """The kind of an anchor: its first letter; segments carry their number of edits."""
-    return F.regexp_extract(anchor, r"^(%[0-9]+|.)", 1)
+def with_anchors(patterns: DataFrame) -> DataFrame:
+    """Rows of ``with_pattern``, whatever keys their patterns have: each once per anchor."""
+    return patterns.select("pattern", *PATTERN).distinct().withColumn(
+        "anchor", F.explode(clause_anchors()))
 
 
-def _expand_by_grams(asked: DataFrame, dictionary: DataFrame, grams: DataFrame | None) -> DataFrame:
-    if grams is None:
-        grams = dictionary.select("term", F.explode(term_grams(F.col("term"))).alias("gram"))
-    need = asked.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    held = grams.select("term", F.concat(F.lit("&"), F.col("gram")).alias("anchor")).join(
-        asked.select("anchor", "pattern"), "anchor").groupBy("pattern", "term").agg(
-        F.count(F.lit(1)).alias("held"))
-    patterns = asked.select("pattern", *PATTERN).distinct()
-    return (held.join(need, "pattern").filter(F.col("held") == F.col("n"))
-            .join(patterns, "pattern").filter(matches_term(F.col("term"))).select("pattern", "term"))
+def anchor_mark(anchor: Column) -> Column:
+    """The kind of an anchor: its first letter; segments carry their number of edits and
+    masked letters their mask, of which there are 13."""
+    return F.regexp_extract(anchor, r"^(%[0-9]+|&[x?]+|.)", 1)
 
 
 def expand_patterns(asked: DataFrame, dictionary: DataFrame,
-                    marks: frozenset[str] | None = None, grams: DataFrame | None = None) -> DataFrame:
+                    marks: frozenset[str] | None = None) -> DataFrame:
     """(pattern, term): the dictionary terms that the anchored patterns stand for. The
-    marks are those of ``asked``, a handful, unless given. Gram anchors (``&``) are looked
-    up in ``grams`` (gram, term), the stored table of an index, or else in grams made from
-    the dictionary here; a term is a candidate when it holds all grams of the pattern
-    (division by counting), and is checked then."""
+    marks are those of ``asked``, a handful, unless given. Where ``asked`` is broadcast, the
+    pairs stay where their term is."""
     if marks is None:
         marks = frozenset(r[0] for r in asked.select(anchor_mark(F.col("anchor"))).distinct().collect())
-    if "&" in marks:
-        by_gram = asked.filter(F.col("anchor").startswith("&"))
-        found = _expand_by_grams(by_gram, dictionary, grams).unionByName(expand_patterns(
-            asked.filter(~F.col("anchor").startswith("&")), dictionary, marks - {"&"}))
-        return found
     facts = dictionary.select(
         "term", F.explode(term_anchors(F.col("term"), marks)).alias("anchor"))
     found = facts.join(asked, "anchor").filter(matches_term(F.col("term"))).select(

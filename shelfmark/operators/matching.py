@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analysis import term_bucket
 from ..plans.index import IndexView
-from ..session import Size, broadcast_within, size_columns, small_side, written
-from .clauses import (EXPANDED, POSITIONAL, anchor_mark, anchored, clause_anchors, expand_patterns,
-                      with_pattern)
+from ..session import (
+    Size, broadcast_within, by_document, measured, size_columns, small_side, written)
+from .clauses import (EXPANDED, POSITIONAL, anchor_mark, clause_anchors, expand_patterns,
+                      with_anchors, with_pattern)
 
 MATCH_COLUMNS = ["query_id", "group_id", "volume", "path",
                  "must", "should", "must_not", "weight"]
@@ -42,6 +43,7 @@ class ClauseBounds:
     slots: Size     # the clauses, once for every term in them
     anchors: Size   # the clauses, once for every anchor they have
     marks: frozenset[str]   # the kinds of anchors
+    one_each: bool  # no query has a second clause, so nothing is to be summed
 
 
 def clause_bounds(clauses: DataFrame) -> ClauseBounds:
@@ -53,14 +55,15 @@ def clause_bounds(clauses: DataFrame) -> ClauseBounds:
     n_anchors = F.size(anchors)
     # The sets hold kinds, occurs and marks, of which there are a handful.
     (rows, size, all_terms, all_anchors, most_terms, most_anchors,
-     kinds, occurs, marks) = clauses.agg(
+     kinds, occurs, marks, most_clauses) = clauses.agg(
         *size_columns(clauses), *[F.coalesce(total, F.lit(0)) for total in (
             F.sum(terms), F.sum(n_anchors), F.max(terms), F.max(n_anchors))],
         F.collect_set("kind"), F.collect_set("occur"),
-        F.flatten(F.collect_set(marks))).first()
+        F.flatten(F.collect_set(marks)), F.max("n_clauses")).first()
     return ClauseBounds(frozenset(kinds), frozenset(occurs), Size(rows, size),
                         Size(all_terms, size * most_terms),
-                        Size(all_anchors, size * most_anchors), frozenset(marks))
+                        Size(all_anchors, size * most_anchors), frozenset(marks),
+                        most_clauses == 1)
 
 
 def _term_statistics(view: IndexView, wanted: DataFrame, size: Size,
@@ -184,17 +187,35 @@ def match_positional(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
 def match_expanded(view: IndexView, clauses: DataFrame, bounds: ClauseBounds) -> DataFrame:
     """Prefix, wildcard, fuzzy and range clauses: expanded over the dictionary, then
     looked up, each distinct pattern once. A match scores its boost, however many of the
-    terms a document has."""
-    asked = broadcast_within(anchored(clauses), bounds.anchors)
+    terms a document has.
+
+    Terms that match the same patterns are one *family*. A posting is looked up once, for the
+    family of its term, and goes to its document as that; there the families turn into
+    patterns, and these into clauses. Pairs of patterns and postings are never shuffled, and
+    pairs of queries and documents come to be where their document is."""
+    patterns = with_pattern(clauses).withColumn(
+        "pattern", F.min("clause_key").over(Window.partitionBy("pattern")))
+    asked = broadcast_within(with_anchors(patterns), bounds.anchors)
     # Of unknown size: written once, then measured.
-    expanded = written(expand_patterns(asked, view.dictionary, bounds.marks, view.grams).withColumn(
-        "bucket", term_bucket(F.col("term"), view.buckets)))
-    found = view.find(small_side(expanded), ["bucket", "term"], [])
-    found = found.select("pattern", "volume", "path").distinct()
+    terms = written(expand_patterns(asked, view.dictionary, bounds.marks).groupBy("term").agg(
+        F.sort_array(F.collect_set("pattern")).alias("patterns")))
+    families = small_side(written(terms.select("patterns").distinct().withColumn(
+        "family", F.monotonically_increasing_id())))
+    size = measured(terms.select("term", F.lit(0).alias("bucket"), F.lit(1 << 40).alias("family")))
+    lookup = terms.join(families, "patterns").select(
+        "term", term_bucket(F.col("term"), view.buckets).alias("bucket"), "family")
+    # The postings are not sorted for the join where the terms are too many for a broadcast.
+    lookup = broadcast_within(lookup, size) if size.fits() else lookup.hint("shuffle_hash")
+    found = view.find(lookup, ["bucket", "term"], []).select("family", "volume", "path")
+    matched = (
+        by_document(found, view.n_docs * bounds.clauses.rows)
+        .join(families, "family").groupBy("volume", "path")
+        .agg(F.array_distinct(F.flatten(F.collect_list("patterns"))).alias("patterns"))
+        .select("volume", "path", F.explode("patterns").alias("pattern")))
     weight = F.when(F.col("occur") == "must_not", 0.0).otherwise(F.col("boost"))
-    askers = with_pattern(clauses).select(
+    askers = patterns.select(
         "pattern", "query_id", "group_id", *_occur_counts(), weight.alias("weight"))
-    return found.join(broadcast_within(askers, bounds.clauses), "pattern").select(*MATCH_COLUMNS)
+    return matched.join(broadcast_within(askers, bounds.clauses), "pattern").select(*MATCH_COLUMNS)
 
 
 def match_paths(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
@@ -234,8 +255,11 @@ def _shape(keys: list[str], clauses: DataFrame) -> DataFrame:
         F.count_if(F.col("occur") != "must_not").alias("n_scored"))
 
 
-def _summed(rows: DataFrame, keys: list[str], occurs: frozenset[str]) -> DataFrame:
-    """Counts and weights per key; what cannot occur is not carried along."""
+def _summed(rows: DataFrame, keys: list[str], occurs: frozenset[str], one_each: bool) -> DataFrame:
+    """Counts and weights per key; what cannot occur is not carried along. With one clause
+    for each query every row has a key of its own."""
+    if one_each:
+        return rows.select(*keys, *OCCURS, "weight")
     return rows.groupBy(*keys).agg(*[
         (F.sum(c) if c in occurs or c == "weight" else F.lit(0)).alias(c)
         for c in (*OCCURS, "weight")])
@@ -246,7 +270,7 @@ def combine(matches: DataFrame, clauses: DataFrame, bounds: ClauseBounds,
     """Hits (query_id, volume, path, score) from the matches of all clauses. With groups,
     the same rule holds inside each group and again over the groups."""
     inner = ["query_id", "group_id"] if grouped else ["query_id"]
-    rows = _keep_matching(_summed(matches, [*inner, "volume", "path"], bounds.occurs),
+    rows = _keep_matching(_summed(matches, [*inner, "volume", "path"], bounds.occurs, bounds.one_each),
                           _shape(inner, clauses), bounds, inner)
     if grouped:
         groups = clauses.groupBy(*inner).agg(F.min("group_occur").alias("occur"))
@@ -256,6 +280,6 @@ def combine(matches: DataFrame, clauses: DataFrame, bounds: ClauseBounds,
         outer = outer.select("query_id", "volume", "path", *_occur_counts(),
                              weight.alias("weight"))
         rows = _keep_matching(
-            _summed(outer, ["query_id", "volume", "path"], frozenset(OCCURS)),
+            _summed(outer, ["query_id", "volume", "path"], frozenset(OCCURS), bounds.one_each),
             _shape(["query_id"], groups), bounds, ["query_id"])
     return rows.select("query_id", "volume", "path", F.round("score", 6).alias("score"))

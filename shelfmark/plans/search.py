@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.clauses import EXPANDED, POSITIONAL, analyze_clauses, clauses_from_text
+from ..operators.clauses import (
+    EXPANDED, POSITIONAL, analyze_clauses, clauses_from_text, one_of_equal)
 from ..operators.matching import (
     MATCH_COLUMNS, clause_bounds, combine, match_expanded, match_paths, match_positional,
     match_terms)
-from ..session import written
+from ..session import small_side, written
 from .index import IndexView
 
 
@@ -17,12 +18,12 @@ def search(view: IndexView, clauses: DataFrame, shared_statistics: bool = False)
     """Hits (query_id, volume, path, score) of a table of clauses, all queries at once.
 
     See ``schemas.CLAUSES``; columns left out take their defaults. Only the branches for
-    clause kinds that occur are planned. With ``shared_statistics`` all volumes are
+    clause kinds that occur are planned, and queries that say the same are searched once. With ``shared_statistics`` all volumes are
     scored as one collection.
     """
     grouped = "group_id" in clauses.columns
     # Read many times below, and small next to the index.
-    clauses = written(analyze_clauses(clauses))
+    clauses, askers = one_of_equal(written(analyze_clauses(clauses)))
     bounds = clause_bounds(clauses)
     branches = []
     if "term" in bounds.kinds:
@@ -38,7 +39,8 @@ def search(view: IndexView, clauses: DataFrame, shared_statistics: bool = False)
     matches = branches[0].select(*MATCH_COLUMNS)
     for branch in branches[1:]:
         matches = matches.unionByName(branch.select(*MATCH_COLUMNS))
-    return combine(matches, clauses, bounds, grouped)
+    hits = combine(matches, clauses, bounds, grouped).withColumnRenamed("query_id", "asked")
+    return hits.join(small_side(askers), "asked").select("query_id", "volume", "path", "score")
 
 
 def search_text(view: IndexView, queries: DataFrame, occur: str = "should",

@@ -73,6 +73,17 @@ def broadcast_within(df: DataFrame, size: Size) -> DataFrame:
     return F.broadcast(df) if size.fits() else df
 
 
+PAIRS_IN_A_TASK = 5_000_000
+
+
+def by_document(rows: DataFrame, pairs: int) -> DataFrame:
+    """``rows`` laid out by document (volume, path): what is grouped by document and more
+    stays there. The number of partitions is fixed, since the bytes shuffled do not tell the
+    ``pairs`` of queries and documents that the rows grow to; these bound it."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(usual, min(pairs // PAIRS_IN_A_TASK, 20 * usual)), "volume", "path")
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """``df``, broadcast if it is measured to be small. Measuring runs ``df``: meant for
     the query side, the change side and dimension tables, never for the corpus or the
