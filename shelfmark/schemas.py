@@ -27,4 +27,3 @@ TERMS = "term STRING, df BIGINT, batch_id BIGINT, volume STRING, bucket INT"
 VOLUME_STATS = "volume STRING, n_docs BIGINT, batch_id BIGINT"
 COMMITS = "batch_id BIGINT, is_base BOOLEAN, buckets INT, token STRING"
 EXCLUDED_VOLUMES = "volume STRING"
-GRAMS = "gram STRING, term STRING, batch_id BIGINT"
