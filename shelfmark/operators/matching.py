@@ -151,8 +151,9 @@ def _window_count(slots: Column, slop: Column) -> Column:
 
 def match_positional(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
                      shared: bool = False) -> DataFrame:
-    """Phrase and proximity clauses. The documents that hold all terms of a clause come first;
-    one shuffle then brings their position lists together, and the rest happens in a row."""
+    """Phrase and proximity clauses. The documents that hold the rarest term of a clause come
+    first, then those of them that hold all; only their positions are read. One shuffle brings
+    their lists together, and the rest happens in a row."""
     asked = clauses.filter(F.col("kind").isin(*POSITIONAL))
     first_pos = F.get("terms", F.lit(0))["pos"]
     in_phrase = F.transform("terms", lambda t: F.struct(
@@ -162,16 +163,33 @@ def match_positional(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
         t.alias("term"), i.alias("offset")))
     slots = F.when(F.col("kind") == "phrase", in_phrase).otherwise(in_window)
     wanted = asked.withColumn("slots", slots).select(
-        "clause_key", F.size("slots").alias("n_slots"), F.inline("slots"))
-    found = _postings_of(view, wanted, bounds.slots, [], shared)
-    # First which documents hold all slots, without a position; then only theirs are read.
+        "clause_key", F.inline("slots"))
     place = ["clause_key", "volume", "path"]
-    full = written(found.groupBy(*place, "n_slots").agg(F.count(F.lit(1)).alias("n")).filter(
-        "n = n_slots").select(*place))
+    key = ["bucket", "volume", "term", "path"]
+    bucket = term_bucket(F.col("term"), view.buckets)
+    words = wanted.select("clause_key", "term").distinct()
+    n_words = words.groupBy("clause_key").agg(F.count(F.lit(1)).alias("n_words"))
+    # Any term of the clause would do; a clause with a term that nobody has fails at the count.
+    counted = view.frequencies(wanted.select("term").distinct(), bounds.slots).groupBy("term").agg(
+        F.sum("df").alias("df"))
+    rarest = words.join(counted, "term").groupBy("clause_key").agg(
+        F.min_by("term", F.struct("df", "term")).alias("term")).withColumn("bucket", bucket)
+    some = written(view.find(broadcast_within(rarest, bounds.clauses), ["bucket", "term"], [])
+                   .select(*place).distinct())
+    asked_of = small_side(some.join(broadcast_within(words, bounds.slots), "clause_key")
+                          .withColumn("bucket", bucket))
+    full = written(view.find(asked_of, key, []).groupBy(*place).agg(
+        F.count(F.lit(1)).alias("n")).join(broadcast_within(n_words, bounds.clauses), "clause_key")
+        .filter("n = n_words").select(*place))
+    statistics = broadcast_within(
+        _term_statistics(view, wanted, bounds.slots, shared),
+        bounds.slots if shared else bounds.slots.times(view.extent))
+    lookup = small_side(written(
+        full.join(broadcast_within(wanted, bounds.slots), "clause_key")
+        .join(statistics, ["term"] if shared else ["volume", "term"]).withColumn("bucket", bucket)))
     clause = asked.select("clause_key", "query_id", "group_id", "kind", "occur", "boost", "slop")
     together = (
-        _postings_of(view, wanted, bounds.slots, ["dl", "positions"], shared)
-        .join(small_side(full), place, "left_semi")
+        view.find(lookup, key, ["dl", "positions"])
         .groupBy(*place)
         .agg(F.collect_list(F.struct("offset", "positions")).alias("slots"),
              F.sum("idf").alias("idf"), F.max("dl").alias("dl"))

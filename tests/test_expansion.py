@@ -56,3 +56,17 @@ def test_equal_queries_are_searched_once(spark):
         hits[r["query_id"]][r["path"]] = r["score"]
     assert set(hits) == {3, 5, 6, 7, 8} and hits[3] == hits[7] and hits[6] == hits[8] == {"a": 1.0, "b": 1.0}
     assert set(hits[3]) == set(hits[5]) == {"a", "c"} and hits[3] != hits[5]
+
+
+def test_groups_are_summed_after_one_shuffle(spark):
+    plan = spark_queries.REGISTRY["search_groups"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "path#" in line]
+    assert len(dealt) == 1 and "group_id#" not in dealt[0].split("hashpartitioning")[1]
+
+
+@pytest.mark.parametrize("name", ["search_phrase", "search_proximity"])
+def test_positions_are_read_of_documents_that_hold_all_terms(spark, name):
+    """The postings are looked up by document too, not joined with every clause on their term."""
+    plan = spark_queries.REGISTRY[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    lookups = [line for line in plan.splitlines() if "HashJoin [bucket#" in line]
+    assert lookups and any("path#" in line.split("]")[0] for line in lookups)
