@@ -288,6 +288,9 @@ def combine(matches: DataFrame, clauses: DataFrame, bounds: ClauseBounds,
     """Hits (query_id, volume, path, score) from the matches of all clauses. With groups,
     the same rule holds inside each group and again over the groups."""
     inner = ["query_id", "group_id"] if grouped else ["query_id"]
+    if grouped and not bounds.one_each:
+        # Groups are summed where their document is: one shuffle for both sums.
+        matches = matches.repartition("query_id", "volume", "path")
     rows = _keep_matching(_summed(matches, [*inner, "volume", "path"], bounds.occurs, bounds.one_each),
                           _shape(inner, clauses), bounds, inner)
     if grouped:
