@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import spark_queries
-from shelfmark import search, view_of
+from shelfmark import Index, schemas, search, view_of
 from shelfmark.operators import clauses as clause_ops
 
 FOLDER = "/root/testdata/sf0.001"
@@ -70,3 +70,18 @@ def test_positions_are_read_of_documents_that_hold_all_terms(spark, name):
     plan = spark_queries.REGISTRY[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     lookups = [line for line in plan.splitlines() if "HashJoin [bucket#" in line]
     assert lookups and any("path#" in line.split("]")[0] for line in lookups)
+
+
+def test_a_base_writes_only_tables_that_searches_read(spark, tmp_path):
+    """No gram table; new terms of a commit are found all the same."""
+    root = tmp_path / "index"
+    index = Index(spark, f"file://{root}", buckets=2)
+    docs = spark.createDataFrame([("v", "a", "farm"), ("v", "b", "gone")], schemas.DOCS)
+    index.build(docs)
+    assert {p.name for p in root.iterdir()} == {"postings", "doc_state", "terms", "volume_stats", "commits"}
+    now = spark.createDataFrame([("v", "c", "fork forest")], schemas.DOCS)
+    changes = spark.createDataFrame([("v", "b", "removed", 1), ("v", "c", "created", 1)],
+                                    "volume STRING, path STRING, op STRING, batch BIGINT")
+    index.commit(changes, now)
+    asked = spark.createDataFrame([(1, "should", "wildcard", "f?r*"), (2, "should", "wildcard", "*ne")], CLAUSES)
+    assert {(r["query_id"], r["path"]) for r in search(index.view(), asked).collect()} == {(1, "a"), (1, "c")}
