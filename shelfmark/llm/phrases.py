@@ -1,12 +1,17 @@
-"""Phrase collocation mining by top-order marginalisation.
+"""Phrase collocation mining by top-order marginalisation of pruned windows.
 
-Every word position of a piece emits one row: the word and the next three words of its
-piece as *lead-window columns*, padded with nulls where the piece ends. A ROLLUP over
-(lang, w1, w2, w3, w4) then counts each padded longest window once and sums successively
-shorter prefixes for free: the level (lang, w1..wk) of the rollup is the count of every
-k-word phrase, and the level (lang) is the number of words. One explosion, one partially
-aggregated shuffle, instead of one explosion per n-gram length. Frequent words are
-combined before the shuffle, so a hot word is no hot key.
+Every word position of a piece gives one row: the word and the next three words of its
+piece as *lead-window columns*, padded with nulls where the piece ends. Each padded longest
+window is counted once, and a ROLLUP over (w1, w2, w3, w4) sums successively shorter prefixes
+for free: the level (w1..wk) is the count of every k-word phrase.
+
+A window is cut before it is counted: a phrase found LEAST_COUNT times has no pair and no
+triple of words found more seldom, so a window ends before the first pair or triple that
+is. No phrase that counts loses an occurrence, and most windows, which say something unique,
+become equal to others and are combined before the shuffle, as hot words are. The pairs
+and triples to keep are counted under 32-bit numbers: two that share one count together,
+which keeps too much at worst. Where they are too many to be sent to every task, nothing is
+cut, with the same result.
 
 Defined cases: a null text is empty, a null lang is ``und``; texts of any length are read
 whole (one row per word, streamed); an empty table or one without candidates gives no
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.session import written
+from shelfmark.session import measured, small_side, written
 
 # Fixed values of the contract.
 PIECE_SPLIT = "[.,;:!?\\x0A-\\x0D]"
@@ -41,48 +46,75 @@ def _words(docs: DataFrame) -> DataFrame:
     return pieces.select("lang", F.regexp_extract_all("piece", F.lit(WORD), 0).alias("w"))
 
 
-def _code(lang: Column, word: Column, first: bool) -> Column:
-    """A word as a 64-bit number; the first word of a window carries its lang too. No
-    word (padding) stays null: the hash of a null is its seed."""
-    return F.when(word.isNotNull(), F.xxhash64(lang, word) if first else F.xxhash64(word))
+def _code(lang: Column, word: Column) -> Column:
+    """A word of a lang as a 64-bit number."""
+    return F.xxhash64(lang, word)
+
+
+COLS = [f"c{k}" for k in range(1, LONGEST + 1)]
 
 
 def windows(docs: DataFrame) -> DataFrame:
     """(c1, c2, c3, c4): one row per word occurrence, its word and the next three of its
-    piece as numbers, padded with nulls. c1 holds the lang."""
-    at = _words(docs).select("lang", "w", F.posexplode("w").alias("i", "w1"))
-    return at.select(_code(F.col("lang"), F.col("w1"), True).alias("c1"),
-                     *[_code(None, F.get("w", F.col("i") + k), False).alias(f"c{k + 1}")
-                       for k in range(1, LONGEST)])
+    piece as numbers, padded with nulls."""
+    codes = _words(docs).select(F.transform("w", lambda word: _code(F.col("lang"), word)).alias("w"))
+    at = codes.select("w", F.posexplode("w").alias("i", "c1"))
+    return at.select("c1", *[F.get("w", F.col("i") + k).alias(f"c{k + 1}") for k in range(1, LONGEST)])
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """(lang, word, f, c1, c): every distinct word of every lang with its count and numbers.
-    Two distinct words with one number would merge counts; ``check_codes`` refuses them."""
+    """(lang, word, f, c): every distinct word of every lang with its count and number. Two
+    distinct words with one number would merge counts; ``check_codes`` refuses them."""
     words = _words(docs).select("lang", F.explode("w").alias("word"))
-    return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")).select(
-        "lang", "word", "f", _code(F.col("lang"), F.col("word"), True).alias("c1"),
-        _code(None, F.col("word"), False).alias("c"))
+    return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")).withColumn(
+        "c", _code(F.col("lang"), F.col("word")))
 
 
 def check_codes(words: DataFrame) -> None:
     """Raise if two distinct words share a number (for 64-bit numbers, as good as never)."""
-    clash = words.groupBy("c1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    clash += words.groupBy("c").agg(F.countDistinct("word").alias("n")).where("n > 1").limit(1).count()
-    if clash:
+    if not words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         raise ValueError("two distinct words share a 64-bit number; counts would merge")
 
 
+def _numbers(cut: DataFrame, size: int) -> DataFrame | None:
+    """(h): the 32-bit numbers of the word groups of this size that begin a window LEAST_COUNT
+    times or more, to be broadcast; None if they are too many for that."""
+    group = cut.where(F.col(COLS[size - 1]).isNotNull()).select(F.hash(*COLS[:size]).alias("h"))
+    often = written(group.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+                    .where(F.col("n") >= LEAST_COUNT).select("h"))
+    return F.broadcast(often) if measured(often).fits() else None
+
+
+def _ending_before(rows: DataFrame, often: DataFrame | None, at: int, size: int) -> DataFrame:
+    """Windows that end before word ``at`` if the ``size`` words up to it are not among ``often``."""
+    if often is None:
+        return rows
+    marked = rows.join(often.withColumn("_often", F.lit(True)), F.hash(*COLS[at - size:at]) == F.col("h"), "left")
+    stays = F.col("_often").isNotNull()
+    return marked.select(*COLS[:at - 1], *[F.when(stays, F.col(c)).alias(c) for c in COLS[at - 1:]])
+
+
+def pruned_windows(docs: DataFrame) -> DataFrame:
+    """The windows of two words and more, cut before the first pair or triple of words that
+    is found less than LEAST_COUNT times."""
+    rows = windows(docs).where(F.col("c2").isNotNull())
+    pairs = _numbers(rows, 2)
+    rows = _ending_before(rows, pairs, 2, 2).where(F.col("c2").isNotNull())
+    rows = _ending_before(rows, pairs, 3, 2)
+    triples = _numbers(rows, 3)
+    rows = _ending_before(rows, triples, 3, 3)
+    return _ending_before(rows, triples, 4, 3)
+
+
 def counts(docs: DataFrame) -> DataFrame:
-    """(k, c1, c2, c3, c4, f) for every phrase of one to four words, by numbers: the levels
-    of one ROLLUP over the padded longest windows."""
-    cols = [f"c{k}" for k in range(1, LONGEST + 1)]
-    rolled = windows(docs).rollup(*cols).agg(F.count(F.lit(1)).alias("f"), F.grouping_id().alias("g"))
+    """(k, c1, c2, c3, c4, f) for every phrase of two to four words that is found LEAST_COUNT
+    times or more, by numbers: the levels of one ROLLUP over the distinct windows."""
+    distinct = pruned_windows(docs).groupBy(*COLS).agg(F.count(F.lit(1)).alias("f"))
+    rolled = distinct.rollup(*COLS).agg(F.sum("f").alias("f"), F.grouping_id().alias("g"))
     # grouping id: 2**(4-k) - 1 for the level (c1..ck); 15 is the grand total.
-    k = F.when(F.col("g") == 0, 4).when(F.col("g") == 1, 3).when(F.col("g") == 3, 2) \
-        .when(F.col("g") == 7, 1)
-    level = rolled.withColumn("k", k).where(F.col("k").isNotNull())
-    return level.where(_all_present(cols)).select("k", *cols, "f")  # padding nulls: no phrase
+    k = F.when(F.col("g") == 0, 4).when(F.col("g") == 1, 3).when(F.col("g") == 3, 2)
+    level = rolled.withColumn("k", k).where(F.col("k").isNotNull() & (F.col("f") >= LEAST_COUNT))
+    return level.where(_all_present(COLS)).select("k", *COLS, "f")  # padding nulls: no phrase
 
 
 def _all_present(cols: list[str]) -> Column:
@@ -111,60 +143,42 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     words = written(dictionary(docs))
     check_codes(words)
     n = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = words.where(F.col("f") >= LEAST_COUNT)
-    cols = [f"c{k}" for k in range(1, LONGEST + 1)]
-    # Candidates and the parts of their cuts: phrases counted LEAST_COUNT times or more,
-    # each as the array of its words' numbers (the first with its lang).
-    kept = written(counts(docs).where(F.col("f") >= LEAST_COUNT))
-    seq = F.slice(F.array(*cols), 1, F.col("k"))
-    lookup = kept.select(seq.alias("p"), "f")
-    cand = kept.where(F.col("k") >= 2).select(seq.alias("p"), "k", F.col("f").alias("a"))
-
-    # The right part of a cut begins a window too, so its first number holds the lang:
-    # it is found by the lang's number of its first word, taken from the dictionary.
-    first_of = frequent.select("c", "lang", "c1")
-    cuts = cand.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
+    frequent = small_side(written(words.where(F.col("f") >= LEAST_COUNT)))
+    # Candidates, each as the array of its words' numbers, and with the single words the parts
+    # of their cuts. A number holds the lang of its word, so phrases of two langs never meet.
+    kept = written(counts(docs).select(F.slice(F.array(*COLS), 1, F.col("k")).alias("p"), "k", "f"))
+    parts = small_side(written(kept.select("p", "f").unionByName(
+        frequent.select(F.array("c").alias("p"), "f"))))
+
+    cuts = kept.withColumnRenamed("f", "a").select(
+        "*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     cuts = cuts.withColumn("head", F.slice("p", 1, F.col("cut"))).withColumn(
         "tail", F.slice("p", F.col("cut") + 1, F.col("k") - F.col("cut")))
-    left = lookup.select(F.col("p").alias("head"), F.col("f").alias("l"))
-    right = lookup.select(F.col("p").alias("tail_l"), F.col("f").alias("r"))
-    lang_of = frequent.select(F.col("c1").alias("_c1"), "lang")
-    cuts = cuts.join(lang_of, F.col("p")[0] == F.col("_c1")).drop("_c1")
-    cuts = cuts.join(first_of.select(F.col("c").alias("_c"), F.col("lang").alias("_lang"),
-                                     F.col("c1").alias("_first")),
-                     (F.col("tail")[0] == F.col("_c")) & (F.col("lang") == F.col("_lang")))
-    cuts = cuts.withColumn("tail_l", F.concat(F.array("_first"), F.slice("tail", 2, 3))) \
-        .drop("_c", "_lang", "_first")
-    scored = (cuts.join(left, "head").join(right, "tail_l")
+    left = parts.select(F.col("p").alias("head"), F.col("f").alias("l"))
+    right = parts.select(F.col("p").alias("tail"), F.col("f").alias("r"))
+    scored = (cuts.join(left, "head").join(right, "tail")
               .withColumn("score", F.expr(f"CAST(a AS DECIMAL(38,0)) * {SCALE} div (CAST(l AS DECIMAL(38,0)) + r)")))
-    lowest = scored.groupBy("lang", "p").agg(
+    lowest = scored.groupBy("p").agg(
         F.min(F.struct("score", "cut", "a", "l", "r", "k")).alias("m")).select(
-        "lang", "p", "m.a", "m.l", "m.r", "m.k", F.col("m.score").cast("bigint").alias("score"))
+        "p", "m.a", "m.l", "m.r", "m.k", F.col("m.score").cast("bigint").alias("score"))
+    lowest = written(lowest.join(frequent.select("lang", F.col("c").alias("_c")), F.col("p")[0] == F.col("_c"))
+                     .drop("_c"))
 
-    # Every shorter part (two words or more) of every longer candidate, with its count;
-    # parts that do not begin the longer one get their lang's number of their first word.
-    longer = lowest.where(F.col("k") >= 3).select(
-        "lang", "p", "k", F.col("a").alias("fq"),
+    # Every shorter part (two words or more) of every longer candidate, with its count.
+    longer = kept.where(F.col("k") >= 3).select(
+        "p", "k", F.col("f").alias("fq"),
         F.explode(F.sequence(F.lit(2), F.col("k") - 1)).alias("len"))
-    inner = longer.select("lang", "fq", "len", "p",
+    inner = longer.select("fq", "len", "p",
                           F.explode(F.sequence(F.lit(1), F.col("k") - F.col("len") + 1)).alias("at"))
-    inner = inner.select("lang", "fq", F.slice("p", F.col("at"), F.col("len")).alias("q"), "at")
-    starts = inner.where(F.col("at") == 1).select("lang", "fq", F.col("q").alias("p"))
-    later = inner.where(F.col("at") > 1).join(
-        first_of.select(F.col("c").alias("_c"), F.col("lang").alias("_lang"), F.col("c1").alias("_first")),
-        (F.col("q")[0] == F.col("_c")) & (F.col("lang") == F.col("_lang"))).select(
-        "lang", "fq", F.concat(F.array("_first"), F.slice("q", 2, 3)).alias("p"))
-    strongest = starts.unionByName(later).groupBy("lang", "p").agg(F.max("fq").alias("fq"))
+    strongest = inner.select("fq", F.slice("p", F.col("at"), F.col("len")).alias("p")) \
+        .groupBy("p").agg(F.max("fq").alias("fq"))
     up, down = CONTAINED
-    survivors = lowest.join(strongest, ["lang", "p"], "left").where(
+    survivors = lowest.join(strongest, "p", "left").where(
         F.col("fq").isNull() | (F.col("fq") * up < F.col("a") * down)).drop("fq")
 
     # The words back from their numbers.
-    spelled = survivors.select("lang", "p", F.posexplode("p").alias("i", "code"))
-    by_first = frequent.select("lang", F.col("c1").alias("code"), "word")
-    by_other = frequent.select("lang", F.col("c").alias("code"), "word")
-    spelled = spelled.where("i = 0").join(by_first, ["lang", "code"]).unionByName(
-        spelled.where("i > 0").join(by_other, ["lang", "code"]))
+    spelled = survivors.select("lang", "p", F.posexplode("p").alias("i", "c")).join(
+        frequent.select("c", "word"), "c")
     phrase = spelled.groupBy("lang", "p").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     with_n = survivors.join(phrase, ["lang", "p"]).join(n, "lang")

@@ -3,6 +3,9 @@
 import re
 from collections import Counter
 
+import pytest
+
+from shelfmark import session
 from shelfmark.llm import oracle, phrases, queries
 from tests.compare import connect, difference
 
@@ -59,3 +62,22 @@ def test_top_and_empty(spark):
     assert sorted(tuple(r) for r in phrases.collocations(df, top=2).collect()) == plain(rows, top=2)
     empty = spark.createDataFrame([], "text string, lang string, extra int")
     assert phrases.collocations(empty).count() == 0
+
+
+ODD = ([(f"to be or not u{i} v{i} w{i} x{i} to be, or y{i} not", "en") for i in range(40)]
+       + [("to be or not to", "fr")] * 29 + [(None, None), ("", "de")])
+
+
+def test_windows_are_cut_before_what_is_seldom(spark):
+    docs = spark.createDataFrame(ODD, "text string, lang string")
+    rows = phrases.pruned_windows(docs)
+    # Of 480 words in en only these begin a window: to be or not, be or not, or not, to be.
+    assert sorted(r["count"] for r in rows.groupBy(*phrases.COLS).count().collect()) == [40] * 4
+    assert phrases.counts(docs).count() == 6
+
+
+@pytest.mark.parametrize("limit", [1, 2_000_000])
+def test_cut_or_not_gives_the_same(spark, monkeypatch, limit):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", limit)
+    docs = spark.createDataFrame(ODD, "text string, lang string")
+    assert sorted(tuple(r) for r in phrases.collocations(docs).collect()) == plain(ODD)
