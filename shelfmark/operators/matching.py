@@ -22,6 +22,9 @@ from .clauses import (EXPANDED, POSITIONAL, anchor_mark, clause_anchors, expand_
 MATCH_COLUMNS = ["query_id", "group_id", "volume", "path",
                  "must", "should", "must_not", "weight"]
 OCCURS = ("must", "should", "must_not")
+# Pairs of queries and documents whose sums a task keeps; where they are more in all, term
+# matches are summed where their document is.
+SUMS_IN_A_TASK = 1_000_000
 
 
 def _idf(n_docs: Column, df: Column) -> Column:
@@ -44,6 +47,7 @@ class ClauseBounds:
     anchors: Size   # the clauses, once for every anchor they have
     marks: frozenset[str]   # the kinds of anchors
     one_each: bool  # no query has a second clause, so nothing is to be summed
+    queries: int
 
 
 def clause_bounds(clauses: DataFrame) -> ClauseBounds:
@@ -55,15 +59,23 @@ def clause_bounds(clauses: DataFrame) -> ClauseBounds:
     n_anchors = F.size(anchors)
     # The sets hold kinds, occurs and marks, of which there are a handful.
     (rows, size, all_terms, all_anchors, most_terms, most_anchors,
-     kinds, occurs, marks, most_clauses) = clauses.agg(
+     kinds, occurs, marks, most_clauses, queries) = clauses.agg(
         *size_columns(clauses), *[F.coalesce(total, F.lit(0)) for total in (
             F.sum(terms), F.sum(n_anchors), F.max(terms), F.max(n_anchors))],
         F.collect_set("kind"), F.collect_set("occur"),
-        F.flatten(F.collect_set(marks)), F.max("n_clauses")).first()
+        F.flatten(F.collect_set(marks)), F.max("n_clauses"),
+        F.coalesce(F.sum(1 / F.col("n_clauses")), F.lit(0.0))).first()
     return ClauseBounds(frozenset(kinds), frozenset(occurs), Size(rows, size),
                         Size(all_terms, size * most_terms),
                         Size(all_anchors, size * most_anchors), frozenset(marks),
-                        most_clauses == 1)
+                        most_clauses == 1, round(queries))
+
+
+def summed_at_documents(view: IndexView, bounds: ClauseBounds) -> bool:
+    """Whether the postings found go to their document before they meet the queries, and not
+    the matches: where there is something to sum, and it is not little."""
+    return ("term" in bounds.kinds and not bounds.one_each and bounds.clauses.fits()
+            and bounds.queries * view.n_docs > SUMS_IN_A_TASK)
 
 
 def _term_statistics(view: IndexView, wanted: DataFrame, size: Size,
@@ -98,9 +110,13 @@ def _postings_of(view: IndexView, wanted: DataFrame, size: Size, columns: list[s
 
 
 def match_terms(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
-                shared: bool = False) -> DataFrame:
+                shared: bool = False, at_documents: bool = False) -> DataFrame:
     """Term clauses. Clauses of one query on the same term are counted together first:
-    they match the same documents."""
+    they match the same documents.
+
+    A term that many queries ask for gives a match for each of them and each document.
+    ``at_documents`` looks every distinct term up once and shuffles the postings found, by
+    document; they become matches there, and sums by query and document stay there."""
     scored = F.when(F.col("occur") != "must_not", F.col("boost")).otherwise(0.0)
     wanted = (
         clauses.filter(F.col("kind") == "term")
@@ -108,8 +124,18 @@ def match_terms(view: IndexView, clauses: DataFrame, bounds: ClauseBounds,
                 *_occur_counts(), scored.alias("boost"))
         .groupBy("query_id", "group_id", "term")
         .agg(*[F.sum(c).alias(c) for c in (*OCCURS, "boost")]))
-    weight = F.col("boost") * F.sqrt("tf") * F.col("idf") * F.col("idf") / F.sqrt("dl")
-    return _postings_of(view, wanted, bounds.clauses, ["tf", "dl"], shared).select(
+    if at_documents:
+        share = F.sqrt("tf") * F.col("idf") * F.col("idf") / F.sqrt("dl")
+        found = _postings_of(
+            view, wanted.select("term").distinct(), bounds.clauses, ["tf", "dl"], shared).select(
+            "volume", "path", "term", share.alias("share"))
+        weight = F.col("boost") * F.col("share")
+        matched = by_document(found, bounds.queries * view.n_docs, SUMS_IN_A_TASK).join(
+            F.broadcast(wanted), "term")
+    else:
+        weight = F.col("boost") * F.sqrt("tf") * F.col("idf") * F.col("idf") / F.sqrt("dl")
+        matched = _postings_of(view, wanted, bounds.clauses, ["tf", "dl"], shared)
+    return matched.select(
         "query_id", "group_id", "volume", "path", *OCCURS, weight.alias("weight"))
 
 
@@ -284,11 +310,12 @@ def _summed(rows: DataFrame, keys: list[str], occurs: frozenset[str], one_each:
 
 
 def combine(matches: DataFrame, clauses: DataFrame, bounds: ClauseBounds,
-            grouped: bool = False) -> DataFrame:
+            grouped: bool = False, at_documents: bool = False) -> DataFrame:
     """Hits (query_id, volume, path, score) from the matches of all clauses. With groups,
-    the same rule holds inside each group and again over the groups."""
+    the same rule holds inside each group and again over the groups. Matches that are
+    ``at_documents`` are not shuffled again."""
     inner = ["query_id", "group_id"] if grouped else ["query_id"]
-    if grouped and not bounds.one_each:
+    if grouped and not bounds.one_each and not at_documents:
         # Groups are summed where their document is: one shuffle for both sums.
         matches = matches.repartition("query_id", "volume", "path")
     rows = _keep_matching(_summed(matches, [*inner, "volume", "path"], bounds.occurs, bounds.one_each),

@@ -9,7 +9,7 @@ from ..operators.clauses import (
     EXPANDED, POSITIONAL, analyze_clauses, clauses_from_text, one_of_equal)
 from ..operators.matching import (
     MATCH_COLUMNS, clause_bounds, combine, match_expanded, match_paths, match_positional,
-    match_terms)
+    match_terms, summed_at_documents)
 from ..session import small_side, written
 from .index import IndexView
 
@@ -25,9 +25,10 @@ def search(view: IndexView, clauses: DataFrame, shared_statistics: bool = False)
     # Read many times below, and small next to the index.
     clauses, askers = one_of_equal(written(analyze_clauses(clauses)))
     bounds = clause_bounds(clauses)
+    at_documents = summed_at_documents(view, bounds)
     branches = []
     if "term" in bounds.kinds:
-        branches.append(match_terms(view, clauses, bounds, shared_statistics))
+        branches.append(match_terms(view, clauses, bounds, shared_statistics, at_documents))
     if bounds.kinds & set(POSITIONAL):
         branches.append(match_positional(view, clauses, bounds, shared_statistics))
     if bounds.kinds & set(EXPANDED):
@@ -39,7 +40,8 @@ def search(view: IndexView, clauses: DataFrame, shared_statistics: bool = False)
     matches = branches[0].select(*MATCH_COLUMNS)
     for branch in branches[1:]:
         matches = matches.unionByName(branch.select(*MATCH_COLUMNS))
-    hits = combine(matches, clauses, bounds, grouped).withColumnRenamed("query_id", "asked")
+    hits = combine(matches, clauses, bounds, grouped, at_documents and len(branches) == 1) \
+        .withColumnRenamed("query_id", "asked")
     return hits.join(small_side(askers), "asked").select("query_id", "volume", "path", "score")
 
 

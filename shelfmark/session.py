@@ -76,12 +76,12 @@ def broadcast_within(df: DataFrame, size: Size) -> DataFrame:
 PAIRS_IN_A_TASK = 5_000_000
 
 
-def by_document(rows: DataFrame, pairs: int) -> DataFrame:
+def by_document(rows: DataFrame, pairs: int, in_a_task: int = PAIRS_IN_A_TASK) -> DataFrame:
     """``rows`` laid out by document (volume, path): what is grouped by document and more
     stays there. The number of partitions is fixed, since the bytes shuffled do not tell the
     ``pairs`` of queries and documents that the rows grow to; these bound it."""
     usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(usual, min(pairs // PAIRS_IN_A_TASK, 20 * usual)), "volume", "path")
+    return rows.repartition(max(usual, min(pairs // in_a_task, 20 * usual)), "volume", "path")
 
 
 def small_side(df: DataFrame) -> DataFrame:

@@ -53,6 +53,15 @@ def test_term_search_prunes_and_shuffles_once(hits):
          if "path#" not in line]) == 1
 
 
+def test_many_sums_shuffle_postings_by_document_only(spark, view, monkeypatch):
+    monkeypatch.setattr("shelfmark.operators.matching.SUMS_IN_A_TASK", 10)
+    tokens = inputs.query_tokens(spark, FOLDER).select("query_id", F.col("term").alias("text"))
+    for clauses in (tokens, tokens.withColumn("group_id", F.length("text") % 2)):
+        by_path = [line for line in lines(search(view, clauses), "Exchange hashpartitioning(")
+                   if "path#" in line]
+        assert len(by_path) == 1 and "Exchange hashpartitioning(volume#" in by_path[0]
+
+
 def test_top_k_limits_before_the_shuffle(hits):
     top = lines(results.top_k(hits, 5), "WindowGroupLimit")
     assert any("Partial" in line for line in top) and any("Final" in line for line in top)

@@ -247,6 +247,29 @@ def test_shuffle_joins_give_the_same(spark, view, monkeypatch, shared, limit):
     assert broadcast and broadcast == shuffled
 
 
+AT_DOCUMENTS = [
+    [{"text": "alpha", "occur": "must"}, {"text": "gamma"}, {"text": "gamma", "boost": 0.3},
+     {"text": "b", "occur": "must_not"}],
+    [{"text": t, "group_id": g, "group_occur": o} for g, o, t in (
+        (1, "must", "alpha"), (1, "must", "alfa"), (2, "should", "alpha"), (3, "must_not", "x1"))],
+    [{"text": "alpha"}, {"kind": "phrase", "text": "alpha beta"}, {"field": "path", "text": "p9"}]]
+
+
+@pytest.mark.parametrize("shared", [False, True])
+@pytest.mark.parametrize("rows", AT_DOCUMENTS)
+def test_sums_at_documents_give_the_same(spark, view, monkeypatch, rows, shared):
+    # A second query shares terms with the first.
+    rows = rows + [{**row, "query_id": 2} for row in rows[1:]] + [{"query_id": 2, "text": "zeta"}]
+    def found():
+        return {(r["query_id"], r["volume"], r["path"]): r["score"]
+                for r in hits(spark, view, *rows, shared_statistics=shared)}
+    by_query = found()
+    monkeypatch.setattr("shelfmark.operators.matching.SUMS_IN_A_TASK", 10)
+    at_documents = found()
+    assert {key[0] for key in by_query} == {1, 2}
+    assert at_documents == pytest.approx(by_query, abs=1.5e-6)
+
+
 def test_open_hits(spark, view, corpus):
     docs = spark.createDataFrame(corpus, schemas.DOCS)
     found = search_text(view, spark.createDataFrame([(1, "zeta")], "query_id BIGINT, text STRING"))
