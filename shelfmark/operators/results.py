@@ -45,19 +45,21 @@ def number_rows(rows: DataFrame, group: list[str], order: tuple[str, ...],
     A window would sort each group in one task. Here the rows are range-partitioned by
     group and order, so that a big group spans many partitions; a row's number is its
     place in its partition plus the rows of the group in the partitions before. The
-    placed rows are written first, since the numbers depend on where the rows lie.
+    placed rows are written first, since the numbers depend on where the rows lie. The rows
+    themselves are written before that: the ranges are drawn from a sample, which would run
+    all that the rows come from a second time.
     """
     by = [*[F.col(c) for c in group], *_order(order)]
     placed = written(
-        rows.repartitionByRange(*by).sortWithinPartitions(*by)
+        written(rows).repartitionByRange(*by).sortWithinPartitions(*by)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_at", 33)))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1)
-    # One row per group and partition it lies in.
-    parts = (placed.groupBy(*group, "_part")
-             .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-             .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))))
+    # One row per group and partition it lies in, counted once: it is measured, then joined.
+    parts = written(placed.groupBy(*group, "_part")
+                    .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+                    .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))))
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
     return (placed.join(small_side(parts), [*group, "_part"])
             .select(*rows.columns, number.alias(name)))
@@ -79,10 +81,10 @@ def concat_volumes(ranked: DataFrame, volumes: DataFrame) -> DataFrame:
     counts = ranked.groupBy("query_id", "volume").agg(F.max("rank").alias("_hits"))
     earlier = Window.partitionBy("query_id").orderBy("volume_order", "volume").rowsBetween(
         Window.unboundedPreceding, -1)
-    # At most one row per query and volume.
-    offsets = (counts.join(small_side(volumes.select("volume", "volume_order")), "volume")
-               .withColumn("_before", F.coalesce(F.sum("_hits").over(earlier), F.lit(0)))
-               .select("query_id", "volume", "_before"))
+    # At most one row per query and volume, counted once: it is measured, then joined.
+    offsets = written(counts.join(small_side(volumes.select("volume", "volume_order")), "volume")
+                      .withColumn("_before", F.coalesce(F.sum("_hits").over(earlier), F.lit(0)))
+                      .select("query_id", "volume", "_before"))
     return (ranked.join(small_side(offsets), ["query_id", "volume"])
             .withColumn("position", F.col("_before") + F.col("rank"))
             .select(*ranked.columns, "position"))

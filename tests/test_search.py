@@ -288,6 +288,22 @@ def test_ranking_of_a_big_group(spark):
         assert [found[query, r[2]] for r in best_first] == list(range(1, len(best_first) + 1))
 
 
+def test_hits_are_computed_once_to_be_ranked(spark, tmp_path):
+    """Ranges are drawn from a sample; what is ranked must not run again for it."""
+    seen = str(tmp_path / "seen")
+
+    def noted(batches):
+        for batch in batches:
+            with open(seen, "a") as file:
+                file.write("x" * batch.num_rows)
+            yield batch
+
+    rows = [(i % 3, "v", f"p{i}", float(i % 7)) for i in range(500)]
+    frame = spark.createDataFrame(rows, schemas.HITS).mapInArrow(noted, schemas.HITS)
+    assert results.merged_ranking(frame).count() == 500
+    assert len(open(seen).read()) == 500
+
+
 def test_positions_follow_the_volume_order(spark):
     rows = [(1, "b", "x", 1.0), (1, "a", "y", 9.0), (1, "a", "z", 9.5), (2, "a", "x", 1.0)]
     order = spark.createDataFrame([("b", 1), ("a", 2)], "volume STRING, volume_order INT")
