@@ -11,7 +11,8 @@ is. No phrase that counts loses an occurrence, and most windows, which say somet
 become equal to others and are combined before the shuffle, as hot words are. The pairs
 and triples to keep are counted under 32-bit numbers: two that share one count together,
 which keeps too much at worst. Where they are too many to be sent to every task, nothing is
-cut, with the same result.
+cut, with the same result. Pieces are written once as arrays of word numbers, from which
+pairs, triples and windows are read; texts are taken apart for that and for the words' counts.
 
 Defined cases: a null text is empty, a null lang is ``und``; texts of any length are read
 whole (one row per word, streamed); an empty table or one without candidates gives no
@@ -29,6 +30,7 @@ from shelfmark.session import measured, small_side, written
 # Fixed values of the contract.
 PIECE_SPLIT = "[.,;:!?\\x0A-\\x0D]"
 WORD = "[^\\x20\\x09]+"
+PIECE_WORD = "[^\\x20\\x09.,;:!?\\x0A-\\x0D]+"  # a WORD of a piece, in the whole text
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONGEST = 4
 LEAST_COUNT = 30
@@ -38,12 +40,13 @@ TOP = 2000
 BUCKETS = 64  # first ranking inside (lang, bucket), then inside lang over the survivors
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """(lang, w): the words of every piece as an array."""
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    pieces = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"),
-                         F.explode(F.split(text, PIECE_SPLIT)).alias("piece"))
-    return pieces.select("lang", F.regexp_extract_all("piece", F.lit(WORD), 0).alias("w"))
+def _texts(docs: DataFrame) -> DataFrame:
+    """(lang, text): every text in lower case, as far as A-Z goes. ``lower`` is that for ASCII
+    texts, and cheaper."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"),
+                       F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)).alias("text"))
 
 
 def _code(lang: Column, word: Column) -> Column:
@@ -54,10 +57,16 @@ def _code(lang: Column, word: Column) -> Column:
 COLS = [f"c{k}" for k in range(1, LONGEST + 1)]
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """(c1, c2, c3, c4): one row per word occurrence, its word and the next three of its
-    piece as numbers, padded with nulls."""
-    codes = _words(docs).select(F.transform("w", lambda word: _code(F.col("lang"), word)).alias("w"))
+def coded(docs: DataFrame) -> DataFrame:
+    """(w): the words of every piece of two words and more as an array of their numbers."""
+    pieces = _texts(docs).select("lang", F.explode(F.split("text", PIECE_SPLIT)).alias("piece"))
+    words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(WORD), 0).alias("w")).where(F.size("w") > 1)
+    return words.select(F.transform("w", lambda word: _code(F.col("lang"), word)).alias("w"))
+
+
+def windows(codes: DataFrame) -> DataFrame:
+    """(c1, c2, c3, c4): one row per word occurrence in the pieces (w), its number and the next
+    three of its piece, padded with nulls."""
     at = codes.select("w", F.posexplode("w").alias("i", "c1"))
     return at.select("c1", *[F.get("w", F.col("i") + k).alias(f"c{k + 1}") for k in range(1, LONGEST)])
 
@@ -65,7 +74,7 @@ def windows(docs: DataFrame) -> DataFrame:
 def dictionary(docs: DataFrame) -> DataFrame:
     """(lang, word, f, c): every distinct word of every lang with its count and number. Two
     distinct words with one number would merge counts; ``check_codes`` refuses them."""
-    words = _words(docs).select("lang", F.explode("w").alias("word"))
+    words = _texts(docs).select("lang", F.explode(F.regexp_extract_all("text", F.lit(PIECE_WORD), 0)).alias("word"))
     return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")).withColumn(
         "c", _code(F.col("lang"), F.col("word")))
 
@@ -97,7 +106,7 @@ def _ending_before(rows: DataFrame, often: DataFrame | None, at: int, size: int)
 def pruned_windows(docs: DataFrame) -> DataFrame:
     """The windows of two words and more, cut before the first pair or triple of words that
     is found less than LEAST_COUNT times."""
-    rows = windows(docs).where(F.col("c2").isNotNull())
+    rows = windows(written(coded(docs))).where(F.col("c2").isNotNull())
     pairs = _numbers(rows, 2)
     rows = _ending_before(rows, pairs, 2, 2).where(F.col("c2").isNotNull())
     rows = _ending_before(rows, pairs, 3, 2)

@@ -81,3 +81,22 @@ def test_cut_or_not_gives_the_same(spark, monkeypatch, limit):
     monkeypatch.setattr(session, "BROADCAST_ROWS", limit)
     docs = spark.createDataFrame(ODD, "text string, lang string")
     assert sorted(tuple(r) for r in phrases.collocations(docs).collect()) == plain(ODD)
+
+
+def test_texts_are_read_once_for_all_windows(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(ODD, "text string, lang string").write.parquet(path)
+    rows = phrases.pruned_windows(spark.read.parquet(path))
+    assert rows.inputFiles() and not any(path in f for f in rows.inputFiles())
+
+
+def test_dictionary_counts_the_words_of_pieces(spark):
+    rows = [("To be, OR\tnot!to  be. ÉTÉ été Été:\x0b\x0c A\xa0B İ", "en"), ("İ ÅB ÅB;;K K", None),
+            (".,;:!?\n\x0b\x0c\r \t", "de"), (None, "de"), ("ONE", "en"), ("a\x85b\x1fc", "en")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    expected = Counter()
+    for text, lang in rows:
+        text = (text or "").translate(str.maketrans(phrases.UPPER, phrases.LOWER))
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+            expected.update((lang or "und", w) for w in re.findall(r"[^\x20\x09]+", piece))
+    assert {(r.lang, r.word): r.f for r in phrases.dictionary(docs).collect()} == expected
