@@ -10,8 +10,8 @@ triple of words found more seldom, so a window ends before the first pair or tri
 is. No phrase that counts loses an occurrence, and most windows, which say something unique,
 become equal to others and are combined before the shuffle, as hot words are. The pairs
 and triples to keep are counted under 32-bit numbers: two that share one count together,
-which keeps too much at worst. Where they are too many to be sent to every task, nothing is
-cut, with the same result. Pieces are written once as arrays of word numbers, from which
+which keeps too much at worst. Every task is sent a bit for each, folded onto MARKS bits, so
+that the more there are, the more seldom ones stay, with the same result. Pieces are written once as arrays of word numbers, from which
 pairs, triples and windows are read; texts are taken apart for that and for the words' counts.
 
 Defined cases: a null text is empty, a null lang is ``und``; texts of any length are read
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.session import measured, small_side, written
+from shelfmark.session import small_side, written
 
 # Fixed values of the contract.
 PIECE_SPLIT = "[.,;:!?\\x0A-\\x0D]"
@@ -37,6 +37,7 @@ LEAST_COUNT = 30
 SCALE = 2_000_000
 CONTAINED = (100, 80)  # 100 * f(longer) >= 80 * a drops the shorter candidate
 TOP = 2000
+MARKS = 1 << 27  # bits for frequent pairs or triples: at most 2 million rows of 64 to broadcast
 BUCKETS = 64  # first ranking inside (lang, bucket), then inside lang over the survivors
 
 
@@ -85,32 +86,38 @@ def check_codes(words: DataFrame) -> None:
         raise ValueError("two distinct words share a 64-bit number; counts would merge")
 
 
-def _numbers(cut: DataFrame, size: int) -> DataFrame | None:
-    """(h): the 32-bit numbers of the word groups of this size that begin a window LEAST_COUNT
-    times or more, to be broadcast; None if they are too many for that."""
+def _marks(cut: DataFrame, size: int) -> DataFrame:
+    """(at, marks): the word groups of this size that begin a window LEAST_COUNT times or more,
+    as bits of at most MARKS / 64 rows, however many they are. They are counted under 32-bit
+    numbers; two that share a number or a bit are kept or not together."""
     group = cut.where(F.col(COLS[size - 1]).isNotNull()).select(F.hash(*COLS[:size]).alias("h"))
-    often = written(group.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-                    .where(F.col("n") >= LEAST_COUNT).select("h"))
-    return F.broadcast(often) if measured(often).fits() else None
+    often = group.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
+    at, bit = _place(F.col("h"))
+    return F.broadcast(written(often.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("marks"))))
 
 
-def _ending_before(rows: DataFrame, often: DataFrame | None, at: int, size: int) -> DataFrame:
-    """Windows that end before word ``at`` if the ``size`` words up to it are not among ``often``."""
-    if often is None:
-        return rows
-    marked = rows.join(often.withColumn("_often", F.lit(True)), F.hash(*COLS[at - size:at]) == F.col("h"), "left")
-    stays = F.col("_often").isNotNull()
-    return marked.select(*COLS[:at - 1], *[F.when(stays, F.col(c)).alias(c) for c in COLS[at - 1:]])
+def _place(number: Column) -> tuple[Column, Column]:
+    """Row and bit of a number among the marks."""
+    return F.shiftright(number.bitwiseAND(F.lit(MARKS - 1)), 6), number.bitwiseAND(F.lit(63))
+
+
+def _ending_before(rows: DataFrame, marks: DataFrame, last: int, size: int) -> DataFrame:
+    """Windows that end before word ``last`` if the ``size`` words up to it are not marked."""
+    at, bit = _place(F.hash(*COLS[last - size:last]))
+    found = rows.withColumn("_at", at).join(marks, F.col("_at") == F.col("at"), "left")
+    stays = F.getbit("marks", bit) == 1  # null without marks
+    return found.select(*COLS[:last - 1], *[F.when(stays, F.col(c)).alias(c) for c in COLS[last - 1:]])
 
 
 def pruned_windows(docs: DataFrame) -> DataFrame:
     """The windows of two words and more, cut before the first pair or triple of words that
     is found less than LEAST_COUNT times."""
     rows = windows(written(coded(docs))).where(F.col("c2").isNotNull())
-    pairs = _numbers(rows, 2)
+    pairs = _marks(rows, 2)
     rows = _ending_before(rows, pairs, 2, 2).where(F.col("c2").isNotNull())
     rows = _ending_before(rows, pairs, 3, 2)
-    triples = _numbers(rows, 3)
+    triples = _marks(rows, 3)
     rows = _ending_before(rows, triples, 3, 3)
     return _ending_before(rows, triples, 4, 3)
 

@@ -100,3 +100,17 @@ def test_dictionary_counts_the_words_of_pieces(spark):
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
             expected.update((lang or "und", w) for w in re.findall(r"[^\x20\x09]+", piece))
     assert {(r.lang, r.word): r.f for r in phrases.dictionary(docs).collect()} == expected
+
+
+def test_windows_are_cut_however_many_pairs_are_frequent(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 1)
+    rows = phrases.pruned_windows(spark.createDataFrame(ODD, "text string, lang string"))
+    assert sorted(r["count"] for r in rows.groupBy(*phrases.COLS).count().collect()) == [40] * 4
+
+
+@pytest.mark.parametrize("marks", [64, 256])
+def test_shared_marks_give_the_same(spark, monkeypatch, marks):
+    monkeypatch.setattr(phrases, "MARKS", marks)
+    docs = spark.createDataFrame(ODD, "text string, lang string")
+    assert phrases._marks(phrases.windows(phrases.coded(docs)), 2).count() <= marks // 64
+    assert sorted(tuple(r) for r in phrases.collocations(docs).collect()) == plain(ODD)
