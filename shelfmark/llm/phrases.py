@@ -37,7 +37,7 @@ LEAST_COUNT = 30
 SCALE = 2_000_000
 CONTAINED = (100, 80)  # 100 * f(longer) >= 80 * a drops the shorter candidate
 TOP = 2000
-MARKS = 1 << 27  # bits for frequent pairs or triples: at most 2 million rows of 64 to broadcast
+MARKS = 1 << 26  # bits for frequent pairs or triples: at most 1,048,576 rows of 64 to broadcast
 BUCKETS = 64  # first ranking inside (lang, bucket), then inside lang over the survivors
 
 
